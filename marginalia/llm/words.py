@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -16,3 +16,19 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
+
+
+def slice_words(text: Column, start: Column, n: Column) -> Column:
+    """``n`` words of ``text`` from the 0-based word ``start`` on, joined by single spaces; the text itself if that is all of it."""
+    found = words(text)
+    return F.when((start == 0) & (n == F.size(found)), text).otherwise(F.array_join(F.slice(found, start.cast("int") + 1, n.cast("int")), " "))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """64-bit key of an id and a text, nulls included; rows that share it repeat both."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(text_col), F.lit("\x00")))
+
+
+def numbered(rows: DataFrame, key: str = "_k") -> DataFrame:
+    """``rows`` with ``_copy``, which tells rows with one key apart (1, 2, ...)."""
+    return rows.withColumn("_copy", F.row_number().over(Window.partitionBy(key).orderBy(key)))
