@@ -131,7 +131,8 @@ def taken_pieces(placed: DataFrame) -> DataFrame:
     b = F.col("block_no")
     low, high = F.greatest("start", begin(b)), F.least(stop, begin(b + 1))
     pieces = pieces.select("doc_id", "_k", "_copy", "size", "source_no", "block_no", (low - F.col("start")).alias("from_word"), (high - low).alias("words"))
-    return pieces.join(draw(sources), ["source_no", "block_no"]).drop("source_no", "block_no")
+    # the planner takes the size of the drawn blocks, which an explode makes, for that of the source table
+    return pieces.join(draw(sources).hint("merge"), ["source_no", "block_no"]).drop("source_no", "block_no")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
