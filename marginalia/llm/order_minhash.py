@@ -8,7 +8,7 @@ from marginalia.llm.words import words
 from marginalia.storage import materialise
 
 #: Words in a k-mer, and how many order-keeping tuples make a fingerprint.
-K = 3
+K = 5
 TUPLES = 32
 #: Low bits of a packed minimum hold the place in the text, the bits above hold the hash.
 PLACE_BITS = 26
