@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import mixing, packing, quality_rules, simhash
+from marginalia.llm import mixing, order_minhash, packing, quality_rules, simhash
 from marginalia.storage import table
 
 
@@ -14,6 +14,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("_k", "_copy")
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_sensitivity(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_order_minhash": op3_order_minhash,
         "op5_source_mixing": op5_source_mixing,
         "op7_quality_rules": op7_quality_rules,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
