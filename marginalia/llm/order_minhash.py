@@ -107,7 +107,8 @@ def edit_sensitivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sizes = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")))
     after = materialise(successors(sizes, "doc_id"))
     wants = sizes.join(after, "doc_id").select(F.col("next").alias("doc_id"), F.col("doc_id").alias("_for"), F.expr("n div 4").cast("int").alias("_n"))
-    lent = base.where("_row = 1").join(wants.hint("merge"), "doc_id").select(F.col("_for").alias("doc_id"), F.expr("substring(text, 1, _n)").alias("_lent"))
+    # written so that no limit is put below the exchange of the texts, which is then one for both uses
+    lent = base.where("2 * _row = 2").join(wants.hint("merge"), "doc_id").select(F.col("_for").alias("doc_id"), F.expr("substring(text, 1, _n)").alias("_lent"))
     n, quarter = F.length("text"), F.expr("length(text) div 4").cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.coalesce("_lent", F.lit("")), F.lit(1), quarter))
     both = base.join(lent.hint("merge"), "doc_id", "left").select("doc_id", "_row", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
