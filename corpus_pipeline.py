@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import quality_rules, simhash
+from marginalia.llm import mixing, packing, passages, quality_rules, simhash
 from marginalia.storage import materialise, table
 
 
@@ -18,7 +18,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one_of_each(docs)
 
 
-STAGES = [("quality", quality), ("near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has; documents with nothing else go."""
+    return passages.without_repeats(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at their target weights: runs of words, as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences: each piece of text with its bin, the bin's size and its place there."""
+    return packing.packed_texts(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mix", mix), ("pack", pack)]
 
 #: Fingerprints, trie walks and pseudorandom permutations have no SQL form.
 ORACLE_SQL = None

@@ -13,6 +13,8 @@ TUPLES = 32
 #: Low bits of a packed minimum hold the place in the text, the bits above hold the hash.
 PLACE_BITS = 26
 PLACE = (1 << PLACE_BITS) - 1
+#: Stands for a null id inside; a key that can't be null gets no filter, so that both uses of the texts share one exchange.
+NO_ID = -(1 << 63)
 #: Ranges that ids are dealt into to find each one's successor.
 RANGES = 64
 
@@ -103,8 +105,9 @@ def edit_sensitivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     spot = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("_row", F.row_number().over(spot))
-    sizes = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")))
+    known = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id")
+    base = docs.select(known, text.alias("text")).withColumn("_row", F.row_number().over(spot))
+    sizes = materialise(docs.select(known, F.length(text).alias("n")).where(f"doc_id <> {NO_ID + 1} - 1").groupBy("doc_id").agg(F.max("n").alias("n")))
     after = materialise(successors(sizes, "doc_id"))
     wants = sizes.join(after, "doc_id").select(F.col("next").alias("doc_id"), F.col("doc_id").alias("_for"), F.expr("n div 4").cast("int").alias("_n"))
     # written so that no limit is put below the exchange of the texts, which is then one for both uses
@@ -123,7 +126,7 @@ def edit_sensitivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nexts = prints.where("_row = 1").select(F.col("doc_id").alias("next"), F.col("fingerprint").alias("_next")).join(after.withColumnRenamed("doc_id", "_for"), "next").select("_for", "_next")
     out = prints.join(nexts, F.col("doc_id") == F.col("_for"), "left")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), tuples).alias("near_edited"),
         F.coalesce(likeness(F.col("fingerprint"), F.col("_next"), tuples), F.lit(0.0)).alias("near_next"),
     )
