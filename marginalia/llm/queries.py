@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import html_text, kneser_ney, mixing, order_minhash, packing, passages, quality_rules, simhash, toxicity
+from marginalia.llm import html_text, kneser_ney, masked_lm, mixing, order_minhash, packing, passages, quality_rules, simhash, toxicity
 from marginalia.storage import table
 
 
@@ -22,6 +22,10 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_sensitivity(table(spark, sf_dir, "documents"))
 
 
+def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_order_minhash": op3_order_minhash,
+        "op4_masked_lm": op4_masked_lm,
         "op5_source_mixing": op5_source_mixing,
         "op6_html_extraction": op6_html_extraction,
         "op7_quality_rules": op7_quality_rules,
