@@ -1,0 +1,23 @@
+"""Addresses as built-in expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+
+def host(url: Column) -> Column:
+    """Lower-case host without www, user info and port; the scheme may be missing."""
+    h = F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    return F.regexp_replace(h, r"^www\.", "")
+
+
+def post_key(url: Column) -> Column:
+    """host/path?query without fragment, trailing slash and tracking parameters, the query sorted."""
+    path = F.regexp_replace(F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*://)?[^/?#]*([^?#]*)", 1), "/+$", "")
+    query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^(utm_[a-z]+|ref|fbclid|gclid)(=|$)")))
+    return F.concat(host(url), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+
+
+def slug(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
