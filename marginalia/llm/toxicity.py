@@ -106,8 +106,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = known.where("toxic = 1").orderBy(*order).limit(per_class).union(known.where("toxic = 0").orderBy(*order).limit(per_class))
     # at most 2 * per_class rows of an id and a label: a broadcast of a known size
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", _terms("text").alias("terms")).orderBy("doc_id").toPandas()
-    n = known.groupBy("toxic").count().toPandas().set_index("toxic")["count"].to_dict()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", _terms("text").alias("terms")).orderBy("doc_id").toArrow().to_pandas()
+    n = known.groupBy("toxic").count().toArrow().to_pandas().set_index("toxic")["count"].to_dict()
     machine = fit([list(x) for x in rows["terms"]], rows["toxic"].to_numpy(dtype=float))
     # the classes' own odds, where the sample has them evened out
     shift = sum((1 if c else -1) * math.log(max(1, n.get(c, 0)) / min(max(1, n.get(c, 0)), per_class)) for c in (0, 1))
