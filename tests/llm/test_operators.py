@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from marginalia.llm import html_text, mixing, order_minhash, packing, passages, quality_rules, simhash, toxicity
+from marginalia.llm import html_text, kneser_ney, masked_lm, mixing, order_minhash, packing, passages, quality_rules, simhash, toxicity
 
 D = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,6 +98,52 @@ def test_main_text(spark):
     assert right >= 0.95 * len(got)
 
 
+def test_masked_lm_scores_whole_texts(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    got = {r.doc_id: r for r in masked_lm.score(docs).collect()}
+    assert all(got[r.doc_id].n_tokens == len(WORD.findall(r.text or "")) for r in docs.collect())
+    assert all((r.per_token is None) == (r.n_tokens == 0) and r.pseudo_log_likelihood <= 0 for r in got.values())
+
+
+def test_masked_lm_matches_a_plain_sum():
+    net, ids = masked_lm.start(), masked_lm.tokens("one two three two one four")
+    logs, _, _ = masked_lm.class_logs(net, masked_lm.windows(ids, np.arange(len(ids))))
+    padded = [0] * masked_lm.SIDE + ids.tolist() + [0] * masked_lm.SIDE
+    for i in range(len(ids)):
+        around = padded[i : i + masked_lm.SIDE] + padded[i + masked_lm.SIDE + 1 : i + 2 * masked_lm.SIDE + 1]
+        z = np.tanh(np.concatenate([net.embed[t] for t in around]) @ net.inner + net.inner_bias) @ net.outer + net.outer_bias
+        assert np.allclose(logs[i], z - np.log(np.exp(z).sum()), atol=1e-5)
+    of, share = masked_lm.classes(np.bincount(ids, minlength=masked_lm.TOKENS))
+    assert np.allclose(np.bincount(of, weights=np.exp(share.astype(float)))[np.unique(of)], 1, atol=1e-3)
+
+
+def test_kneser_ney_probabilities_sum_to_one(spark):
+    texts = ["a b a c", "a b b c a", "c a b a b"]
+    trusted = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    model = kneser_ney.Model(trusted)
+    words = ["a", "b", "c"]
+
+    def p(context, word):  # the words' joint surprise with and without the last one, end marks taken out by difference
+        h = kneser_ney.word_hashes(" ".join([*context, word] if word else context), "en")
+        keys = h[-4:-1] if word else h[-3:]
+        u, v, w = (keys[i : i + 1] for i in range(3))
+        with np.errstate(over="ignore"):
+            uv, vw = kneser_ney._mix(u, v), kneser_ney._mix(v, w)
+            uvw = kneser_ney._mix(uv, w)
+        i = lambda a: a.view(np.int64)
+        x = model._find(model.alpha[2], i(w), 0.0) + model.free["en"] / model.vocabulary["en"]
+        x = model._find(model.alpha[1], i(vw), 0.0) + model._find(model.gamma[1], i(v), 1.0) * x
+        return float((model._find(model.alpha[0], i(uvw), 0.0) + model._find(model.gamma[0], i(uv), 1.0) * x)[0])
+
+    unknown = model.free["en"] / model.vocabulary["en"]
+    for context in (["a", "b"], ["b", "a"], ["c", "a"]):
+        h = kneser_ney.word_hashes(" ".join(context), "en")
+        rest = model._find(model.gamma[1], h[-2:-1].view(np.int64), 1.0)[0]
+        with np.errstate(over="ignore"):
+            rest *= model._find(model.gamma[0], kneser_ney._mix(h[-3:-2], h[-2:-1]).view(np.int64), 1.0)[0]
+        assert abs(sum(p(context, w) for w in words) + p(context, None) + rest * unknown - 1) < 1e-4
+
+
 def test_odd_rows(spark, odd):
     assert mixing.mix(odd).count() == 6 and mixing.mixed_documents(odd).columns == odd.columns
     assert simhash.near_duplicates(odd).count() == 6
@@ -105,7 +151,11 @@ def test_odd_rows(spark, odd):
     assert order_minhash.edit_sensitivity(odd).count() == 6
     assert packing.pack(odd).where("n_words = 0").count() == 2
     assert passages.repeated_passages(odd).count() == 0
+    scored = masked_lm.score(odd)
+    assert scored.count() == 6 and scored.where("n_tokens = 0 and per_token is null and pseudo_log_likelihood = 0").count() == 2
     labels = spark.createDataFrame([(1, 1, 0), (None, None, None), (3, 0, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(odd, labels).where("score between 0 and 1").count() == 6
     none = odd.limit(0)
     assert mixing.mix(none).count() == simhash.near_duplicates(none).count() == packing.pack(none).count() == order_minhash.edit_sensitivity(none).count() == 0
+    assert masked_lm.score(none).count() == kneser_ney.classify(none, labels).count() == 0
+    assert kneser_ney.classify(odd, labels).where("kept is not null").count() == 6
