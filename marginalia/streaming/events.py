@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as a stream of Parquet files; the clock as a timestamp, which watermarks need."""
+    """Events as a stream of Parquet files; the clock as a timestamp, which watermarks need.
+
+    The last letter is written as a pattern, for a stream takes a plain path to be a folder and ``folder`` may be one file.
+    """
     schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).parquet(f"{folder[:-1]}[{folder[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def by_window(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -1,0 +1,88 @@
+"""Functions against plain Python on small inputs."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.functions import dates, maps, texts, urls
+
+
+def one(spark, column, **values):
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)) if values else spark.range(1)
+    return row.select(column.alias("x")).first()["x"]
+
+
+def plain_start(text, word, width, lead):
+    starts = [m.start() for m in re.finditer(word, text)]
+    best, most = 0, 0
+    for s in starts:
+        low = max(0, min(len(text), max(0, s - lead) + width) - width)
+        n = sum(low <= x < low + width for x in starts)
+        if n > most:
+            best, most = low, n
+    return best
+
+
+def test_excerpt_start_is_that_of_the_densest_window(spark):
+    cases = ["", "none", "the end", "x " * 40 + "the the " + "y " * 30 + "the", "the " + "z " * 60 + "the the the", "the " * 50]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    got = {r.i: r.s for r in rows.select("i", texts.excerpt_start(F.col("t"), r"\bthe\b", 40, 10).alias("s")).collect()}
+    assert got == {i: plain_start(t, r"\bthe\b", 40, 10) for i, t in enumerate(cases)}
+
+
+def test_bounds():
+    assert (dates.bound("2024", False), dates.bound("2024", True), dates.bound("2024-02", True), dates.bound(None, True)) == ("2024-01-01", "2024-12-31", "2024-02-29", None)
+    for bad in ("5/11/2026", "2026-13", "2026-02-30", "26"):
+        with pytest.raises(ValueError):
+            dates.bound(bad, True)
+    assert dates.within(F.lit("2024"), F.lit("year"), "", None) is None
+
+
+def test_instants(spark):
+    assert str(one(spark, dates.instant(F.col("t")), t="2024-03-04T05:06:07+02:00")) == "2024-03-04 03:06:07"
+    assert str(one(spark, dates.instant(F.col("t")), t="2024-03-04 nonsense")) == "2024-03-04 00:00:00"
+    assert one(spark, dates.instant(F.col("t")), t="soon") is None and one(spark, dates.instant(F.col("t")), t="") is None
+    assert str(one(spark, dates.feed_instant(F.col("t")), t="Wed Oct 10 20:19:24 +0000 2018")) == "2018-10-10 20:19:24"
+
+
+def test_lists_and_positions(spark):
+    say = lambda *x: one(spark, texts.listed(F.array(*map(F.lit, x))))
+    assert [say("a"), say("a", "b"), say("a", "b", "c"), say("a", "b", "c", "d"), say(*"abcde")] == ["a", "a and b", "a, b and c", "a, b, c and 1 other", "a, b, c and 2 others"]
+    index = F.from_json(F.col("t"), "map<string,array<int>>")
+    assert one(spark, texts.from_positions(index), t='{"b": [1, 3], "a": [0], "c": [2]}') == "a b c b"
+    assert one(spark, texts.from_positions(index), t=None) == ""
+
+
+def test_snippets_and_names(spark):
+    assert one(spark, texts.snippet(F.col("t"), 10), t=" one  two\nthree four") == "one two…"
+    assert one(spark, texts.snippet(F.col("t"), 5), t="unbroken words") == "unbro…"
+    assert one(spark, texts.snippet(F.col("t"), 50), t=" a  b ") == "a b"
+    assert one(spark, texts.names(F.lit("Boltz-2"), F.col("t")), t="We ran boltz 2 again") and not one(spark, texts.names(F.lit(""), F.col("t")), t="any")
+    assert one(spark, texts.names(F.lit("Virtual Cell Challenge"), F.col("t")), t="two virtual cell challenges") and not one(spark, texts.names(F.lit("cell"), F.col("t")), t=None)
+
+
+def test_maps(spark):
+    merged = maps.patched(maps.decoded(F.col("a")), maps.decoded(F.col("b")))
+    assert one(spark, merged, a='{"x":"1","y":"2"}', b='{"y":null,"z":"3"}') == {"x": "1", "z": "3"}
+    assert one(spark, maps.decoded(F.col("a")), a="no json") == {}
+    assert one(spark, maps.allowed(maps.decoded(F.col("a")), []), a='{"x":"1"}') == {}
+    refs = F.from_json(F.col("a"), "array<struct<by:string,post:string>>")
+    assert one(spark, F.size(maps.referenced(refs, F.lit("u"), F.lit("p"))), a='[{"by":"u","post":"p"}]') == 1
+    assert one(spark, F.size(maps.referenced(refs, F.lit("u"), F.lit("q"))), a='[{"by":"u","post":"p"}]') == 2
+
+
+@pytest.mark.parametrize(
+    ("url", "kind", "paper"),
+    [
+        ("https://github.com/a/b", "github", None), ("https://evilgithub.com/a", None, None), ("https://www.arxiv.org/abs/2301.01234v2", "paper", "arXiv:2301.01234"),
+        ("https://x.org/doi/10.1000/ABC.", "paper", "DOI:10.1000/abc"), ("https://a.substack.com/p/x", "substack", None), ("https://a.org/b.PDF?x=1", "paper", None),
+    ],
+)
+def test_links(spark, url, kind, paper):
+    assert (one(spark, urls.link_kind(F.col("u")), u=url), one(spark, urls.paper_id(F.col("u")), u=url)) == (kind, paper)
+
+
+def test_sites_and_posts(spark):
+    assert [one(spark, urls.site_label(F.col("h")), h=h) for h in ("willcb.com", "blog.willcb.com", "foo.co.uk", "local", "")] == ["willcb", "willcb", "foo", "local", None]
+    assert one(spark, urls.post_id(F.col("u")), u="https://x.com/a/status/123/photo/1?s=2") == "123" and one(spark, urls.post_id(F.col("u")), u="https://nitter.net/a/status/1") is None
