@@ -27,6 +27,8 @@ BANDS = 3
 #: Words that paragraphs in a row must share with other documents. A shared passage of 50 words has at least
 #: 40 away from its ends, where cuts no longer depend on what surrounds it.
 LEAST_WORDS = 16
+#: A band key of more unlike paragraphs isn't verified as one group: they meet by their rarest shingles instead.
+GROUP = 256
 
 CHUNKS = "key long, hash long, doc long, chunk int, start int, n int, band int, dup boolean"
 FOUND = "kind int, key long, hash long, doc long, chunk int, start int, n int"
@@ -159,6 +161,24 @@ def _alike(t: pa.Table, similarity: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
 
+def by_rare_shingles(paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, hash, text): each of the paragraphs (hash, text) once for every shingle of its prefix.
+
+    Paragraphs of Jaccard similarity t or more share one of the first n - ceil(t * n) + 1 of their n shingles
+    in any common order, so grouping by ``key`` loses none. The order is by how many paragraphs have a shingle,
+    the rarest first: what many unlike paragraphs have in common comes last and groups nothing.
+    """
+    found = F.split(F.coalesce("text", F.lit("")), " ")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(found) - (SHINGLE - 1), F.lit(1)))
+    own = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(found, i, SHINGLE))))
+    grams = paragraphs.select("hash", F.explode(own).alias("g"))
+    often = grams.groupBy("g").agg(F.count("*").alias("c"))
+    ordered = grams.join(often, "g").groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("o"))  # LONGEST at most
+    n = F.size("o")
+    first = F.slice("o", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
+    return ordered.select("hash", F.explode(first).alias("x")).select(F.col("x.g").alias("key"), "hash").join(paragraphs, "hash").select("key", "hash", "text")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _cut_out(texts: pd.Series, spots: pd.Series) -> pd.Series:
     out = []
@@ -187,7 +207,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = spots.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct("hash", "at.start", "at.n")).alias("spots"))
     texts = own.join(wanted.hint("merge"), "doc").select("spots", _cut_out("text", "spots").alias("texts"))
     texts = texts.select(F.explode(F.arrays_zip("spots", "texts")).alias("x")).select("x.spots.hash", F.col("x.texts").alias("text")).dropDuplicates(["hash"])
-    pairs = unlike.select("key", "hash").distinct().join(texts.hint("merge"), "hash").repartition("key").sortWithinPartitions("key", "hash")
+    met = unlike.select("key", "hash").distinct()
+    crowded = met.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("key")
+    texts = materialise(texts)
+    few = met.join(crowded, "key", "left_anti").join(texts.hint("merge"), "hash").select("key", "hash", "text")
+    many = texts.join(met.join(crowded, "key", "left_semi").select("hash").distinct(), "hash", "left_semi")
+    pairs = few.unionByName(by_rare_shingles(many, similarity)).repartition("key").sortWithinPartitions("key", "hash")
     edges = pairs.mapInArrow(lambda batches: by_runs(batches, lambda t: _alike(t, similarity)), "a long, b long")
     parts = connected_components(edges)
     every = found.select("hash", "doc", "chunk", "start", "n").distinct().join(parts, F.col("hash") == F.col("node"), "left")

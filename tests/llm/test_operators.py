@@ -77,6 +77,24 @@ def test_packing_places_every_word_once(spark):
         assert list(b.bin_offset)[1:] == list((b.bin_offset + b.n_words))[:-1] and b.n_words.sum() <= b.bin_size.iloc[0]
 
 
+def test_rare_shingles_lose_no_alike_pair(spark):
+    rng = np.random.default_rng(3)
+    common = [f"c{i}" for i in range(8)]
+    texts = []
+    for _ in range(40):  # all share a run of words; groups of three differ in their last word
+        own = common + [f"w{x}" for x in rng.integers(0, 500, int(rng.integers(1, 40)))]
+        texts += [" ".join([*own, f"new{j}"]) for j in range(3)]
+    texts += ["", "a b", "a b c"]
+    rows = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "hash long, text string")
+    met = {}
+    for r in passages.by_rare_shingles(rows).collect():
+        met.setdefault(r.key, set()).add(r.hash)
+    sets = {r.hash: passages.shingles(r.text.split(" ")) for r in rows.collect()}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) > 20 and all(any({a, b} <= g for g in met.values()) for a, b in alike)
+    assert max(map(len, met.values())) < len(sets) / 2
+
+
 def test_shared_passages_are_found(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     seen = collections.defaultdict(set)
