@@ -1,37 +1,44 @@
-"""Substring dedup: paragraphs that documents share, found by MinHash bands and verified exactly.
+"""Substring dedup: passages that documents share, equal ones to their true ends and alike paragraphs by MinHash bands.
 
-Paragraphs are cut where the words themselves say so (a word pair whose hash is the least of its neighbourhood),
-so a passage falls into the same paragraphs wherever in a text it stands.
+Equal passages: every run of LEAST_WORDS words has an anchor, the part of it whose hash is least, and equal runs have
+equal anchors. Only runs whose anchor occurs again are compared. Alike paragraphs: lines, and in long lines also parts
+cut where the words themselves say so (a word pair whose hash is the least of its neighbourhood).
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from marginalia.operators.graph import connected_components
 from marginalia.storage import materialise
 
-#: A cut needs the least pair hash of this many words to either side; no paragraph is longer than LONGEST words.
-REACH = 5
-LONGEST = 64
+#: A cut needs the least pair hash of this many words to either side; no part of a long line is longer than LONGEST words.
+REACH = 24
+LONGEST = 128
 SHINGLE = 5
 SIMILARITY = 0.8
 #: One hash a band: two paragraphs of Jaccard 0.8 meet in one of three bands with probability 1 - 0.2 ** 3 = 0.992.
 BANDS = 3
-#: Words that paragraphs in a row must share with other documents. A shared passage of 50 words has at least
-#: 40 away from its ends, where cuts no longer depend on what surrounds it.
+#: Words in a row that a document must share with others, counted to the true ends of what is shared.
 LEAST_WORDS = 16
 #: A band key of more unlike paragraphs isn't verified as one group: they meet by their rarest shingles instead.
 GROUP = 256
 
+#: The number of a text's first part, above those of its lines.
+PARTS = 1 << 28
+
 CHUNKS = "key long, hash long, doc long, chunk int, start int, n int, band int, dup boolean"
 FOUND = "kind int, key long, hash long, doc long, chunk int, start int, n int"
+ANCHORS = "key long, doc long, at int, dup boolean"
+WINDOWS = "key long, gram long, doc long, at int"
+SHARED = "key long, start int, n int, first_doc_id long, first_at int, removed boolean"
 
 
 def _mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -55,31 +62,198 @@ def cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
     return edges
 
 
-def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, content hash, band minima) of a text's paragraphs."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(w) for w in (text or "").encode().split()], dtype=np.uint64)
-    if not len(h):
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
+    return np.array([digest(w) for w in words], dtype=np.uint64)
+
+
+def grams(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    m = max(0, len(h) - size + 1)
+    g = h[:m]
+    with np.errstate(over="ignore"):
+        for k in range(1, size):
+            g = _mix(g, h[k : k + m])
+    return g
+
+
+def _described(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, content hash, band minima) of the parts of a text that begin ``at`` these words."""
     with np.errstate(over="ignore"):
-        at = cuts(h)
         length = np.diff(np.r_[at, len(h)])
         place = np.arange(len(h)) - np.repeat(at, length)
         content = np.add.reduceat(_mix(h, place.astype(np.uint64)), at)
-        m = len(h) - SHINGLE + 1
-        grams = np.full(len(h), np.iinfo(np.uint64).max)
-        if m > 0:
-            g = h[:m]
-            for k in range(1, SHINGLE):
-                g = _mix(g, h[k : k + m])
-            grams[:m] = g
+        own = np.full(len(h), np.iinfo(np.uint64).max)
+        g = grams(h, SHINGLE)
+        own[: len(g)] = g
         inside = place <= np.repeat(length, length) - SHINGLE  # shingles that don't reach over the paragraph's end
-        minima = np.stack([np.minimum.reduceat(np.where(inside, _mix(grams, np.uint64(b + 1)), np.iinfo(np.uint64).max), at) for b in range(BANDS)], axis=1)
+        minima = np.stack([np.minimum.reduceat(np.where(inside, _mix(own, np.uint64(b + 1)), np.iinfo(np.uint64).max), at) for b in range(BANDS)], axis=1)
         minima[length < SHINGLE] = content[length < SHINGLE, None]
         minima = _mix(minima, np.arange(BANDS, dtype=np.uint64))
     return at.astype(np.int32), length.astype(np.int32), content, minima
 
 
+def paragraphs(text: str | None) -> tuple[np.ndarray, ...]:
+    """(start, length, content hash, band minima, place in order) of a text's lines and of the parts of its long lines.
+
+    Parts are numbered from PARTS on, those of different lines apart, so that neighbours have neighbouring numbers.
+    """
+    lines = [w for line in (text or "").encode().split(b"\n") if (w := line.split())]
+    if not lines:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros(0, np.int32)
+    h = word_hashes([w for line in lines for w in line])
+    at = np.cumsum([0, *map(len, lines[:-1])])
+    whole = (*_described(h, at), np.arange(len(at), dtype=np.int32))
+    if max(map(len, lines)) <= LONGEST:
+        return whole
+    with np.errstate(over="ignore"):
+        inner = [start + cuts(h[start : start + len(line)]) if len(line) > LONGEST else np.array([start]) for start, line in zip(at.tolist(), lines)]
+    long = np.repeat([len(line) > LONGEST for line in lines], [len(x) for x in inner])
+    parts = (*_described(h, np.concatenate(inner)), PARTS + np.arange(len(long), dtype=np.int32))
+    return tuple(np.concatenate([w, x[long]]) for w, x in zip(whole, parts))
+
+
+def anchors(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shorter runs, for every run of ``least`` words where its anchor begins): the first one of least hash."""
+    size = (least + 1) // 2
+    short = grams(h, size)
+    m, wide = max(0, len(h) - least + 1), least - size + 1
+    bits = np.uint64((1 << wide.bit_length()) - 1)
+    high = short & ~bits  # the low bits hold the place, so that of equal hashes the first is least
+    low = high[:m].copy()
+    for k in range(1, wide):
+        np.minimum(low, high[k : k + m] | np.uint64(k), out=low)
+    return short, np.arange(m) + (low & bits).astype(np.int64)
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Each text's anchors; of equal ones in a batch one is dealt by its hash, the others are met already."""
+    for batch in batches:
+        docs, keys, spots = [], [], []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            short, at = anchors(word_hashes((text or "").encode().split()), least)
+            if len(at):
+                at = at[np.r_[True, at[1:] != at[:-1]]]
+                docs.append(np.full(len(at), doc, np.int64))
+                keys.append(short[at])
+                spots.append(at)
+        if not docs:
+            continue
+        doc, key, at = np.concatenate(docs), np.concatenate(keys), np.concatenate(spots)
+        _, first, group, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        other = np.ones(len(doc), bool)
+        other[first] = False
+        with np.errstate(over="ignore"):
+            key = np.where(other, _mix(doc.astype(np.uint64), at.astype(np.uint64)), key)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "doc": pa.array(doc), "at": pa.array(at.astype(np.int32)), "dup": pa.array(count[group] > 1)})
+
+
+def _met_again(t: pa.Table) -> pa.RecordBatch:
+    key, dup = t.column("key").to_numpy(), t.column("dup").to_numpy()
+    of = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+    out = t.select(["doc", "at"]).take(pa.array(np.flatnonzero((np.bincount(of)[of] > 1) | dup)))
+    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], out.column_names)
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of (doc, text, anchors met again): the runs of ``least`` words with one of these anchors, dealt by the anchor."""
+    for batch in batches:
+        parts = []
+        for doc, text, met in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            h = word_hashes((text or "").encode().split())
+            short, at = anchors(h, least)
+            of = np.zeros(len(h) + 1, bool)
+            found = np.array(met)
+            of[found[found < len(of)]] = True
+            take = np.flatnonzero(of[at])
+            with np.errstate(over="ignore"):
+                gram = _mix(short[take], short[take + least - (least + 1) // 2])  # the two together are the whole run
+            parts.append((short[at[take]], gram, np.full(len(take), doc, np.int64), take.astype(np.int32)))
+        if parts:
+            key, gram, doc, at = (np.concatenate(x) for x in zip(*parts))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "gram": pa.array(gram.view(np.int64)), "doc": pa.array(doc), "at": pa.array(at)})
+
+
+def _equal_runs(t: pa.Table, least: int) -> pa.RecordBatch:
+    """Runs that two or more documents have, neighbours put together; all but the first (by document, then place) are removed."""
+    key, gram, doc, at = (t.column(c).to_numpy() for c in ("key", "gram", "doc", "at"))
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (gram[1:] != gram[:-1])])
+    size = np.diff(np.r_[first, len(key)])
+    take = np.flatnonzero(np.repeat(doc[first] != doc[first + size - 1], size))
+    first = np.repeat(first, size)[take]
+    doc, at, first_doc, first_at = doc[take], at[take], doc[first], at[first]
+    removed = (doc != first_doc) | (at - first_at >= least)  # what a text repeats onto itself stays
+    order = np.lexsort((at, doc))
+    doc, at, first_doc, first_at, removed = (x[order] for x in (doc, at, first_doc, first_at, removed))
+    new = np.ones(len(doc), bool)
+    new[1:] = (np.diff(doc) != 0) | (np.diff(at) != 1) | (np.diff(first_doc) != 0) | (np.diff(first_at) != 1) | (removed[1:] != removed[:-1])
+    start = np.flatnonzero(new)
+    n = (np.diff(np.r_[start, len(doc)]) + least - 1).astype(np.int32)
+    cols = (doc[start], at[start], n, first_doc[start], first_at[start], removed[start])
+    return pa.RecordBatch.from_pydict(dict(zip(("key", "start", "n", "first_doc_id", "first_at", "removed"), map(pa.array, cols))))
+
+
+def bridged(runs: list[tuple[int, int, int, int]], similarity: float) -> list[tuple[int, int, int]]:
+    """(start, end, first document): runs (first document, start, end, start there) of one document, in their order, joined over
+    words that differ as long as the shingles of the runs alone give both sides the wanted Jaccard similarity."""
+    out = []
+    for first_doc, own in itertools.groupby(sorted(runs), key=lambda r: r[0]):
+        held: list[int] = []  # start, end, start there, end there, equal shingles
+        for _, start, end, there in own:
+            there_end = there + end - start
+            if held and start <= held[1] and start - held[1] == there - held[3]:  # the same run further on
+                more = max(0, end - max(held[1], start))
+                held = [held[0], max(held[1], end), held[2], max(held[3], there_end), held[4] + more]
+                continue
+            fresh = max(0, end - start - SHINGLE + 1)
+            if held and start >= held[1] and there >= held[3]:
+                both = held[4] + fresh
+                if both >= similarity * (end - held[0] + there_end - held[2] - 2 * (SHINGLE - 1) - both):
+                    held = [held[0], end, held[2], there_end, both]
+                    continue
+            if held:
+                out.append((held[0], held[1], first_doc))
+            held = [start, end, there, there_end, fresh]
+        out.append((held[0], held[1], first_doc))
+    return out
+
+
+def _passages(t: pa.Table, least: int, similarity: float) -> pa.RecordBatch:
+    """The shared stretches of each document: words that go in any of them go, the others stay."""
+    key, start, n, first_doc, removed = (t.column(c).to_numpy() for c in ("key", "start", "n", "first_doc_id", "removed"))
+    equal_run, there = t.column("first_at").is_valid().to_numpy(), t.column("first_at").fill_null(0).to_numpy()
+    shift = np.where(equal_run, start - there, 1 << 40)
+    order = np.lexsort((start, shift, first_doc, removed, key))
+    key, start, n, first_doc, removed, equal_run, there, shift = (x[order] for x in (key, start, n, first_doc, removed, equal_run, there, shift))
+    new = np.ones(len(key), bool)  # pieces of one run come from several anchors
+    new[1:] = (np.diff(key) != 0) | (removed[1:] != removed[:-1]) | (np.diff(first_doc) != 0) | (np.diff(shift) != 0) | (start[1:] > (start + n)[:-1])
+    at = np.flatnonzero(new)
+    n = np.maximum.reduceat(start + n, at) - start[at]
+    key, start, first_doc, removed, equal_run, there = (x[at] for x in (key, start, first_doc, removed, equal_run, there))
+    out = []
+    stops = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1
+    for lo, hi in zip([0, *stops[:-1].tolist()], stops.tolist()):
+        rows = [(int(start[i]), int(start[i] + n[i]), int(first_doc[i]), bool(removed[i])) for i in range(lo, hi)]
+        equal = [(f, s, e, int(there[i])) for i, (s, e, f, gone) in zip(range(lo, hi), rows) if gone and equal_run[i]]
+        rows += [(s, e, f, True) for s, e, f in bridged(equal, similarity)]
+        state = np.zeros(max(e for _, e, _, _ in rows) + 2, np.int8)  # of a word: 1 stays, 2 goes; begins and ends with 0
+        for s, e, _, gone in sorted(rows, key=lambda r: r[3]):
+            state[s + 1 : e + 1] = 1 + gone
+        firsts = np.full(len(state), np.iinfo(np.int64).max)
+        for s, e, f, _ in rows:
+            firsts[s + 1 : e + 1] = np.minimum(firsts[s + 1 : e + 1], f)
+        edges = np.flatnonzero(np.diff(state)) + 1
+        shared = np.flatnonzero(np.diff((state > 0).astype(np.int8))) + 1
+        for a, b in zip(shared[::2].tolist(), shared[1::2].tolist()):
+            if b - a >= least:
+                inner = [a, *(x for x in edges.tolist() if a < x < b), b]
+                out += [(int(key[lo]), x - 1, y - x, int(firsts[x:y].min()), bool(state[x] == 2)) for x, y in zip(inner, inner[1:])]
+    cols = list(zip(*out)) or [()] * 5
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    names = ("doc_id", "start_word", "n_words", "first_doc_id", "removed")
+    return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], list(names))
+
+
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Band rows of each paragraph; of equal paragraphs in a batch one goes to the bands, the others are found already."""
     for batch in batches:
@@ -87,7 +261,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             p = paragraphs(text)
             docs.append(np.full(len(p[0]), doc, np.int64))
-            parts.append((*p, np.arange(len(p[0]), dtype=np.int32)))
+            parts.append(p)
         if not parts:
             continue
         doc = np.concatenate(docs)
@@ -173,7 +347,7 @@ def by_rare_shingles(paragraphs: DataFrame, similarity: float = SIMILARITY) -> D
     own = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(found, i, SHINGLE))))
     grams = paragraphs.select("hash", F.explode(own).alias("g"))
     often = grams.groupBy("g").agg(F.count("*").alias("c"))
-    ordered = grams.join(often, "g").groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("o"))  # LONGEST at most
+    ordered = grams.join(often, "g").groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("o"))
     n = F.size("o")
     first = F.slice("o", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
     return ordered.select("hash", F.explode(first).alias("x")).select(F.col("x.g").alias("key"), "hash").join(paragraphs, "hash").select("key", "hash", "text")
@@ -188,20 +362,38 @@ def _cut_out(texts: pd.Series, spots: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` written; the driver's collection lets Spark delete the shuffle files that led to it, which nothing reads any more."""
+    out = materialise(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def equal_runs(own: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(key, start, n, first_doc_id, first_at, removed): runs of ``least_words`` words or more that texts (doc, text) of different documents have."""
+    dealt = own.mapInArrow(lambda batches: _anchor_rows(batches, least_words), ANCHORS).repartition("key").sortWithinPartitions("key")
+    met = dealt.mapInArrow(lambda batches: by_runs(batches, _met_again), "doc long, at int").groupBy("doc").agg(F.collect_set("at").alias("met"))
+    windows = own.join(met.hint("merge"), "doc").select("doc", "text", "met").mapInArrow(lambda batches: _window_rows(batches, least_words), WINDOWS)
+    windows = windows.repartition("key").sortWithinPartitions("key", "gram", "doc", "at")
+    return windows.mapInArrow(lambda batches: by_runs(batches, lambda t: _equal_runs(t, least_words)), SHARED)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id, removed): every passage that a document shares with another one.
 
-    Paragraphs that are equal, or share a MinHash band and have a Jaccard similarity of ``similarity`` over
-    5-word shingles, form clusters (connected components). Paragraphs in a row that are in clusters of two or
-    more documents make a passage if they have ``least_words`` words together. The first paragraph of a cluster
-    (by id, then place) stays, the others are ``removed``.
+    Equal: every run of ``least_words`` words that another document has too belongs to a passage, so passages reach
+    to their true ends; the first document (by id) keeps its words. Alike: paragraphs that share a MinHash band and
+    have a Jaccard similarity of ``similarity`` over 5-word shingles form clusters (connected components), and the
+    first paragraph of a cluster (by id, then place) stays. Equal runs in the same order as in their first document
+    are joined over the words that differ if they are as similar with these. What doesn't stay is ``removed``.
 
     Rows with a null id, null and empty texts share nothing. Rows that repeat an id are one document. Extra
     columns are ignored, an empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(f"{id_col} is not null")
+    equal = _settled(equal_runs(own, least_words))
     dealt = own.mapInArrow(_band_rows, CHUNKS).repartition("key").sortWithinPartitions("key", "hash")
-    found = materialise(dealt.mapInArrow(lambda batches: by_runs(batches, _collisions), FOUND))
+    found = _settled(dealt.mapInArrow(lambda batches: by_runs(batches, _collisions), FOUND))
     unlike = found.where("kind = 1")
     spots = unlike.groupBy("hash").agg(F.min(F.struct("doc", "start", "n")).alias("at"))
     wanted = spots.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct("hash", "at.start", "at.n")).alias("spots"))
@@ -209,23 +401,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = texts.select(F.explode(F.arrays_zip("spots", "texts")).alias("x")).select("x.spots.hash", F.col("x.texts").alias("text")).dropDuplicates(["hash"])
     met = unlike.select("key", "hash").distinct()
     crowded = met.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("key")
-    texts = materialise(texts)
+    texts = _settled(texts)
     few = met.join(crowded, "key", "left_anti").join(texts.hint("merge"), "hash").select("key", "hash", "text")
     many = texts.join(met.join(crowded, "key", "left_semi").select("hash").distinct(), "hash", "left_semi")
     pairs = few.unionByName(by_rare_shingles(many, similarity)).repartition("key").sortWithinPartitions("key", "hash")
-    edges = pairs.mapInArrow(lambda batches: by_runs(batches, lambda t: _alike(t, similarity)), "a long, b long")
+    edges = _settled(pairs.mapInArrow(lambda batches: by_runs(batches, lambda t: _alike(t, similarity)), "a long, b long"))
     parts = connected_components(edges)
     every = found.select("hash", "doc", "chunk", "start", "n").distinct().join(parts, F.col("hash") == F.col("node"), "left")
     every = materialise(every.select("doc", "chunk", "start", "n", F.coalesce("component", "hash").alias("cluster")))
     shared = every.groupBy("cluster").agg(F.min(F.struct("doc", "chunk")).alias("first"), F.max("doc").alias("last")).where("first.doc <> last")
     rows = every.join(shared, "cluster").select("doc", "chunk", "start", "n", F.col("first.doc").alias("first_doc_id"), (F.struct("doc", "chunk") != F.col("first")).alias("removed"))
     rows = rows.groupBy("doc", "chunk", "start", "n").agg(F.min("first_doc_id").alias("first_doc_id"), F.bool_and("removed").alias("removed"))
-    row = Window.partitionBy("doc").orderBy("chunk")
-    runs = rows.withColumn("run", F.col("chunk") - F.row_number().over(row))
-    runs = runs.withColumn("of", F.sum("n").over(Window.partitionBy("doc", "run"))).where(F.col("of") >= least_words)
-    part = F.col("chunk") - F.row_number().over(Window.partitionBy("doc", "removed").orderBy("chunk"))
-    passages = runs.withColumn("part", part).groupBy("doc", "run", "removed", "part").agg(F.min("start").alias("start_word"), F.sum("n").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"))
-    return passages.select(F.col("doc").alias("doc_id"), F.col("start_word").cast("long").alias("start_word"), "n_words", "first_doc_id", "removed")
+    alike = rows.select(F.col("doc").alias("key"), "start", "n", "first_doc_id", F.lit(None).cast("int").alias("first_at"), "removed")
+    pieces = equal.unionByName(alike).repartition("key").sortWithinPartitions("key", "start")
+    return pieces.mapInArrow(lambda batches: by_runs(batches, lambda t: _passages(t, least_words, similarity)), "doc_id long, start_word long, n_words long, first_doc_id long, removed boolean")
 
 
 @F.pandas_udf(T.StringType())

@@ -106,6 +106,56 @@ def test_shared_passages_are_found(spark):
     assert want <= {r.doc_id for r in passages.repeated_passages(docs).collect()}
 
 
+def test_shared_passages_are_covered_to_their_ends(spark):
+    rng = np.random.default_rng(5)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    texts, planted = [], {}
+    for i in range(120):  # passages of 16 to 80 words inside lines of two documents, and paragraphs with one changed word
+        shared = new(int(rng.choice([16, 30, 51, 51, 80])))
+        other = list(shared)
+        edited = i % 2 and len(shared) >= 51
+        if edited:
+            other[len(other) // 2] = "edited"
+        for words in (shared, other):
+            before = new(int(rng.integers(20, 60)))
+            planted[len(texts)] = range(len(before), len(before) + len(words))
+            texts.append(" ".join(before + words + new(int(rng.integers(20, 60)))))
+    texts.append("\n".join([" ".join(new(30)), " ".join(line := new(60)), "x y z"]))
+    planted[240] = planted[241] = range(30, 90)
+    line[40] = "edited"
+    texts.append("\n".join([" ".join(new(30)), " ".join(line), "z y x"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = collections.defaultdict(set)
+    kept = collections.defaultdict(set)
+    for r in passages.repeated_passages(docs).collect():
+        (gone if r.removed else kept)[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+    assert all(gone[i] == set(planted[i]) for i in range(1, 242, 2))
+    assert not any(gone[i] for i in range(0, 242, 2))
+    assert all(len(set(planted[i]) - kept[i]) <= 1 and kept[i] <= set(planted[i]) for i in range(0, 242, 2))
+
+
+def test_every_equal_run_is_found(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    least, seen = passages.LEAST_WORDS, {}
+    words = {r.doc_id: (r.text or "").encode().split() for r in docs.collect()}
+    for d in sorted(words):
+        for i in range(len(words[d]) - least + 1):
+            seen.setdefault(tuple(words[d][i : i + least]), []).append((d, i))
+    want, goes = collections.defaultdict(set), collections.defaultdict(set)
+    for places in seen.values():
+        if places[0][0] != places[-1][0]:
+            for d, i in places:
+                want[d].update(range(i, i + least))
+                if d != places[0][0]:
+                    goes[d].update(range(i, i + least))
+    got, gone = collections.defaultdict(set), collections.defaultdict(set)
+    for r in passages.repeated_passages(docs).collect():
+        got[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+        if r.removed:
+            gone[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+    assert want and all(want[d] <= got[d] and goes[d] <= gone[d] for d in want)
+
+
 def test_main_text(spark):
     pages = spark.read.parquet(f"{D}/pages.parquet")
     got = {r.page_id: r.text for r in html_text.extract(pages, layouts=400).collect()}
