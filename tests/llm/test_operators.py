@@ -185,6 +185,14 @@ def test_masked_lm_matches_a_plain_sum():
     assert np.allclose(np.bincount(of, weights=np.exp(share.astype(float)))[np.unique(of)], 1, atol=1e-3)
 
 
+def test_kneser_ney_counts_as_many_trusted_rows_as_its_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"one two three {i}", "en") for i in range(900)], "doc_id long, text string, lang string")
+    seen, plain = [], kneser_ney.count_tables
+    monkeypatch.setattr(kneser_ney, "count_tables", lambda trusted: seen.append(trusted.count()) or plain(trusted))
+    kneser_ney.classify(docs, docs.selectExpr("doc_id", "1 quality"))
+    assert seen == [600]
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark):
     texts = ["a b a c", "a b b c a", "c a b a b"]
     trusted = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
