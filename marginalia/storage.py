@@ -14,9 +14,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where the session names none."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='marginalia-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -32,3 +34,10 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` materialised; the driver's collection lets Spark delete the shuffle files that led to it, which nothing reads any more."""
+    out = materialise(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
