@@ -1,23 +1,27 @@
-"""Substring dedup: passages that documents share, equal ones to their true ends and alike paragraphs by MinHash bands.
+"""Substring dedup: passages that documents share, alike paragraphs by MinHash bands and equal ones to their true ends.
 
-Equal passages: every run of LEAST_WORDS words has an anchor, the part of it whose hash is least, and equal runs have
-equal anchors. Only runs whose anchor occurs again are compared. Alike paragraphs: lines, and in long lines also parts
-cut where the words themselves say so (a word pair whose hash is the least of its neighbourhood).
+Alike paragraphs: lines, and in long lines also parts cut where the words themselves say so (a word pair whose hash is
+the least of its neighbourhood). Equal passages: every run of LEAST_WORDS words has an anchor, the part of it whose
+hash is least, and equal runs have equal anchors. Texts are read twice and never shuffled: first the hashes of all
+anchors and bands are dealt out; what meets there is put into filters of a fixed size, and then only the anchors and
+paragraphs that pass a filter are sent, with the words around them. What passes in error meets nothing.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from marginalia.llm.filters import KeyFilter
 from marginalia.operators.graph import connected_components
-from marginalia.storage import materialise
+from marginalia.storage import settled
 
 #: A cut needs the least pair hash of this many words to either side; no part of a long line is longer than LONGEST words.
 REACH = 24
@@ -28,18 +32,21 @@ SIMILARITY = 0.8
 BANDS = 3
 #: Words in a row that a document must share with others, counted to the true ends of what is shared.
 LEAST_WORDS = 16
+#: Bits of the filters for what has met.
+FILTER_BITS = 1 << 26
+#: Parts that the rows of a common paragraph or shingle are dealt into for joins.
+SALT = 16
 #: A band key of more unlike paragraphs isn't verified as one group: they meet by their rarest shingles instead.
 GROUP = 256
 
 #: The number of a text's first part, above those of its lines.
 PARTS = 1 << 28
 
-CHUNKS = "key long, hash long, doc long, chunk int, start int, n int, band int, dup boolean"
-FOUND = "kind int, key long, hash long, doc long, chunk int, start int, n int"
-ANCHORS = "key long, doc long, at int, dup boolean"
-WINDOWS = "key long, gram long, doc long, at int"
-SHARED = "key long, start int, n int, first_doc_id long, first_at int, removed boolean"
-
+KEYS = "kind int, key long, hash long"
+PLACES = "kind int, key long, doc long, tag int, at int, n int, chunk int, room int, around binary, text string"
+FOUND = "kind int, key long, doc long, tag int, start int, n int, chunk int, first_doc_id long, first_at int, removed boolean, text string"
+SPANS = "doc_id long, tag int, start_word long, n_words long, first_doc_id long, removed boolean"
+PIECE = ("key", "doc", "tag", "start", "n", "first_doc_id", "first_at", "removed")
 
 def _mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b
@@ -93,22 +100,26 @@ def _described(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return at.astype(np.int32), length.astype(np.int32), content, minima
 
 
-def paragraphs(text: str | None) -> tuple[np.ndarray, ...]:
+def split_lines(text: str | None) -> tuple[np.ndarray, list[int]]:
+    """Hashes of a text's words, and how many words each of its lines has that has any."""
+    lines = [w for line in (text or "").encode().split(b"\n") if (w := line.split())]
+    return word_hashes([w for line in lines for w in line]), [len(line) for line in lines]
+
+
+def paragraphs(h: np.ndarray, lines: list[int]) -> tuple[np.ndarray, ...]:
     """(start, length, content hash, band minima, place in order) of a text's lines and of the parts of its long lines.
 
     Parts are numbered from PARTS on, those of different lines apart, so that neighbours have neighbouring numbers.
     """
-    lines = [w for line in (text or "").encode().split(b"\n") if (w := line.split())]
     if not lines:
         return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros(0, np.int32)
-    h = word_hashes([w for line in lines for w in line])
-    at = np.cumsum([0, *map(len, lines[:-1])])
+    at = np.cumsum([0, *lines[:-1]])
     whole = (*_described(h, at), np.arange(len(at), dtype=np.int32))
-    if max(map(len, lines)) <= LONGEST:
+    if max(lines) <= LONGEST:
         return whole
     with np.errstate(over="ignore"):
-        inner = [start + cuts(h[start : start + len(line)]) if len(line) > LONGEST else np.array([start]) for start, line in zip(at.tolist(), lines)]
-    long = np.repeat([len(line) > LONGEST for line in lines], [len(x) for x in inner])
+        inner = [start + cuts(h[start : start + n]) if n > LONGEST else np.array([start]) for start, n in zip(at.tolist(), lines)]
+    long = np.repeat([n > LONGEST for n in lines], [len(x) for x in inner])
     parts = (*_described(h, np.concatenate(inner)), PARTS + np.arange(len(long), dtype=np.int32))
     return tuple(np.concatenate([w, x[long]]) for w, x in zip(whole, parts))
 
@@ -126,71 +137,144 @@ def anchors(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return short, np.arange(m) + (low & bits).astype(np.int64)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Each text's anchors; of equal ones in a batch one is dealt by its hash, the others are met already."""
-    for batch in batches:
-        docs, keys, spots = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            short, at = anchors(word_hashes((text or "").encode().split()), least)
-            if len(at):
-                at = at[np.r_[True, at[1:] != at[:-1]]]
-                docs.append(np.full(len(at), doc, np.int64))
-                keys.append(short[at])
-                spots.append(at)
-        if not docs:
-            continue
-        doc, key, at = np.concatenate(docs), np.concatenate(keys), np.concatenate(spots)
-        _, first, group, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        other = np.ones(len(doc), bool)
-        other[first] = False
-        with np.errstate(over="ignore"):
-            key = np.where(other, _mix(doc.astype(np.uint64), at.astype(np.uint64)), key)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "doc": pa.array(doc), "at": pa.array(at.astype(np.int32)), "dup": pa.array(count[group] > 1)})
-
+def _batch(schema: str, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    """A batch of ``schema``; columns that aren't given are null."""
+    types = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    n = len(next(iter(columns.values())))
+    made = []
+    for name, kind in fields:
+        c = columns.get(name)
+        made.append(pa.nulls(n, types[kind]) if c is None else c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(types[kind]))
+    return pa.RecordBatch.from_arrays(made, [name for name, _ in fields])
 
-def _met_again(t: pa.Table) -> pa.RecordBatch:
-    key, dup = t.column("key").to_numpy(), t.column("dup").to_numpy()
-    of = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
-    out = t.select(["doc", "at"]).take(pa.array(np.flatnonzero((np.bincount(of)[of] > 1) | dup)))
-    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], out.column_names)
 
-
-def _window_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Of (doc, text, anchors met again): the runs of ``least`` words with one of these anchors, dealt by the anchor."""
+def _key_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of texts: each anchor once (kind 0; 1 if the batch has it again), each band of each paragraph once (kind 2)."""
+    for batch in batches:
+        keys, bands = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.uint64)]
+        for text in batch.column(0).to_pylist():
+            h, lines = split_lines(text)
+            short, at = anchors(h, least)
+            keys.append(short[at[np.r_[True, at[1:] != at[:-1]]]] if len(at) else at.astype(np.uint64))
+            _, n, content, minima, _ = paragraphs(h, lines)
+            long = n >= least
+            bands += [np.stack([minima[long, b], content[long]], axis=1) for b in range(BANDS)]
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        met = np.concatenate(bands)
+        met = met[np.lexsort((met[:, 1], met[:, 0]))]
+        met = met[np.r_[True, (met[1:] != met[:-1]).any(1)]] if len(met) else met
+        yield _batch(KEYS, kind=(count > 1).astype(np.int32), key=key, hash=np.zeros(len(key), np.int64))
+        yield _batch(KEYS, kind=np.full(len(met), 2, np.int32), key=np.ascontiguousarray(met[:, 0]), hash=np.ascontiguousarray(met[:, 1]))
+
+
+def _met(t: pa.Table) -> pa.RecordBatch:
+    """Anchors that occur again (kind 0), and each of the unlike paragraphs that share a band (kind 1)."""
+    kind, key, content = (t.column(c).to_numpy() for c in ("kind", "key", "hash"))
+    band = kind == 2
+    anchor = np.flatnonzero(~band)
+    again, count = np.unique(key[anchor], return_counts=True)
+    again = np.union1d(again[count > 1], key[anchor][kind[anchor] == 1])
+    key, content = key[band], content[band]
+    new = np.r_[True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])][: len(key)]
+    key, content = key[new], content[new]
+    of = np.cumsum(np.r_[True, key[1:] != key[:-1]][: len(key)]) - 1
+    many = np.bincount(of)[of] > 1 if len(key) else new
+    kinds = np.r_[np.zeros(len(again), np.int32), np.ones(int(many.sum()), np.int32)]
+    return _batch(KEYS, kind=kinds, key=np.r_[again, key[many]], hash=np.r_[np.zeros(len(again), np.int64), content[many]])
+
+
+def _place_rows(batches: Iterator[pa.RecordBatch], least: int, met: KeyFilter, unlike: KeyFilter) -> Iterator[pa.RecordBatch]:
+    """Of (doc, tag, text): anchors that may be met again (kind 0) and paragraphs that may be unlike others of a band (kind 1).
+
+    An anchor comes with two bytes of the hash of each word around it, as far as runs that it is the anchor of reach,
+    and with ``room``: from how many to how many words before it such runs begin. A paragraph comes with its words, of
+    equal ones in a batch only the first.
+    """
+    size = (least + 1) // 2
+    side = least - size
+    steps = np.r_[-np.arange(1, side + 1), size + np.arange(side)]
     for batch in batches:
-        parts = []
-        for doc, text, met in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            h = word_hashes((text or "").encode().split())
+        rows: list[list[np.ndarray]] = [[] for _ in range(6)]
+        found: list[tuple] = []
+        had: set[int] = set()
+        for doc, tag, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            h, lines = split_lines(text)
             short, at = anchors(h, least)
-            of = np.zeros(len(h) + 1, bool)
-            found = np.array(met)
-            of[found[found < len(of)]] = True
-            take = np.flatnonzero(of[at])
-            with np.errstate(over="ignore"):
-                gram = _mix(short[take], short[take + least - (least + 1) // 2])  # the two together are the whole run
-            parts.append((short[at[take]], gram, np.full(len(take), doc, np.int64), take.astype(np.int32)))
-        if parts:
-            key, gram, doc, at = (np.concatenate(x) for x in zip(*parts))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "gram": pa.array(gram.view(np.int64)), "doc": pa.array(doc), "at": pa.array(at)})
+            if len(at):
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                last = np.r_[first[1:], len(at)] - 1
+                at = at[first]
+                key = short[at]
+                take = np.flatnonzero(met.maybe(key))
+                at = at[take]
+                around = np.pad((h >> np.uint64(48)).astype(np.uint16), side)[side + at[:, None] + steps]
+                for column, values in zip(rows, (key[take], np.full(len(at), doc), np.full(len(at), tag), at, ((at - last[take]) << 16) + at - first[take], around)):
+                    column.append(values)
+            start, n, content, _, chunk = paragraphs(h, lines)
+            if len(start):
+                words = None
+                for i in np.flatnonzero((n >= least) & unlike.maybe(content)).tolist():
+                    own, own_text = int(content[i]), None
+                    if own not in had:
+                        had.add(own)
+                        words = (text or "").encode().split() if words is None else words
+                        own_text = b" ".join(words[start[i] : start[i] + n[i]]).decode()
+                    found.append((content[i], doc, tag, int(start[i]), int(n[i]), int(chunk[i]), own_text))
+        if rows[0]:
+            key, doc, tag, at, room, around = (np.concatenate(x) for x in rows)
+            width = 2 * around.shape[1]
+            offsets = pa.array(np.arange(len(key) + 1, dtype=np.int32) * width)
+            binary = pa.Array.from_buffers(pa.binary(), len(key), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(around).tobytes())])
+            yield _batch(PLACES, kind=np.zeros(len(key), np.int32), key=key, doc=doc.astype(np.int64), tag=tag.astype(np.int32), at=at, room=room, around=binary)
+        if found:
+            key, doc, tag, at, n, chunk, texts = zip(*found)
+            yield _batch(PLACES, kind=np.ones(len(key), np.int32), key=np.array(key, np.uint64), doc=np.array(doc, np.int64), tag=np.array(tag, np.int32), at=np.array(at), n=np.array(n), chunk=np.array(chunk), text=pa.array(texts, pa.string()))
+
+
+def _found(t: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
+    kind = t.column("kind").to_numpy()
+    yield _equal_runs(t.filter(pa.array(kind == 0)), least)
+    t = t.filter(pa.array(kind == 1))
+    if t.num_rows:
+        whole = {c: t.column(c).combine_chunks() for c in ("kind", "key", "doc", "tag", "n", "chunk", "text")}
+        yield _batch(FOUND, start=t.column("at").combine_chunks(), **whole)
 
 
 def _equal_runs(t: pa.Table, least: int) -> pa.RecordBatch:
-    """Runs that two or more documents have, neighbours put together; all but the first (by document, then place) are removed."""
-    key, gram, doc, at = (t.column(c).to_numpy() for c in ("key", "gram", "doc", "at"))
-    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (gram[1:] != gram[:-1])])
-    size = np.diff(np.r_[first, len(key)])
-    take = np.flatnonzero(np.repeat(doc[first] != doc[first + size - 1], size))
-    first = np.repeat(first, size)[take]
-    doc, at, first_doc, first_at = doc[take], at[take], doc[first], at[first]
-    removed = (doc != first_doc) | (at - first_at >= least)  # what a text repeats onto itself stays
-    order = np.lexsort((at, doc))
-    doc, at, first_doc, first_at, removed = (x[order] for x in (doc, at, first_doc, first_at, removed))
+    """Runs that two or more texts have, neighbours put together; all but the first (by document, then place) are removed."""
+    size = (least + 1) // 2
+    side = least - size
+    key, doc, tag, at, room = (t.column(c).to_numpy() for c in ("key", "doc", "tag", "at", "room"))
+    around = np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint16).reshape(len(key), 2 * side).astype(np.uint64)
+    low, high = room >> 16, room & 0xFFFF
+    with np.errstate(over="ignore"):
+        left, right = [key.view(np.uint64)], [np.zeros(len(key), np.uint64)]
+        for k in range(side):
+            left.append(_mix(left[-1], around[:, k]))
+            right.append(_mix(right[-1], around[:, side + k]))
+        rows = [np.flatnonzero((low <= k) & (k <= high)) for k in range(side + 1)]
+        gram = np.concatenate([_mix(left[k][r], right[side - k][r] + np.uint64(k)) for k, r in enumerate(rows)])
+    before = np.repeat(np.arange(side + 1), [len(r) for r in rows])
+    row = np.concatenate(rows)
+    order = np.argsort(gram, kind="stable")  # rows come by key, document and place: so do those of one run
+    gram, row, start = gram[order], row[order], at[row[order]] - before[order]
+    doc, tag = doc[row], tag[row]
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]][: len(gram)])
+    count = np.diff(np.r_[first, len(gram)])
+    last = first + count - 1
+    take = np.flatnonzero(np.repeat((doc[first] != doc[last]) | (tag[first] != tag[last]), count))
+    first = np.repeat(first, count)[take]
+    doc, tag, start, first_doc, first_tag, first_at = doc[take], tag[take], start[take], doc[first], tag[first], start[first]
+    removed = (doc != first_doc) | (tag != first_tag) | (start - first_at >= least)  # what a text repeats onto itself stays
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start, first_doc, first_at, removed = (x[order] for x in (doc, tag, start, first_doc, first_at, removed))
     new = np.ones(len(doc), bool)
-    new[1:] = (np.diff(doc) != 0) | (np.diff(at) != 1) | (np.diff(first_doc) != 0) | (np.diff(first_at) != 1) | (removed[1:] != removed[:-1])
-    start = np.flatnonzero(new)
-    n = (np.diff(np.r_[start, len(doc)]) + least - 1).astype(np.int32)
-    cols = (doc[start], at[start], n, first_doc[start], first_at[start], removed[start])
-    return pa.RecordBatch.from_pydict(dict(zip(("key", "start", "n", "first_doc_id", "first_at", "removed"), map(pa.array, cols))))
+    new[1:] = (np.diff(doc) != 0) | (np.diff(tag) != 0) | (np.diff(start) != 1) | (np.diff(first_doc) != 0) | (np.diff(first_at) != 1) | (removed[1:] != removed[:-1])
+    begin = np.flatnonzero(new)
+    n = np.diff(np.r_[begin, len(doc)]) + least - 1
+    doc, tag, start, first_doc, first_at, removed = (x[begin] for x in (doc, tag, start, first_doc, first_at, removed))
+    return _batch(FOUND, kind=np.zeros(len(doc), np.int32), key=doc, doc=doc, tag=tag, start=start, n=n, first_doc_id=first_doc, first_at=first_at, removed=removed)
 
 
 def bridged(runs: list[tuple[int, int, int, int]], similarity: float) -> list[tuple[int, int, int]]:
@@ -219,17 +303,17 @@ def bridged(runs: list[tuple[int, int, int, int]], similarity: float) -> list[tu
 
 
 def _passages(t: pa.Table, least: int, similarity: float) -> pa.RecordBatch:
-    """The shared stretches of each document: words that go in any of them go, the others stay."""
-    key, start, n, first_doc, removed = (t.column(c).to_numpy() for c in ("key", "start", "n", "first_doc_id", "removed"))
+    """The shared stretches of each text: words that go in any of them go, the others stay."""
+    key, doc, tag, start, n, first_doc, removed = (t.column(c).to_numpy() for c in ("key", "doc", "tag", "start", "n", "first_doc_id", "removed"))
     equal_run, there = t.column("first_at").is_valid().to_numpy(), t.column("first_at").fill_null(0).to_numpy()
     shift = np.where(equal_run, start - there, 1 << 40)
     order = np.lexsort((start, shift, first_doc, removed, key))
-    key, start, n, first_doc, removed, equal_run, there, shift = (x[order] for x in (key, start, n, first_doc, removed, equal_run, there, shift))
+    key, doc, tag, start, n, first_doc, removed, equal_run, there, shift = (x[order] for x in (key, doc, tag, start, n, first_doc, removed, equal_run, there, shift))
     new = np.ones(len(key), bool)  # pieces of one run come from several anchors
     new[1:] = (np.diff(key) != 0) | (removed[1:] != removed[:-1]) | (np.diff(first_doc) != 0) | (np.diff(shift) != 0) | (start[1:] > (start + n)[:-1])
     at = np.flatnonzero(new)
     n = np.maximum.reduceat(start + n, at) - start[at]
-    key, start, first_doc, removed, equal_run, there = (x[at] for x in (key, start, first_doc, removed, equal_run, there))
+    key, doc, tag, start, first_doc, removed, equal_run, there = (x[at] for x in (key, doc, tag, start, first_doc, removed, equal_run, there))
     out = []
     stops = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1
     for lo, hi in zip([0, *stops[:-1].tolist()], stops.tolist()):
@@ -247,37 +331,12 @@ def _passages(t: pa.Table, least: int, similarity: float) -> pa.RecordBatch:
         for a, b in zip(shared[::2].tolist(), shared[1::2].tolist()):
             if b - a >= least:
                 inner = [a, *(x for x in edges.tolist() if a < x < b), b]
-                out += [(int(key[lo]), x - 1, y - x, int(firsts[x:y].min()), bool(state[x] == 2)) for x, y in zip(inner, inner[1:])]
-    cols = list(zip(*out)) or [()] * 5
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-    names = ("doc_id", "start_word", "n_words", "first_doc_id", "removed")
-    return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], list(names))
+                out += [(int(doc[lo]), int(tag[lo]), x - 1, y - x, int(firsts[x:y].min()), bool(state[x] == 2)) for x, y in zip(inner, inner[1:])]
+    cols = list(zip(*out)) or [()] * 6
+    return _batch(SPANS, **{name.split()[0]: np.array(c, bool if name.endswith("boolean") else np.int64) for name, c in zip(SPANS.split(", "), cols)})
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band rows of each paragraph; of equal paragraphs in a batch one goes to the bands, the others are found already."""
-    for batch in batches:
-        docs, parts = [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            p = paragraphs(text)
-            docs.append(np.full(len(p[0]), doc, np.int64))
-            parts.append(p)
-        if not parts:
-            continue
-        doc = np.concatenate(docs)
-        start, n, content, minima, chunk = (np.concatenate(x) for x in zip(*parts))
-        _, first, group, count = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
-        lead, dup = np.zeros(len(doc), bool), count[group] > 1
-        lead[first] = True
-        for band in range(BANDS + 1):
-            take = ~lead if band == BANDS else lead
-            key = _mix(doc.astype(np.uint64), chunk.astype(np.uint64)) if band == BANDS else minima[:, band]
-            cols = (key.view(np.int64), content.view(np.int64), doc, chunk, start, n, np.full(len(doc), band, np.int32), dup)
-            names = ("key", "hash", "doc", "chunk", "start", "n", "band", "dup")
-            yield pa.RecordBatch.from_pydict({k: pa.array(c[take]) for k, c in zip(names, cols)})
-
-
-def by_runs(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+def by_runs(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """``work`` over rows that come sorted by key, never with a key's rows apart."""
     held: list[pa.Table] = []
     for batch in batches:
@@ -287,26 +346,10 @@ def by_runs(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.Rec
         key = batch.column("key").to_numpy()
         if sum(x.num_rows for x in held) >= rows and key[0] != key[-1]:
             cut = int(np.searchsorted(key, key[-1]))
-            yield work(pa.concat_tables([*held[:-1], held[-1].slice(0, cut)]))
+            yield from work(pa.concat_tables([*held[:-1], held[-1].slice(0, cut)]))
             held = [held[-1].slice(cut)]
     if held:
-        yield work(pa.concat_tables(held))
-
-
-def _collisions(t: pa.Table) -> pa.RecordBatch:
-    """kind 0: paragraphs that have an equal; kind 1: one row for each of the unlike paragraphs that share a key."""
-    key, content, band, dup = (t.column(c).to_numpy() for c in ("key", "hash", "band", "dup"))
-    new_key = np.r_[True, key[1:] != key[:-1]]
-    new_hash = new_key | np.r_[True, content[1:] != content[:-1]]
-    of_hash = np.cumsum(new_hash) - 1
-    of_key = np.cumsum(new_key) - 1
-    equals = (np.bincount(of_hash)[of_hash] > 1) | dup
-    unlike = np.bincount(of_key, weights=new_hash)[of_key] > 1
-    zero = np.flatnonzero(equals & ((band == 0) | (band == BANDS)))
-    one = np.flatnonzero(new_hash & unlike & (band < BANDS))
-    out = t.select(["key", "hash", "doc", "chunk", "start", "n"]).take(pa.array(np.r_[zero, one]))
-    kinds = pa.array(np.r_[np.zeros(len(zero), np.int32), np.ones(len(one), np.int32)])
-    return pa.RecordBatch.from_arrays([kinds, *(c.combine_chunks() for c in out.columns)], ["kind", *out.column_names])
+        yield from work(pa.concat_tables(held))
 
 
 def shingles(found: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
@@ -345,99 +388,110 @@ def by_rare_shingles(paragraphs: DataFrame, similarity: float = SIMILARITY) -> D
     found = F.split(F.coalesce("text", F.lit("")), " ")
     starts = F.sequence(F.lit(1), F.greatest(F.size(found) - (SHINGLE - 1), F.lit(1)))
     own = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(found, i, SHINGLE))))
-    grams = paragraphs.select("hash", F.explode(own).alias("g"))
-    often = grams.groupBy("g").agg(F.count("*").alias("c"))
-    ordered = grams.join(often, "g").groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("o"))
+    grams = paragraphs.select("hash", F.explode(own).alias("g"), F.pmod("hash", F.lit(SALT)).alias("salt"))
+    often = grams.groupBy("g").agg(F.count("*").alias("c")).withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALT - 1}L)")))
+    ordered = grams.join(often, ["g", "salt"]).groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("o"))
     n = F.size("o")
     first = F.slice("o", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
     return ordered.select("hash", F.explode(first).alias("x")).select(F.col("x.g").alias("key"), "hash").join(paragraphs, "hash").select("key", "hash", "text")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _cut_out(texts: pd.Series, spots: pd.Series) -> pd.Series:
-    out = []
-    for text, own in zip(texts, spots):
-        found = (text or "").encode().split()
-        out.append([b" ".join(found[s["start"] : s["start"] + s["n"]]).decode() for s in own])
-    return pd.Series(out)
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    """``df`` written; the driver's collection lets Spark delete the shuffle files that led to it, which nothing reads any more."""
-    out = materialise(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
-def equal_runs(own: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(key, start, n, first_doc_id, first_at, removed): runs of ``least_words`` words or more that texts (doc, text) of different documents have."""
-    dealt = own.mapInArrow(lambda batches: _anchor_rows(batches, least_words), ANCHORS).repartition("key").sortWithinPartitions("key")
-    met = dealt.mapInArrow(lambda batches: by_runs(batches, _met_again), "doc long, at int").groupBy("doc").agg(F.collect_set("at").alias("met"))
-    windows = own.join(met.hint("merge"), "doc").select("doc", "text", "met").mapInArrow(lambda batches: _window_rows(batches, least_words), WINDOWS)
-    windows = windows.repartition("key").sortWithinPartitions("key", "gram", "doc", "at")
-    return windows.mapInArrow(lambda batches: by_runs(batches, lambda t: _equal_runs(t, least_words)), SHARED)
-
-
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, start_word, n_words, first_doc_id, removed): every passage that a document shares with another one.
-
-    Equal: every run of ``least_words`` words that another document has too belongs to a passage, so passages reach
-    to their true ends; the first document (by id) keeps its words. Alike: paragraphs that share a MinHash band and
-    have a Jaccard similarity of ``similarity`` over 5-word shingles form clusters (connected components), and the
-    first paragraph of a cluster (by id, then place) stays. Equal runs in the same order as in their first document
-    are joined over the words that differ if they are as similar with these. What doesn't stay is ``removed``.
-
-    Rows with a null id, null and empty texts share nothing. Rows that repeat an id are one document. Extra
-    columns are ignored, an empty table gives an empty result.
+    """(doc_id, tag, start_word, n_words, first_doc_id, removed): every passage that a document shares with another one.
+
+    Equal: every run of ``least_words`` words that another text has too belongs to a passage, so passages reach to
+    their true ends; the first text (by id) keeps its words. Alike: paragraphs of ``least_words`` or more that share
+    a MinHash band and have a Jaccard similarity of ``similarity`` over 5-word shingles form clusters (connected
+    components), and the first paragraph of a cluster (by id, then place) stays. Equal runs in the same order as in
+    their first document are joined over the words that differ if they are as similar with these. What doesn't stay
+    is ``removed``.
+
+    Texts are told apart by id and by ``tag``, 31 bits of the text's hash: rows that repeat an id with other texts
+    are texts of their own, rows that repeat both are one. Rows with a null id, null and empty texts share nothing.
+    Extra columns of any name are ignored, an empty table gives an empty result.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(f"{id_col} is not null")
-    equal = _settled(equal_runs(own, least_words))
-    dealt = own.mapInArrow(_band_rows, CHUNKS).repartition("key").sortWithinPartitions("key", "hash")
-    found = _settled(dealt.mapInArrow(lambda batches: by_runs(batches, _collisions), FOUND))
-    unlike = found.where("kind = 1")
-    spots = unlike.groupBy("hash").agg(F.min(F.struct("doc", "start", "n")).alias("at"))
-    wanted = spots.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct("hash", "at.start", "at.n")).alias("spots"))
-    texts = own.join(wanted.hint("merge"), "doc").select("spots", _cut_out("text", "spots").alias("texts"))
-    texts = texts.select(F.explode(F.arrays_zip("spots", "texts")).alias("x")).select("x.spots.hash", F.col("x.texts").alias("text")).dropDuplicates(["hash"])
-    met = unlike.select("key", "hash").distinct()
-    crowded = met.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("key")
-    texts = _settled(texts)
-    few = met.join(crowded, "key", "left_anti").join(texts.hint("merge"), "hash").select("key", "hash", "text")
-    many = texts.join(met.join(crowded, "key", "left_semi").select("hash").distinct(), "hash", "left_semi")
+    name, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    own = docs.select(name.cast("long").alias("doc"), text_tag(text).alias("tag"), text.alias("text")).where("doc is not null")
+    dealt = own.select("text").mapInArrow(lambda batches: _key_rows(batches, least_words), KEYS).repartition("key").sortWithinPartitions("key", "hash")
+    found = settled(dealt.mapInArrow(lambda batches: by_runs(batches, lambda t: [_met(t)], 1 << 18), KEYS))
+    unlike = found.where("kind = 1").select("key", "hash")
+    # filters of FILTER_BITS each, whatever their number of keys
+    filters = docs.sparkSession.sparkContext.broadcast((KeyFilter(found.where("kind = 0").select("key"), FILTER_BITS), KeyFilter(unlike.select(F.col("hash").alias("key")), FILTER_BITS)))
+    places = own.mapInArrow(lambda batches: _place_rows(batches, least_words, *filters.value), PLACES).repartition("key").sortWithinPartitions("key", "doc", "tag", "at")
+    placed = settled(places.mapInArrow(lambda batches: by_runs(batches, lambda t: _found(t, least_words)), FOUND))
+    spots = placed.where("kind = 1").select(F.col("key").alias("hash"), "doc", "tag", "chunk", "start", "n", "text")
+    texts = settled(spots.where("text is not null").groupBy("hash").agg(F.min("text").alias("text")))
+    crowded = unlike.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("key")
+    few = unlike.join(crowded, "key", "left_anti").join(texts.hint("merge"), "hash").select("key", "hash", "text")
+    many = texts.join(unlike.join(crowded, "key", "left_semi").select("hash").distinct(), "hash", "left_semi")
     pairs = few.unionByName(by_rare_shingles(many, similarity)).repartition("key").sortWithinPartitions("key", "hash")
-    edges = _settled(pairs.mapInArrow(lambda batches: by_runs(batches, lambda t: _alike(t, similarity)), "a long, b long"))
-    parts = connected_components(edges)
-    every = found.select("hash", "doc", "chunk", "start", "n").distinct().join(parts, F.col("hash") == F.col("node"), "left")
-    every = materialise(every.select("doc", "chunk", "start", "n", F.coalesce("component", "hash").alias("cluster")))
-    shared = every.groupBy("cluster").agg(F.min(F.struct("doc", "chunk")).alias("first"), F.max("doc").alias("last")).where("first.doc <> last")
-    rows = every.join(shared, "cluster").select("doc", "chunk", "start", "n", F.col("first.doc").alias("first_doc_id"), (F.struct("doc", "chunk") != F.col("first")).alias("removed"))
-    rows = rows.groupBy("doc", "chunk", "start", "n").agg(F.min("first_doc_id").alias("first_doc_id"), F.bool_and("removed").alias("removed"))
-    alike = rows.select(F.col("doc").alias("key"), "start", "n", "first_doc_id", F.lit(None).cast("int").alias("first_at"), "removed")
-    pieces = equal.unionByName(alike).repartition("key").sortWithinPartitions("key", "start")
-    return pieces.mapInArrow(lambda batches: by_runs(batches, lambda t: _passages(t, least_words, similarity)), "doc_id long, start_word long, n_words long, first_doc_id long, removed boolean")
+    edges = settled(pairs.mapInArrow(lambda batches: by_runs(batches, lambda t: [_alike(t, similarity)]), "a long, b long"))
+    parts = connected_components(edges).withColumnRenamed("node", "hash")
+    place = F.struct("doc", "tag", "chunk")
+    ends = spots.groupBy("hash").agg(F.min(place).alias("first"), F.max(F.struct("doc", "tag")).alias("last")).join(parts, "hash")
+    heads = ends.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.doc <> last.doc or first.tag <> last.tag")
+    named = parts.join(heads.select("component", "first"), "component").select("hash", "first", F.explode(F.expr(f"sequence(0L, {SALT - 1}L)")).alias("salt"))
+    alike = spots.withColumn("salt", F.pmod(F.xxhash64("doc", "tag"), F.lit(SALT))).join(named, ["hash", "salt"])
+    alike = alike.select("doc", "tag", "start", "n", F.col("first.doc").alias("first_doc_id"), F.lit(None).cast("int").alias("first_at"), (place != F.col("first")).alias("removed"))
+    pieces = placed.where("kind = 0").select(*PIECE[1:]).unionByName(alike).withColumn("key", F.xxhash64("doc", "tag"))
+    pieces = pieces.repartition("key").sortWithinPartitions("key", "start")
+    return pieces.mapInArrow(lambda batches: by_runs(batches, lambda t: [_passages(t, least_words, similarity)]), SPANS)
+
+
+def text_tag(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
+def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without these runs (start, n) of its words. All else stays as it is; of the gaps on either side of a run one stays, with the line break if one has it."""
+    data = text.encode()
+    found = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    out, kept = [], 0
+    for start, n in merged(spans):
+        stop = min(start + n, len(found))
+        if start >= stop:
+            continue
+        before, after = found[start - 1][1] if start else 0, found[stop][0] if stop < len(found) else len(data)
+        left, right = (before, found[start][0]), (found[stop - 1][1], after)
+        gap = right if not start or b"\n" in data[slice(*right)] and b"\n" not in data[slice(*left)] else left
+        if not start:
+            gap = (0, found[0][0])
+        elif stop == len(found):
+            gap = right
+        out += [data[kept:before], data[slice(*gap)]]
+        kept = after
+    return b"".join([*out, data[kept:]]).decode()
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs in order, those that touch put together."""
+    out: list[list[int]] = []
+    for start, n in sorted(spans):
+        if out and start <= out[-1][0] + out[-1][1]:
+            out[-1][1] = max(out[-1][1], start + n - out[-1][0])
+        else:
+            out.append([start, n])
+    return [(a, n) for a, n in out]
 
 
 @F.pandas_udf(T.StringType())
 def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for text, own in zip(texts, spans):
-        if own is None or text is None or not len(own):
-            out.append(text)
-            continue
-        gone = {i for s in own for i in range(s["start_word"], s["start_word"] + s["n_words"])}
-        out.append(b" ".join(w for i, w in enumerate(text.encode().split()) if i not in gone).decode())
-    return pd.Series(out, dtype="object")
+    return pd.Series([cut_out(text, [(s["start_word"], s["n_words"]) for s in own]) for text, own in zip(texts, spans)], dtype="object")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with removed passages cut out of the texts, whose words are then joined by spaces; texts with nothing to remove stay as they are.
+    """``docs`` with removed passages cut out of the texts; all else of a text, line breaks too, and texts with nothing to remove stay as they are.
 
-    Documents that lose all their words go. n_chars, if there is such a column, is that of the new text.
+    Documents that lose all their words go. n_chars, if there is such a column, is that of the new text. Rows
+    are told apart by id and text; null ids, null and empty texts stay as they are; all columns stay, of any name.
     """
-    spans = repeated_passages(docs, id_col, text_col).where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("_spans"))
-    out = docs.join(spans.withColumnRenamed("doc_id", "_doc").hint("merge"), F.col(id_col) == F.col("_doc"), "left")
-    out = out.withColumn("_new", F.when(F.col("_spans").isNotNull(), _without(text_col, "_spans")).otherwise(F.col(text_col)))
-    out = out.where("_spans is null or _new <> ''").withColumn(text_col, F.col("_new"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
-    return out.select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    name, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = docs.select(F.struct(*columns).alias("row"), name.cast("long").alias("doc_id"), text_tag(text).alias("tag"), text.alias("text"))
+    spans = repeated_passages(docs, id_col, text_col).where("removed").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
+    out = rows.join(spans.hint("merge"), ["doc_id", "tag"], "left")
+    out = out.withColumn("new", F.when(F.col("spans").isNotNull(), _without("text", "spans")))
+    out = out.where(F.col("spans").isNull() | F.col("new").rlike("[^\\x20\\x09-\\x0D]"))
+    fresh = {text_col: F.col("new"), "n_chars": F.length("new").cast("long")}
+    kept = [F.when(F.col("spans").isNull(), F.col("row")[c]).otherwise(fresh[c]).alias(c) if c in fresh else F.col("row")[c].alias(c) for c in docs.columns]
+    return out.select(*kept)
