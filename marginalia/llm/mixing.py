@@ -1,15 +1,20 @@
-"""Mixing sources to target weights: blocks of words, drawn by shard and found through index permutations."""
+"""Mixing sources to target weights: blocks of words, drawn by shard and found through index permutations.
+
+A source's words are a stream of its documents, cut into blocks of BLOCK words (the last one may be shorter).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marginalia.llm.words import n_words, numbered, row_key, slice_words
+from marginalia.llm.words import has_words, n_words, numbered, row_key, slice_words, with_pieces
 from marginalia.storage import materialise
 
 BLOCK = 64
 SHARD = 1 << 16
 SEED = 17
+#: Positions that are drawn in one row's turn.
+SPREAD = 1 << 16
 #: Parts of a source whose sizes are summed apart, so that no running sum goes over a whole source.
 PARTS = 4096
 #: Two primes; a multiplier has no factor in common with a modulus that it doesn't divide.
@@ -17,11 +22,6 @@ PRIMES = (67108859, 33554393)
 MOST = 3
 
 
-def _uniform(*of: Column) -> Column:
-    """A number in [0, 1) that depends on ``of`` only."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *of), 11) / F.lit(float(1 << 53))
-
-
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_no, weight, source_size, target): shares of all words by weight, none above three times its size.
 
@@ -44,37 +44,34 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def layout(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Each document's place in its source's stream of words, with the source's figures.
+def layout(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """Each document's place in its source's stream of words, with the source's figures; and the documents without words.
 
-    Columns: doc_id, _k and _copy (which row of ``docs`` it is), size, source_no, source_size, target, start
-    (words of the source before it), n_blocks, short (least words in a block), long_blocks (how many hold one more).
+    Columns: doc_id, _k, _copy and _copies (which row of ``docs`` it is), size, source_no, source_size, target, start
+    (words of the source before it), n_blocks. Documents without words have doc_id, size, source_size and target.
     """
-    sizes = materialise(
-        numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), row_key(id_col, text_col).alias("_k")))
-    )
+    name, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
+    sizes = materialise(docs.select(name.alias("doc_id"), source.alias("source"), n_words(text).alias("size"), row_key(name, text, source).alias("_k")))
     by = materialise(source_targets(sizes))
     small = by.count() <= 100_000  # a row of under 100 bytes each, so under 10 MB
     named = sizes.join(F.broadcast(by) if small else by, sizes["source"].eqNullSafe(by["source"])).drop("source")
-    named = named.withColumn("part", F.pmod("_k", F.lit(PARTS)))
+    bare = named.where("size = 0").select("doc_id", "size", "source_size", "target")
+    named = numbered(named.where("size > 0")).withColumn("part", F.pmod("_k", F.lit(PARTS)))
     inside = Window.partitionBy("source_no", "part").orderBy("_k", "_copy").rowsBetween(Window.unboundedPreceding, -1)
     parts = named.groupBy("source_no", "part").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source_no", "part", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
-    blocks = F.ceil(F.col("source_size") / block)
-    return materialise(
-        named.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(parts, ["source_no", "part"])
-        .select("doc_id", "_k", "_copy", "size", "source_no", "source_size", "target", (F.col("ahead") + F.col("inside")).alias("start"), blocks.alias("n_blocks"))
-        .withColumn("short", F.when(F.col("n_blocks") > 0, F.expr("source_size div n_blocks")))
-        .withColumn("long_blocks", F.when(F.col("n_blocks") > 0, F.col("source_size") % F.col("n_blocks")))
-    )
+    placed = named.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts, ["source_no", "part"])
+    columns = ("doc_id", "_k", "_copy", "_copies", "size", "source_no", "source_size", "target")
+    return materialise(placed.select(*columns, (F.col("ahead") + F.col("inside")).alias("start"), F.ceil(F.col("source_size") / block).alias("n_blocks"))), bare
 
 
 def _turn(x: Column, m: Column, *of: Column) -> Column:
-    """x -> (prime * x + shift) mod m, with a shift that depends on ``of``."""
+    """x -> (prime * x + shift) mod m, with a shift that depends on ``of``; no step overflows for m up to 2 ** 42."""
     prime = F.when(m % PRIMES[0] == 0, PRIMES[1]).otherwise(PRIMES[0]).cast("long") % m
-    return (prime * x + F.pmod(F.xxhash64(F.lit(SEED), *of), m)) % m
+    high, low = F.shiftright(x, 20), x.bitwiseAND(F.lit((1 << 20) - 1))
+    times = (F.shiftleft(prime * high % m, 20) + prime * low) % m
+    return (times + F.pmod(F.xxhash64(F.lit(SEED), *of), m)) % m
 
 
 def permuted(x: Column, m: Column, *of: Column) -> Column:
@@ -84,53 +81,47 @@ def permuted(x: Column, m: Column, *of: Column) -> Column:
     return _turn(twice, m, F.lit(3), *of)
 
 
+def shard_counts(sources: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(shard, source_no, n_blocks, count): how many slots of each output shard each source gets.
+
+    ``sources`` has source_no, source_size, target, n_blocks. The mix has as many slots as the targets need blocks. A
+    source has as many of them as its target needs; all slots are dealt to the shards by one pseudorandom
+    permutation. A shard's counts are so a multinomial draw with the targets' probabilities, given the sources'
+    totals: of every shard by chance, of all shards together what the targets ask for.
+    """
+    some = sources.where("source_size > 0").withColumn("share", F.col("target") * F.col("n_blocks") / F.col("source_size"))
+    order, everything = Window.orderBy("source_no"), Window.partitionBy()  # a row for each source
+    some = some.withColumn("upto", F.round(F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0))).cast("long"))
+    some = some.withColumn("after", F.coalesce(F.lag("upto").over(order), F.lit(0))).withColumn("slots", F.max("upto").over(everything))
+    some = some.withColumn("per", F.greatest(F.lit(shard).cast("long"), 4 * F.count("*").over(everything))).where("upto > after")
+    spread = F.explode(F.expr(f"sequence(after div {SPREAD}, (upto - 1) div {SPREAD})"))
+    turns = some.select("source_no", "n_blocks", "slots", "per", "after", "upto", spread.alias("turn")).repartition("source_no", "turn")
+    first, last = F.greatest(F.col("after"), F.col("turn") * SPREAD), F.least(F.col("upto"), (F.col("turn") + 1) * SPREAD) - 1
+    slots = turns.select("source_no", "n_blocks", "slots", "per", F.explode(F.sequence(first, last)).alias("position"))
+    return slots.groupBy(F.floor(permuted(F.col("position"), F.col("slots"), F.lit("slot")) / F.col("per")).alias("shard"), "source_no", "n_blocks").agg(F.count("*").alias("count"))
+
+
 def draw(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     """(source_no, block_no, epoch): every block that the mix takes, once for each time it takes it.
 
-    ``sources`` has source_no, source_size, target, n_blocks. The mix has as many slots as the targets need
-    blocks, in shards of ``shard`` slots. A shard draws its slots' sources with the targets' probabilities, by
-    one uniform number from each of its slots' equal parts of [0, 1): multinomial counts with little spread.
     Slots of a source are counted on over the shards; the k-th takes, in epoch k div n_blocks, the block that
     the epoch's permutation puts at k mod n_blocks. No block is taken over three times.
     """
-    some = sources.where("source_size > 0").withColumn("share", F.col("target") * F.col("n_blocks") / F.col("source_size"))
-    order, everything = Window.orderBy("source_no"), Window.partitionBy()
-    some = some.withColumn("total", F.sum("share").over(everything)).withColumn("upto", F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.col("total"))
-    some = some.withColumn("after", F.coalesce(F.lag("upto").over(order), F.lit(0.0))).withColumn("end", F.lead("source_no").over(order).isNull())
-    some = some.withColumn("slots", F.round("total").cast("long")).withColumn("per", F.greatest(F.lit(shard).cast("long"), 4 * F.count("*").over(everything)))
-    shards = some.where("slots > 0").withColumn("shard", F.explode(F.expr("sequence(0L, (slots - 1) div per)")))
-    n = F.least(F.col("per"), F.col("slots") - F.col("shard") * F.col("per"))
-
-    def below(x: Column) -> Column:
-        """How many of the shard's uniform numbers are below ``x``."""
-        whole = F.floor(n * x)
-        return whole + (_uniform(F.col("shard"), whole) < n * x - whole).cast("long")
-
-    counts = shards.withColumn("count", F.when(F.col("end"), n).otherwise(below(F.col("upto"))) - below(F.col("after")))
     before = F.sum("count").over(Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("before", F.coalesce(before, F.lit(0))).where("count > 0")
+    counts = shard_counts(sources, shard).withColumn("before", F.coalesce(before, F.lit(0))).repartition("source_no", "shard")
     slots = counts.select("source_no", "n_blocks", "before", F.explode(F.expr("sequence(0L, count - 1)")).alias("j"))
     slots = slots.select("source_no", "n_blocks", (F.col("before") + F.col("j")).alias("k"))
     slots = slots.where(F.col("k") < MOST * F.col("n_blocks")).withColumn("epoch", F.expr("k div n_blocks"))
     return slots.select("source_no", permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.col("source_no"), F.col("epoch")).alias("block_no"), "epoch")
 
 
-def taken_pieces(placed: DataFrame) -> DataFrame:
-    """(doc_id, _k, _copy, size, epoch, from_word, words): the pieces of documents in the blocks that the mix takes."""
+def taken_pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(_k, _copy, _copies, epoch, from_word, words): the pieces of documents in the blocks that the mix takes."""
     sources = placed.select("source_no", "source_size", "target", "n_blocks").distinct()
-
-    def block_of(x: Column) -> Column:
-        edge = F.col("long_blocks") * (F.col("short") + 1)
-        return F.when(x < edge, F.floor(x / (F.col("short") + 1))).otherwise(F.col("long_blocks") + F.floor((x - edge) / F.greatest(F.col("short"), F.lit(1))))
-
-    def begin(i: Column) -> Column:
-        return i * F.col("short") + F.least(i, F.col("long_blocks"))
-
     stop = F.col("start") + F.col("size")
-    pieces = placed.where("size > 0").withColumn("block_no", F.explode(F.sequence(block_of(F.col("start")), block_of(stop - 1))))
-    b = F.col("block_no")
-    low, high = F.greatest("start", begin(b)), F.least(stop, begin(b + 1))
-    pieces = pieces.select("doc_id", "_k", "_copy", "size", "source_no", "block_no", (low - F.col("start")).alias("from_word"), (high - low).alias("words"))
+    pieces = placed.withColumn("block_no", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
+    low, high = F.greatest(F.col("start"), F.col("block_no") * block), F.least(stop, (F.col("block_no") + 1) * block)
+    pieces = pieces.select("_k", "_copy", "_copies", "source_no", "block_no", (low - F.col("start")).alias("from_word"), (high - low).alias("words"))
     # the planner takes the size of the drawn blocks, which an explode makes, for that of the source table
     return pieces.join(draw(sources).hint("merge"), ["source_no", "block_no"]).drop("source_no", "block_no")
 
@@ -139,29 +130,29 @@ def mix(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: s
     """One row per document: doc_id, size, source_size, target (its source's) and taken, the words the mix takes of it.
 
     A null source is a source of its own, weighed last; null and empty texts have size 0 and give nothing; null
-    ids and repeated rows are documents like any other; extra columns are ignored; an empty table gives an
-    empty result. Everything is a function of ids, texts and sources, so reruns agree.
+    ids and repeated rows are documents like any other; extra columns of any name are ignored; an empty table
+    gives an empty result. Everything is a function of ids, texts and sources, so reruns agree.
     """
-    placed = layout(docs, block, id_col, text_col, source_col)
-    taken = taken_pieces(placed).groupBy("_k", "_copy").agg(F.sum("words").alias("taken"))
-    return placed.join(taken, ["_k", "_copy"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    placed, bare = layout(docs, block, id_col, text_col, source_col)
+    taken = taken_pieces(placed, block).groupBy("_k", "_copy").agg(F.sum("words").alias("taken"))
+    out = placed.join(taken, ["_k", "_copy"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.union(bare.withColumn("taken", F.lit(0).cast("long")))
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as rows with the columns of ``docs``: for each pass over a source, the runs of words taken of each document.
 
-    A document that a pass takes whole keeps its text; other runs are joined by single spaces. n_chars, if
-    there is such a column, is that of the new text.
+    A document that a pass takes whole keeps its text; other runs keep what stands between their words. n_chars, if
+    there is such a column, is that of the new text. Rows as for ``mix``; columns may have any name.
     """
+    placed, _ = layout(docs, block, id_col, text_col, source_col)
     spot = Window.partitionBy("_k", "_copy", "epoch").orderBy("from_word")
-    runs = taken_pieces(layout(docs, block, id_col, text_col, source_col))
+    runs = taken_pieces(placed, block)
     fresh = F.coalesce((F.lag(F.col("from_word") + F.col("words")).over(spot) != F.col("from_word")).cast("int"), F.lit(1))
     runs = runs.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(spot))
-    runs = runs.groupBy("_k", "_copy", "epoch", "run").agg(F.min("from_word").alias("from_word"), F.sum("words").alias("words"))
-    spans = runs.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_copy", "epoch", "from_word", "words"))).alias("_spans"))
-    keyed = numbered(docs.withColumn("_k", row_key(id_col, text_col))).withColumnRenamed("_copy", "_this")
-    span = F.explode(F.filter("_spans", lambda s: s["_copy"] == F.col("_this")))
-    out = keyed.join(spans, "_k").withColumn("_span", span).withColumn(text_col, slice_words(F.col(text_col), F.col("_span.from_word"), F.col("_span.words")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast("long"))
-    return out.select(*docs.columns)
+    runs = runs.groupBy("_k", "_copy", "_copies", "epoch", "run").agg(F.min("from_word").alias("from_word"), F.sum("words").alias("words")).drop("epoch", "run")
+    name, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
+    rows = docs.where(has_words(text)).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(name, text, source).alias("_k"))
+    out = with_pieces(numbered(rows), runs).withColumn("new", slice_words(F.col("row")[text_col], F.col("_at.from_word"), F.col("_at.words")))
+    fresh = {text_col: F.col("new"), "n_chars": F.length("new").cast("long")}
+    return out.select(*(fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

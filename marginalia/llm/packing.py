@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from marginalia.llm.words import n_words, numbered, row_key, slice_words
+from marginalia.llm.words import has_words, n_words, numbered, row_key, slice_words, with_pieces
 from marginalia.storage import materialise
 
 #: Permitted sequence lengths in words.
@@ -61,15 +61,10 @@ def best_fit(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, cost: Callable
 
 
 def _pack_group(rows: pd.DataFrame, sizes: tuple[int, ...]) -> pd.DataFrame:
-    """Placements of one group's pieces; pieces of no words come with no bin."""
+    """Placements of one group's pieces, which all have words."""
     rows = rows.sort_values(["n_words", "_k", "_copy", "piece"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-    some = rows["n_words"].to_numpy() > 0
-    bins, offsets, final = best_fit(rows["n_words"].to_numpy()[some], sizes)
-    rows["bin_id"] = pd.array([pd.NA] * len(rows), "Int64")
-    rows["bin_size"], rows["bin_offset"] = rows["bin_id"].copy(), rows["bin_id"].copy()
-    rows.loc[some, "bin_id"] = bins + (int(rows["shard"].iloc[0]) << 32)
-    rows.loc[some, "bin_size"], rows.loc[some, "bin_offset"] = final, offsets
-    return rows
+    bins, offsets, final = best_fit(rows["n_words"].to_numpy(), sizes)
+    return rows.assign(bin_id=bins + (int(rows["shard"].iloc[0]) << 32), bin_size=final, bin_offset=offsets)
 
 
 def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
@@ -77,27 +72,38 @@ def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, id_col: str = "doc_id"
 
     Documents longer than the largest size are cut into pieces of that many words and the rest; no word is
     dropped. Documents without words (null, empty) have one row with null bin columns. Null ids and repeated
-    rows are packed like any other; extra columns are ignored; an empty table gives an empty result. Rows are
+    rows are packed like any other; extra columns of any name are ignored; an empty table gives an empty result. Rows are
     dealt by hash to groups of about ``group`` rows, which are packed apart, lengths only.
     """
     most = max(sizes)
-    sized = materialise(numbered(docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("n"), row_key(id_col, text_col).alias("_k"))))
+    name, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    sized = docs.select(name.cast("long").alias("doc_id"), n_words(text).alias("n"), row_key(name, text).alias("_k"))
+    sized = materialise(numbered(sized.where("n > 0")).union(sized.where("n = 0").select("*", F.lit(1), F.lit(1).cast("long"))))
     shards = max(1, -(-sized.count() // group))
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(most).cast("long"))
-    pieces = sized.select("doc_id", "_k", "_copy", "n", F.posexplode(starts).alias("piece", "start_word")).select(
-        "doc_id", "_k", "_copy", "piece", "start_word", F.least(F.lit(most), F.col("n") - F.col("start_word")).cast("int").alias("n_words")
+    pieces = sized.select("doc_id", "_k", "_copy", "_copies", "n", F.posexplode(starts).alias("piece", "start_word")).select(
+        "doc_id", "_k", "_copy", "_copies", "piece", "start_word", F.least(F.lit(most), F.col("n") - F.col("start_word")).cast("int").alias("n_words")
     )
-    schema = "doc_id long, _k long, _copy int, piece int, start_word long, n_words int, shard long, bin_id long, bin_size int, bin_offset int"
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("_k", "_copy", "piece"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(lambda rows: _pack_group(rows, sizes), schema).drop("shard")
+    schema = "doc_id long, _k long, _copy int, _copies long, piece int, start_word long, n_words int, shard long, bin_id long, bin_size int, bin_offset int"
+    dealt = pieces.where("n_words > 0").withColumn("shard", F.pmod(F.xxhash64("_k", "_copy", "piece"), F.lit(shards)))
+    packed = dealt.groupBy("shard").applyInPandas(lambda rows: _pack_group(rows, sizes), schema).drop("shard")
+    bare = pieces.where("n_words = 0")
+    return packed.union(bare.select(*(F.col(c) if c in bare.columns else F.lit(None).cast(packed.schema[c].dataType).alias(c) for c in packed.columns)))
 
 
 def packed_texts(docs: DataFrame, sizes: tuple[int, ...] = SIZES, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """The placements of ``pack`` with each piece's text: bin_id, bin_size, bin_offset, doc_id, piece, start_word, n_words, text."""
-    spots = pack(docs, sizes, id_col, text_col, group)
-    fields = ("_copy", "bin_id", "bin_size", "bin_offset", "piece", "start_word", "n_words")
-    spots = spots.groupBy("_k").agg(F.collect_list(F.struct(*fields)).alias("_spots"))
-    keyed = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("_k"))).withColumnRenamed("_copy", "_this")
-    spot = F.explode(F.filter("_spots", lambda s: s["_copy"] == F.col("_this")))
-    out = keyed.join(spots, "_k").withColumn("_at", spot)
-    return out.select(*(F.col(f"_at.{c}") for c in fields[1:4]), "doc_id", *(F.col(f"_at.{c}") for c in fields[4:]), slice_words(F.col("text"), F.col("_at.start_word"), F.col("_at.n_words")).alias("text"))
+    """The placements of ``pack`` with each piece's text: bin_id, bin_size, bin_offset, doc_id, piece, start_word, n_words, text.
+
+    A piece keeps what stands between its words, a document in one piece its whole text; documents without words
+    come with their text and without a bin. Rows as for ``pack``.
+    """
+    name, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    fields = ("bin_id", "bin_size", "bin_offset", "piece", "start_word", "n_words")
+    spots = pack(docs, sizes, id_col, text_col, group).where("n_words > 0").select("_k", "_copy", "_copies", *fields)
+    rows = docs.select(name.cast("long").alias("doc_id"), text.alias("text"), row_key(name, text).alias("_k"))
+    has = has_words(F.col("text"))
+    out = with_pieces(numbered(rows.where(has)), spots)
+    order = (*fields[:3], "doc_id", *fields[3:])
+    out = out.select(*(F.col(f"_at.{c}").alias(c) if c in fields else F.col(c) for c in order), slice_words(F.col("text"), F.col("_at.start_word"), F.col("_at.n_words")).alias("text"))
+    bare = {"piece": F.lit(0), "start_word": F.lit(0), "n_words": F.lit(0), "doc_id": F.col("doc_id"), "text": F.col("text")}
+    return out.union(rows.where(~has).select(*(bare.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in out.schema)))

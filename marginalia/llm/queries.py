@@ -15,7 +15,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).drop("_k", "_copy")
+    return packing.pack(table(spark, sf_dir, "documents")).drop("_k", "_copy", "_copies")
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
