@@ -13,10 +13,8 @@ TUPLES = 32
 #: Low bits of a packed minimum hold the place in the text, the bits above hold the hash.
 PLACE_BITS = 26
 PLACE = (1 << PLACE_BITS) - 1
-#: Stands for a null id inside; a key that can't be null gets no filter, so that both uses of the texts share one exchange.
-NO_ID = -(1 << 63)
-#: Ranges that ids are dealt into to find each one's successor.
-RANGES = 64
+#: Ids that are ordered together to find each one's successor, and the least and most ranges that they are dealt into.
+PER_RANGE, RANGES = 1_000_000, (64, 1024)
 
 
 def occurrence_numbered(texts: DataFrame, key: list[str], text_col: str, k: int = K) -> DataFrame:
@@ -83,7 +81,8 @@ def successors(ids: DataFrame, key: str) -> DataFrame:
     the first of the next range that has any. Only that step goes over one partition, of one row a range.
     """
     keys = ids.select(key).where(F.col(key).isNotNull()).distinct()
-    cuts = keys.agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10_000).alias("cuts")).first()["cuts"] or []
+    ranges = min(RANGES[1], max(RANGES[0], keys.count() // PER_RANGE))
+    cuts = keys.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("cuts")).first()["cuts"] or []
     bounds = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))).cast("array<bigint>")
     keys = keys.withColumn("_part", F.size(F.filter(bounds, lambda c: c <= F.col(key))))
     inside = keys.withColumn("_next", F.lead(key).over(Window.partitionBy("_part").orderBy(key)))
@@ -101,32 +100,33 @@ def edit_sensitivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null texts are empty, and empty texts have equal fingerprints. Rows with a null id have no next document:
     nothing replaces what they lose, near_next is 0. Rows that repeat an id all stay; the next document of an id
-    that repeats is its row with the smallest text hash. Extra columns are ignored, an empty table gives none.
+    that repeats is its row with the smallest text hash. Extra columns of any name are ignored, an empty table gives
+    none. Beyond 2 ** 26 k-mers of one text, places are no longer told apart.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    spot = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    known = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id")
-    base = docs.select(known, text.alias("text")).withColumn("_row", F.row_number().over(spot))
-    sizes = materialise(docs.select(known, F.length(text).alias("n")).where(f"doc_id <> {NO_ID + 1} - 1").groupBy("doc_id").agg(F.max("n").alias("n")))
+    name, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    spot = Window.partitionBy("doc_id", "_null").orderBy(F.xxhash64("text"))
+    own = docs.select(F.coalesce(name, F.xxhash64(text)).alias("doc_id"), name.isNull().alias("_null"), text.alias("text"))  # null ids spread over the texts
+    base = own.withColumn("_row", F.row_number().over(spot))
+    sizes = materialise(docs.select(name.alias("doc_id"), F.length(text).alias("n")).where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n")))
     after = materialise(successors(sizes, "doc_id"))
-    wants = sizes.join(after, "doc_id").select(F.col("next").alias("doc_id"), F.col("doc_id").alias("_for"), F.expr("n div 4").cast("int").alias("_n"))
-    # written so that no limit is put below the exchange of the texts, which is then one for both uses
-    lent = base.where("2 * _row = 2").join(wants.hint("merge"), "doc_id").select(F.col("_for").alias("doc_id"), F.expr("substring(text, 1, _n)").alias("_lent"))
+    # what is never true is written so that no limit is put below the exchange of the texts, which is then one for both uses
+    wants = sizes.join(after, "doc_id").select(F.col("next").alias("doc_id"), (F.col("n") < 0).alias("_null"), F.col("doc_id").alias("_for"), F.expr("n div 4").cast("int").alias("_n"))
+    lent = base.where("2 * _row = 2").join(wants.hint("merge"), ["doc_id", "_null"]).select(F.col("_for").alias("doc_id"), (F.col("_n") < 0).alias("_null"), F.expr("substring(text, 1, _n)").alias("_lent"))
     n, quarter = F.length("text"), F.expr("length(text) div 4").cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.coalesce("_lent", F.lit("")), F.lit(1), quarter))
-    both = base.join(lent.hint("merge"), "doc_id", "left").select("doc_id", "_row", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    both = base.join(lent.hint("merge"), ["doc_id", "_null"], "left").select("doc_id", "_null", "_row", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     both = both.withColumn("edited_sha256", F.sha2("edited", 256))
     forms = F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("text")), F.struct(F.lit(1).alias("form"), F.col("edited").alias("text"))))
-    forms = both.select("doc_id", "_row", "n_chars", "edited_sha256", forms.alias("_f")).select("doc_id", "_row", "n_chars", "edited_sha256", "_f.form", "_f.text")
-    own = ["doc_id", "_row", "n_chars", "edited_sha256"]
+    forms = both.select("doc_id", "_null", "_row", "n_chars", "edited_sha256", forms.alias("_f")).select("doc_id", "_null", "_row", "n_chars", "edited_sha256", "_f.form", "_f.text")
+    own = ["doc_id", "_null", "_row", "n_chars", "edited_sha256"]
     prints = fingerprints(forms, [*own, "form"], "text", k, tuples).groupBy(*own).agg(
         F.max(F.when(F.col("form") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("form") == 1, F.col("fingerprint"))).alias("edited_fingerprint")
     )
     prints = materialise(prints)
-    nexts = prints.where("_row = 1").select(F.col("doc_id").alias("next"), F.col("fingerprint").alias("_next")).join(after.withColumnRenamed("doc_id", "_for"), "next").select("_for", "_next")
-    out = prints.join(nexts, F.col("doc_id") == F.col("_for"), "left")
+    nexts = prints.where("_row = 1 and not _null").select(F.col("doc_id").alias("next"), F.col("fingerprint").alias("_next")).join(after.withColumnRenamed("doc_id", "_for"), "next").select("_for", "_next")
+    out = prints.join(nexts, (F.col("doc_id") == F.col("_for")) & ~F.col("_null"), "left")
     return out.select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.when(~F.col("_null"), F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), tuples).alias("near_edited"),
         F.coalesce(likeness(F.col("fingerprint"), F.col("_next"), tuples), F.lit(0.0)).alias("near_next"),
     )

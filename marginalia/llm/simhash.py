@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the other documents with that fingerprint (null if there are none). Repeated ids keep all their rows. Other
     columns of ``docs`` are ignored, an empty table gives an empty result.
     """
-    prints = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), simhash64(F.col(text_col)).alias("fp")))
+    prints = materialise(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), simhash64(F.col(f"`{text_col}`")).alias("fp")))
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
     parts = connected_components(hamming_links(reps.where("doc is not null"), budget))
     named = reps.join(parts, F.col("doc") == F.col("node"), "left").select("fp", F.coalesce("component", "doc").alias("component_id"))
@@ -185,9 +185,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest id stays (rows with null ids stay too).
 
-    Of rows that repeat an id one stays, that of the smallest text hash.
+    Of rows that repeat an id one stays, that of the smallest text hash. Null and empty texts are near-duplicates of
+    each other. All columns stay, of any name; an empty table gives an empty result.
     """
-    kept = near_duplicates(docs, id_col, text_col, budget).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    stays = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    one = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    return stays.withColumn("_one", one).where("_one = 1").drop("_one").union(docs.where(F.col(id_col).isNull()))
+    kept = near_duplicates(docs, id_col, text_col, budget).where("doc_id = component_id").select("doc_id").distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))
+    stays = rows.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("one", one).where("one = 1")
+    return stays.select("row").union(rows.where("doc_id is null").select("row")).select("row.*")
