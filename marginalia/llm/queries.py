@@ -67,5 +67,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _quality_sql() -> str:
+    """The counts and the table of rules of op7 for DuckDB; rows are told apart by number, for ids may repeat."""
+    gap = "[\\x20\\x09-\\x0D]"
+    stop = ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
+    breach = [f"(n_words >= {r.at_least} AND ({' OR '.join(f'{r.metric} {op} {x}' for op, x in (('<', r.low), ('>', r.high)) if x is not None)}))" for r in quality_rules.RULES]
+    return (
+        f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), "
+        f"w AS (SELECT *, list_filter(string_split_regex(t, '{gap}'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d), "
+        "g AS (SELECT r, i, list_slice(w, i, i + 4) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)), "
+        "c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1), "
+        "p AS (SELECT r, count(DISTINCT i + k) AS covered FROM c, (SELECT unnest(range(0, 5)) AS k) GROUP BY r), "
+        "m AS (SELECT w.r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, "
+        "len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered, 0) AS n_repeat_words, len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)\\s*$'))) AS dots, "
+        f"len(list_filter(l, lambda x: regexp_matches(x, '^\\s*[-•*●–]\\s'))) AS bullets, len(list_intersect(list_distinct(w), [{stop}])) AS stop_words FROM w LEFT JOIN p ON w.r = p.r), "
+        "x AS (SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbols_per_word, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, "
+        "dots / greatest(n_lines, 1) AS ellipsis_line_ratio, bullets / greatest(n_lines, 1) AS bullet_line_ratio, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m) "
+        f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {' OR '.join(breach)}) AS kept FROM x"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the query that SQL can express; hashing, training and permutations have none."""
+    return {"op7_quality_rules": _quality_sql()}
