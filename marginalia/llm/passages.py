@@ -476,7 +476,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 @F.pandas_udf(T.StringType())
 def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([cut_out(text, [(s["start_word"], s["n_words"]) for s in own]) for text, own in zip(texts, spans)], dtype="object")
+    return pd.Series([text if own is None or text is None else cut_out(text, [(s["start_word"], s["n_words"]) for s in own]) for text, own in zip(texts, spans)], dtype="object")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -308,10 +308,10 @@ def test_rows_that_share_an_id_are_texts_of_their_own(spark):
 def test_lines_stay_where_a_passage_goes(spark):
     rng = np.random.default_rng(10)
     said = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
-    shared, a, b, c = said(40), said(12), said(12), said(12)
-    docs = spark.createDataFrame([(0, shared), (1, f"{a}\n\n{shared}\n{b}\n  {c}"), (2, f"{a} x {shared}\n{b} y")], "doc_id long, text string")
+    shared, a, b, c, d, e = (said(n) for n in (40, 12, 12, 12, 12, 12))
+    docs = spark.createDataFrame([(0, shared), (1, f"{a}\n\n{shared}\n{b}\n  {c}"), (2, f"{d} x {shared}\n{e} y")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in passages.without_repeats(docs).collect()}
-    assert got == {0: shared, 1: f"{a}\n\n{b}\n  {c}", 2: f"{a} x\n{b} y"}
+    assert got == {0: shared, 1: f"{a}\n\n{b}\n  {c}", 2: f"{d} x\n{e} y"}
 
 
 @pytest.mark.parametrize("edits, least", [(40, 0.9), (25, 0.6)])
