@@ -31,6 +31,7 @@ SIMILARITY = 0.8
 #: Bands of ROWS hashes each: paragraphs of Jaccard 0.8 meet in one of them with probability 1 - (1 - 0.8 ** 2) ** 5 = 0.994,
 #: those of 0.2, which share no more than a common phrase, with 0.18 (three bands of one hash: 0.992 and 0.49).
 BANDS, ROWS = 5, 2
+FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Words in a row that a document must share with others, counted to the true ends of what is shared.
 LEAST_WORDS = 16
 #: Bits of the filters for what has met.
@@ -54,17 +55,25 @@ def _mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _window_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours, by windows of doubled width."""
+    have = 1
+    while 2 * have <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return np.minimum(x[: len(x) - (width - have)], x[width - have :])
+
+
 def cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
     """First words of the paragraphs of a text, given its words' hashes."""
-    n = len(hashes)
-    edges = np.zeros(0, np.int64)
-    if n > 2 * reach + 1:
+    n, wide = len(hashes), 2 * reach + 1
+    edges = np.zeros(1, np.int64)
+    if n > wide:
         pair = _mix(hashes[:-1], hashes[1:])
-        view = np.lib.stride_tricks.sliding_window_view(pair, 2 * reach + 1)
-        mid = pair[reach : len(pair) - reach]
-        edges = np.flatnonzero((view.min(axis=1) == mid) & ((view == mid[:, None]).sum(axis=1) == 1)) + reach + 1
-    edges = np.r_[0, edges]
-    lengths = np.diff(np.r_[edges, n])
+        found = np.flatnonzero(_window_least(pair, wide) == pair[reach : len(pair) - reach])
+        alone = (pair[found[:, None] + np.arange(wide)] == pair[found + reach, None]).sum(axis=1) == 1
+        edges = np.concatenate([edges, found[alone] + reach + 1])
+    lengths = np.diff(edges, append=n)
     if (lengths > LONGEST).any():
         edges = np.concatenate([np.arange(e, e + m, LONGEST) for e, m in zip(edges.tolist(), lengths.tolist())])
     return edges
@@ -88,21 +97,24 @@ def grams(h: np.ndarray, size: int) -> np.ndarray:
 def _described(h: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, content hash, band keys) of the parts of a text that begin ``at`` these words."""
     with np.errstate(over="ignore"):
-        length = np.diff(np.r_[at, len(h)])
+        length = np.diff(at, append=len(h))
         place = np.arange(len(h)) - np.repeat(at, length)
         content = np.add.reduceat(_mix(h, place.astype(np.uint64)), at)
         keys = np.zeros((len(at), bands), np.uint64)
         if bands:
             most = np.iinfo(np.uint64).max
+            outside = np.flatnonzero(place > np.repeat(length, length) - SHINGLE)  # shingles that reach over the paragraph's end
             own = np.full(len(h), most)
             g = grams(h, SHINGLE)
             own[: len(g)] = g
-            outside = place > np.repeat(length, length) - SHINGLE  # shingles that reach over the paragraph's end
-            for b in range(bands):
-                for r in range(ROWS):
-                    value = _mix(own, np.uint64(b * ROWS + r + 1))
-                    value[outside] = most
-                    keys[:, b] = _mix(keys[:, b], np.minimum.reduceat(value, at))
+            least, step = [], max(1, (1 << 19) // len(h))
+            for k in range(0, len(FACTORS), step):  # a multiple of a hash by an odd number is another hash
+                value = own[:, None] * FACTORS[k : k + step]
+                value[outside] = most
+                least.append(np.minimum.reduceat(value, at, axis=0))
+            least = np.concatenate(least, axis=1).reshape(len(at), bands, ROWS)
+            for r in range(ROWS):
+                keys = _mix(keys, least[:, :, r])
             keys[length < SHINGLE] = content[length < SHINGLE, None]
             keys = _mix(keys, np.arange(bands, dtype=np.uint64))
     return at.astype(np.int32), length.astype(np.int32), content, keys
