@@ -11,12 +11,17 @@ def host(url: Column) -> Column:
     return F.regexp_replace(h, r"^www\.", "")
 
 
+#: Parameters that say how a reader came, not which post it is.
+TRACKING = "fbclid gclid gclsrc dclid msclkid yclid twclid mc_cid mc_eid igshid _hsenc _hsmi".split()
+
+
 def post_key(url: Column) -> Column:
-    """host/path?query without fragment, trailing slash and tracking parameters, the query sorted."""
-    path = F.regexp_replace(F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*://)?[^/?#]*([^?#]*)", 1), "/+$", "")
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^(utm_[a-z]+|ref|fbclid|gclid)(=|$)")))
-    return F.concat(host(url), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    """blog:host/path?query without fragment, trailing slash and tracking parameters, the query sorted; ``blog:`` for none."""
+    u = F.trim(F.coalesce(url, F.lit("")))
+    path = F.regexp_replace(F.regexp_extract(u, r"^(?:[a-zA-Z][\w+.-]*://)?[^/?#]*([^?#]*)", 1), "/+$", "")
+    query = F.regexp_extract(u, r"\?([^#]*)", 1)
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(f"^(utm_[^=]*|{'|'.join(TRACKING)})(=|$)")))
+    return F.concat(F.lit("blog:"), host(u), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
 def slug(text: Column) -> Column:
@@ -50,8 +55,12 @@ def paper_id(url: Column) -> Column:
 
 
 def post_id(url: Column) -> Column:
-    """The number of a post on x.com or twitter.com, or null; what follows it doesn't matter."""
-    return F.nullif(F.regexp_extract(F.trim(url), r"(?i)^https?://(?:www\.|mobile\.)?(?:x|twitter)\.com/[^/]+/status(?:es)?/([0-9]+)", 1), F.lit(""))
+    """The number of a post on x.com or twitter.com (with www or mobile before it), or null: the digits that the third part of the path begins with."""
+    u = F.trim(url)
+    known = F.regexp_replace(host(u), "^mobile\\.", "").isin("x.com", "twitter.com") & F.lower(u).rlike("^https?://")
+    parts = F.split(F.regexp_extract(u, "^[^:]*://[^/?#]*/+([^?#]*)", 1), "/")
+    number = F.regexp_extract(F.get(parts, F.lit(2)), "^[0-9]+", 0)
+    return F.when(known & (F.get(parts, F.lit(0)) != "") & F.lower(F.get(parts, F.lit(1))).isin("status", "statuses"), F.nullif(number, F.lit("")))
 
 
 def site_label(found: Column) -> Column:

@@ -15,7 +15,7 @@ def interleaved(arms: list[tuple[str, DataFrame]], who: str, order: list[Column]
     rows = reduce(DataFrame.unionByName, (rows.select(who, F.lit(i).alias("_arm"), F.lit(basis).alias("basis"), *(c.alias(f"_o{j}") for j, c in enumerate(order))) for i, (basis, rows) in enumerate(arms)))
     first = rows.withColumn("_first", F.min("_arm").over(Window.partitionBy(who))).where("_arm = _first")
     keys = [F.col(f"_o{j}").desc() for j in range(len(order))]
-    turns = first.withColumn("turn", F.row_number().over(Window.partitionBy("_arm").orderBy(*keys, who)).cast("long"))
+    turns = first.withColumn("turn", F.row_number().over(Window.partitionBy("_arm").orderBy(*keys, who)).cast("long")).where(F.col("turn") <= n)
     return turns.orderBy("turn", "_arm").limit(n).select(who, "basis", "turn")
 
 

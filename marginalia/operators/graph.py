@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.storage import materialise
 
@@ -42,3 +42,28 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+
+
+def resolved(links: DataFrame, entity: str, url: str, owns: Column) -> DataFrame:
+    """(entity, head): who is one with whom, named by the smallest id; every entity of ``links`` is there.
+
+    ``links`` says which addresses an entity has: its own ones (``owns``) and those it attests. An address that
+    someone owns joins all that have it; one that is only attested, such as a page many link to, joins no one.
+    Addresses are no nodes: each joins its entities to the smallest of them, so ids may have any value.
+    """
+    rows = links.select(F.col(entity).alias("e"), F.col(url).alias("u"), F.coalesce(owns, F.lit(False)).alias("o")).where("e is not null and u is not null")
+    low = rows.groupBy("u").agg(F.min("e").alias("low"), F.bool_or("o").alias("owned")).where("owned")
+    parts = connected_components(rows.join(low, "u").select(F.col("e").alias("a"), F.col("low").alias("b")))
+    every = links.select(F.col(entity).alias("entity")).where("entity is not null").distinct()
+    return every.join(parts, F.col("entity") == F.col("node"), "left").select("entity", F.coalesce("component", "entity").alias("head"))
+
+
+def added_sources(heads: DataFrame, claims: DataFrame, entity: str, key: str, at: str) -> DataFrame:
+    """(entity, head): sources that curators added join the cluster of the earliest claim on them; clusters never merge by it.
+
+    ``heads`` has entity and head, ``claims`` which head (``key``) claims an entity and when (``at``). Entities that
+    are in a cluster with others already stay there.
+    """
+    own = heads.groupBy("head").agg(F.count("*").alias("_n"))
+    first = claims.groupBy(entity).agg(F.min(F.struct(at, key)).alias("_c")).select(F.col(entity).alias("entity"), F.col(f"_c.{key}").alias("_to"))
+    return heads.join(own, "head").join(first, "entity", "left").select("entity", F.when((F.col("_n") == 1) & F.col("_to").isNotNull(), F.col("_to")).otherwise(F.col("head")).alias("head"))

@@ -6,32 +6,43 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marginalia.functions.stemming import stem, stems
+
 #: Words that a query drops unless it has no others.
-STOP = frozenset("a an and are as at be by for from has in is it of on or that the to was were with".split())
+STOP = frozenset(
+    "a about an and are as at be been but by can could did do does for from had has have how i if in into is it its me my of on or our so than that the their them then there these they "
+    "this to was we were what when where which who why will with would you your".split()
+)
 K1, B = 1.2, 0.75
 
 
+def content_words(text: str) -> list[str]:
+    """Distinct ASCII words of a query, lower-cased, without stop words; none for a query of common words only."""
+    return [w for w in dict.fromkeys(w.lower() for w in re.findall(r"[A-Za-z0-9_]+", text)) if w not in STOP]
+
+
 def query_words(text: str) -> list[str]:
-    """Distinct ASCII words of a query, lower-cased, without stop words unless nothing else is there."""
-    found = list(dict.fromkeys(w.lower() for w in re.findall(r"[A-Za-z0-9_]+", text)))
-    return [w for w in found if w not in STOP] or found
+    """The content words of a query, or all of its words if it has no others."""
+    return content_words(text) or list(dict.fromkeys(w.lower() for w in re.findall(r"[A-Za-z0-9_]+", text)))
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def bm25(docs: DataFrame, query: str, k: int = 10, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, query: str, k: int = 10, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", stemmed: bool = False) -> DataFrame:
     """(id, rank, score) of the best ``k`` documents under ``where``; document frequencies and lengths are the whole corpus's.
 
     One pass gives each text's length and the counts of the query's words, so no posting list is shuffled; the
     corpus figures are one row. Okapi BM25 with k1 1.2 and b 0.75; ties go to the smaller id. A query without
-    words, or an empty corpus, finds nothing.
+    words, or an empty corpus, finds nothing. ``stemmed``: words are compared by their stems, accents aside.
     """
     want = query_words(query)
+    if stemmed:
+        want = list(dict.fromkeys(stem(w) for w in want))
     t = F.col("_t")
     keep = where if where is not None else F.lit(True)
-    counted = docs.select(F.col(id_col), keep.alias("_keep"), tokens(F.col(text_col)).alias("_t")).select(
+    counted = docs.select(F.col(id_col), keep.alias("_keep"), (stems(text_col) if stemmed else tokens(F.col(text_col))).alias("_t")).select(
         id_col, "_keep", F.size(t).alias("dl"), *((F.size(t) - F.size(F.array_remove(t, w))).alias(f"tf{i}") for i, w in enumerate(want))
     )
     stats = counted.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(want))))

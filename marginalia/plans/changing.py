@@ -63,7 +63,7 @@ def jitters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def newness(spark: SparkSession, d: str) -> DataFrame:
-    """Orders by whether a line shipped within a week before the customer's last order."""
+    """Customers by whether their first order lies within a week before their last one."""
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("published"), F.max("o_orderdate").alias("arrived"))
     return o.select("o_custkey", dates.is_new(F.to_date("published"), F.to_date("arrived")).alias("is_new"))
 
@@ -86,7 +86,7 @@ def dropped_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def staging_newness(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    half = e.agg(F.percentile_approx("event_id", 0.5, 1 << 30)).first()[0] or 0
+    half = e.agg(F.floor((F.min("event_id") + F.max("event_id")) / 2)).first()[0] or 0  # one number: what was known before
     return curation.staged(e.where(F.col("event_id") <= half), e.where(F.col("event_id") > half), "user_id", "ts")
 
 
@@ -131,6 +131,11 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return _closed(spark, streams.by_window(streams.read(spark, f"{d.rstrip('/')}/events.parquet"))).select(F.unix_seconds("start").alias("start_s"), "event_type", "n", F.round("total", 3).alias("total"))
 
 
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by kind of hours that begin every half hour, of the windows that the watermark closed."""
+    return _closed(spark, streams.by_sliding_window(streams.read(spark, f"{d.rstrip('/')}/events.parquet"))).select(F.unix_seconds("start").alias("start_s"), "event_type", "n")
+
+
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of each author that the watermark closed."""
     return _closed(spark, streams.sessions(streams.read(spark, f"{d.rstrip('/')}/events.parquet"))).select(F.unix_micros("start").alias("start_us"), "user_id", "n")
@@ -140,7 +145,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         query_ids, fetch_verdicts, snippets, named_items, excerpts, provenance, link_kinds, post_ids, jitters, newness, json_merge_patch, dropped_keys, staging_newness, widen_only,
-        rate_budget, unearned_references, discovery_verdicts, stream_tumbling, stream_sessions,
+        rate_budget, unearned_references, discovery_verdicts, stream_tumbling, stream_sliding, stream_sessions,
     )
 }
 
@@ -164,11 +169,12 @@ SQL = {
     "newness": "SELECT o_custkey, CAST(min(o_orderdate) AS DATE) >= CAST(max(o_orderdate) AS DATE) - 7 AS is_new FROM orders GROUP BY 1",
     "json_merge_patch": f"SELECT user_id, coalesce(arg_max({_K}, struct_pack(ts, event_id)), arg_min({_K}, struct_pack(ts, event_id))) AS k, 'kept' AS note, 'k,note' AS keys FROM events GROUP BY 1",
     "dropped_keys": "SELECT key, count(*) AS dropped FROM (SELECT unnest(json_keys(props)) AS key FROM events) WHERE key <> 'name' GROUP BY 1",
-    "staging_newness": "WITH h AS (SELECT quantile_disc(event_id, 0.5) AS h FROM events) SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS times, user_id NOT IN (SELECT user_id FROM events, h WHERE event_id <= h) AS is_new FROM events, h WHERE event_id > h GROUP BY 1",
+    "staging_newness": "WITH h AS (SELECT (min(event_id) + max(event_id)) // 2 AS h FROM events) SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS times, user_id NOT IN (SELECT user_id FROM events, h WHERE event_id <= h) AS is_new FROM events, h WHERE event_id > h GROUP BY 1",
     "widen_only": "SELECT o_custkey AS who, CAST(min(o_orderdate) AS DATE) AS covered FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1",
     "rate_budget": "SELECT l_suppkey, reset, min(l_quantity) AS remaining FROM (SELECT l_suppkey, l_quantity, CAST(l_shipdate AS DATE) AS reset FROM lineitem QUALIFY reset = max(CAST(l_shipdate AS DATE)) OVER (PARTITION BY l_suppkey)) GROUP BY 1, 2",
     "unearned_references": f"SELECT {_K} * 1000 + user_id % 50 AS url, count(*) AS referrers FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type = 'purchase') = 0",
     "discovery_verdicts": "WITH r AS (SELECT o_custkey, l_suppkey, CASE WHEN s_nationkey = c_nationkey AND l_returnflag = 'R' THEN 0 WHEN s_nationkey = c_nationkey THEN 1 WHEN l_returnflag = 'R' THEN 2 END AS rung FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) SELECT o_custkey, l_suppkey, (['both', 'home', 'returned'])[rung + 1] AS verdict FROM r WHERE rung IS NOT NULL QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY rung, l_suppkey) = 1",
     "stream_tumbling": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start_s, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY date_trunc('hour', ts), event_type HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+    "stream_sliding": "WITH w AS (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS start FROM events, (SELECT unnest([0, 1]) AS k)) SELECT CAST(epoch(start) AS BIGINT) AS start_s, event_type, count(*) AS n FROM w GROUP BY start, event_type HAVING start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     "stream_sessions": "WITH g AS (SELECT user_id, ts, CAST(coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS INT) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT epoch_us(min(ts)) AS start_us, user_id, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
 }

@@ -139,15 +139,19 @@ def unfiled(spark: SparkSession, d: str) -> DataFrame:
 def topic_preview(spark: SparkSession, d: str) -> DataFrame:
     """Distinct authors and finds by watch (a tag) and kind, and finds a day."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, d, "events").where(k < 10).groupBy(k.alias("watch"), "event_type").agg(
+    return table(spark, d, "events").groupBy(k.alias("watch"), "event_type").agg(
         F.countDistinct("user_id").alias("people"), F.count("*").alias("finds"), F.round(F.count("*") / 30, 4).alias("a_day")
     )
 
 
 def open_page(spark: SparkSession, d: str) -> DataFrame:
-    """The second slice of 2,000 characters of texts that are longer, where it ends and whether it is all."""
+    """Every text in slices of 2,000 characters: where each begins and ends, its hash, and whether more follows."""
     n = F.length("text")
-    return table(spark, d, "documents").where(n > 2000).select("doc_id", F.substring("text", 2001, 2000).alias("slice"), F.least(n, F.lit(4000)).cast("long").alias("next_offset"), (n > 4000).alias("partial"))
+    offset = F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(2000))).alias("offset")
+    pages = table(spark, d, "documents").where("text is not null").select("doc_id", "text", n.alias("n"), offset)
+    part = F.substring("text", F.col("offset") + 1, F.lit(2000))
+    end = F.least(F.col("n"), F.col("offset") + 2000)
+    return pages.select("doc_id", F.col("offset").cast("long").alias("offset"), F.sha2(part, 256).alias("slice_sha256"), end.cast("long").alias("next_offset"), (end < F.col("n")).alias("partial"))
 
 
 def self_threads(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +190,7 @@ def sql(bm25: str) -> dict[str, str]:
         "evidence": "SELECT user_id, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM (SELECT user_id, value, min(event_id) AS event_id FROM events GROUP BY 1, 2) QUALIFY place <= 3",
         "union_matches": f"SELECT doc_id FROM documents WHERE (source = 'web' OR contains({_SPACED}, ' of the ')) AND doc_id IN (SELECT doc_id FROM labels)",
         "unfiled": f"SELECT lang, count(*) AS n FROM documents WHERE NOT contains({_SPACED}, ' of the ') GROUP BY 1",
-        "topic_preview": f"SELECT {_K} AS watch, event_type, count(DISTINCT user_id) AS people, count(*) AS finds, round(count(*) / 30, 4) AS a_day FROM events WHERE {_K} < 10 GROUP BY 1, 2",
-        "open_page": "SELECT doc_id, substr(text, 2001, 2000) AS slice, least(length(text), 4000) AS next_offset, length(text) > 4000 AS partial FROM documents WHERE length(text) > 2000",
+        "topic_preview": f"SELECT {_K} AS watch, event_type, count(DISTINCT user_id) AS people, count(*) AS finds, round(count(*) / 30, 4) AS a_day FROM events GROUP BY 1, 2",
+        "open_page": "SELECT doc_id, o AS offset, sha256(substr(text, CAST(o AS INT) + 1, 2000)) AS slice_sha256, least(length(text), o + 2000) AS next_offset, least(length(text), o + 2000) < length(text) AS partial FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 2000)) AS o FROM documents WHERE text IS NOT NULL)",
         "self_threads": "WITH t AS (SELECT conv_id, turn, role, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations), o AS (SELECT *, sum(CAST(role IS DISTINCT FROM a AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS others FROM t) SELECT conv_id, count(*) AS own_turns FROM o WHERE others = 0 GROUP BY 1",
     }

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marginalia.functions import urls
-from marginalia.operators import filters, graph, sampling, search, snapshots
-from marginalia.plans import changing, reading
+from marginalia.operators import filters, sampling, search, snapshots
+from marginalia.plans import changing, reading, state
 from marginalia.storage import table
 
 QUERY = "the thing"
@@ -22,10 +22,9 @@ _TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 
 def state_of_play(spark: SparkSession, d: str) -> DataFrame:
     """Total, by kind and by author in one scan, as grouping sets."""
-    table(spark, d, "events").createOrReplaceTempView("m_events")
-    return spark.sql(
-        "SELECT event_type AS kind, user_id AS author, count(*) AS n, min(ts) AS oldest, max(ts) AS newest FROM m_events GROUP BY GROUPING SETS ((), (event_type), (user_id))"
-    )
+    rows = table(spark, d, "events").select("ts", F.col("event_type").alias("kind"), F.col("user_id").alias("author"))
+    kind, author = F.col("kind"), F.col("author")
+    return rows.groupingSets([[], [kind], [author]], kind, author).agg(F.count("*").alias("n"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
 
 
 def top_authors(spark: SparkSession, d: str) -> DataFrame:
@@ -51,13 +50,14 @@ def census_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def feed_page(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    mid = events.agg(F.min("ts").alias("t")).first()["t"]
+    middle = (F.col("low") + (F.col("high") - F.col("low")) / 2).alias("t")
+    mid = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).select(middle).first()["t"]
     return sampling.page_after(events, "ts", "event_id", mid, -1, 100).select("event_id", "ts", "event_type")
 
 
 def fair_share(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    return table(spark, d, "events").withColumn("turn", F.row_number().over(w)).orderBy("turn", "event_type").limit(40).select("event_id", "event_type", F.col("turn").cast("long").alias("turn"))
+    return table(spark, d, "events").withColumn("turn", F.row_number().over(w)).where("turn <= 40").orderBy("turn", "event_type").limit(40).select("event_id", "event_type", F.col("turn").cast("long").alias("turn"))
 
 
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
@@ -106,12 +106,6 @@ def mention_credit(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("l_suppkey").agg(n.alias("orders"), F.round(F.sum("credit").cast("double") * (1 + 0.25 * (F.least(n, F.lit(10)) - 1)), 4).alias("score"))
 
 
-def identity_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Authors that share a link (events' k) with a purchase are one: connected components over a bipartite graph."""
-    buys = table(spark, d, "events").where("event_type = 'purchase'").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("k")).where("k is not null")
-    return graph.connected_components(buys.select(F.col("user_id").alias("a"), (F.col("k") + F.lit(1 << 40)).alias("b"))).where(F.col("node") < F.lit(1 << 40))
-
-
 def arrivals(spark: SparkSession, d: str) -> DataFrame:
     """What came in the last seven days of the clock, by kind and day, and how much of it is older."""
     ev = table(spark, d, "events")
@@ -162,10 +156,7 @@ def usage_daily(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     """Nearest-rank percentiles of values by kind: the ceil(p * n)-th smallest."""
-    w = Window.partitionBy("event_type")
-    r = table(spark, d, "events").withColumn("r", F.row_number().over(w.orderBy("value", "event_id"))).withColumn("n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("r") == F.ceil(F.col("n") * p), F.col("value")))
-    return r.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("top"))
+    return sampling.nearest_ranks(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "top": 1.0})
 
 
 def people_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -190,12 +181,12 @@ def collapse_guard(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     state_of_play, top_authors, filter_costs, date_span, census_sample, feed_page, fair_share, bm25_search, phrase_count, account_search, rank_candidates, stronger_source, coauthors,
-    mention_credit, identity_clusters, arrivals, snapshot_digest, snapshot_changes, latest_upsert, page_addresses, page_heads, topic_tags, threads, usage_daily, nearest_rank, people_terms, unseen, collapse_guard,
+    mention_credit, arrivals, snapshot_digest, snapshot_changes, latest_upsert, page_addresses, page_heads, topic_tags, threads, usage_daily, nearest_rank, people_terms, unseen, collapse_guard,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL} | reading.QUERIES | changing.QUERIES
+    return {f.__name__: f for f in _ALL} | reading.QUERIES | changing.QUERIES | state.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "filter_costs": costs,
         "date_span": "SELECT event_type, min(ts) AS oldest, max(ts) AS newest, count(*) FILTER (WHERE ts IS NULL) AS undated FROM events GROUP BY 1",
         "census_sample": "SELECT event_id, user_id, turn, of_group FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS turn, count(*) OVER (PARTITION BY user_id) AS of_group FROM events) ORDER BY turn, of_group DESC, user_id, event_id LIMIT 500",
-        "feed_page": "SELECT event_id, ts, event_type FROM events WHERE ts >= (SELECT min(ts) FROM events) ORDER BY ts, event_id LIMIT 101",
+        "feed_page": "SELECT event_id, ts, event_type FROM events WHERE ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) ORDER BY ts, event_id LIMIT 101",
         "fair_share": "SELECT event_id, event_type, turn FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS turn FROM events) ORDER BY turn, event_type LIMIT 40",
         "bm25_search": f"SELECT doc_id, CAST(rank AS INT) AS rank, score FROM ({_bm25_sql(50, chr(39).join(['lang = ', 'en', '']))})",
         "phrase_count": f"SELECT source, count(*) AS n FROM documents WHERE contains(' ' || array_to_string({_TOK}, ' ') || ' ', ' of the ') GROUP BY 1",
@@ -249,5 +240,5 @@ def oracle_sql() -> dict[str, str]:
         "people_terms": f"WITH w AS (SELECT doc_id, unnest({_TOK}) AS word FROM documents), t AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY 1, 2), f AS (SELECT word, count(*) AS df, sum(1 + ln(tf)) AS mass FROM t GROUP BY 1) SELECT word, df, round(mass * ln(n / df), 4) AS weight FROM f, (SELECT count(*) AS n FROM documents) WHERE df >= 5 AND df <= 0.3 * n",
         "unseen": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
         "collapse_guard": "SELECT *, coalesce(found < 0.5 * before, false) AS collapsed FROM (SELECT *, lag(found) OVER (ORDER BY day) AS before FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS found FROM events GROUP BY 1))",
-        "page_addresses": f"SELECT page_id, {host} AS host, {host} || regexp_replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9_+.-]*://)?[^/?#]*([^?#]*)', 1), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS post_key FROM (SELECT *, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')) AS q FROM pages)",
-    } | reading.sql(f"SELECT doc_id, rank FROM ({_bm25_sql(51, 'true')})") | changing.SQL
+        "page_addresses": f"SELECT page_id, {host} AS host, 'blog:' || {host} || regexp_replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9_+.-]*://)?[^/?#]*([^?#]*)', 1), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS post_key FROM (SELECT *, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|{'|'.join(urls.TRACKING)})(=|$)')) AS q FROM pages)",
+    } | reading.sql(f"SELECT doc_id, rank FROM ({_bm25_sql(51, 'true')})") | changing.SQL | state.SQL

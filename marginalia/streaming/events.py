@@ -21,3 +21,8 @@ def by_window(events: DataFrame, width: str = "1 hour", late: str = "10 minutes"
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("w.start", "user_id", "n")
+
+
+def by_sliding_window(events: DataFrame, width: str = "1 hour", step: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Counts by overlapping event-time windows and kind; a row is in every window that covers it."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "event_type", "n")
