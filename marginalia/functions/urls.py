@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 
@@ -69,3 +71,41 @@ def site_label(found: Column) -> Column:
     n = F.size(parts)
     at = F.when(n < 2, 1).when((n >= 3) & F.get(parts, n - 2).isin(*SECOND_LEVEL), n - 2).otherwise(n - 1)
     return F.get(parts, at - 1)
+
+
+#: Hosts that are never an identity, hosts whose accounts are the first part of the path, and one platform's other names.
+EXCLUDED = ("youtube.com", "youtu.be", "linkedin.com", "spotify.com", "podcasts.apple.com", "apple.co", "pod.link", "overcast.fm", "pca.st")
+BY_PATH = ("github.com", "x.com", "medium.com", "gitlab.com")
+SAME_AS_X = ("twitter.com", "mobile.twitter.com")
+
+
+def usable(url: Column) -> Column:
+    """Whether a text is the address of a web page or a bare host, and not of a platform that is left out."""
+    u = F.trim(url)
+    schemed, h = u.contains("://"), host(u)
+    form = F.when(schemed, F.lower(u).rlike("^https?://[^/?#]+")).otherwise(~u.rlike("^[/#]|:") & h.contains("."))
+    return F.coalesce((u != "") & ~u.rlike("\\s") & form & (h != "") & ~reduce(lambda a, b: a | b, (on_host(h, x) for x in EXCLUDED)), F.lit(False))
+
+
+def account(url: Column) -> Column:
+    """Whose page an address is: the account on platforms that have them, the host elsewhere; empty if it names no one."""
+    u, h = F.trim(url), host(F.trim(url))
+    h = F.when(h.isin(*SAME_AS_X), "x.com").otherwise(h)
+    parts = F.filter(F.split(F.regexp_extract(u, r"^(?:[a-zA-Z][\w+.-]*://)?[^/?#]*([^?#]*)", 1), "/"), lambda x: x != "")
+    part = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+    n, first, user = F.size(parts), part(0), F.regexp_extract(u, "[?&]user=([^&#]+)", 1)
+    if_ = lambda cond, value: F.when(cond, value).otherwise("")
+    rules = (  # the first that fits
+        (h == "scholar.google.com", if_(user != "", F.concat(h, F.lit("/citations?user="), user))),
+        (on_host(h, "semanticscholar.org"), if_((n >= 2) & (first == "author"), F.concat(F.lit("semanticscholar.org/author/"), F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))))),
+        (h == "orcid.org", if_(first.rlike(r"^\d{4}-\d{4}-\d{4}-\d{3}[\dX]$"), F.concat(h, F.lit("/"), first))),
+        (on_host(h, "dblp.org"), if_((n >= 2) & first.isin("pid", "pers"), F.concat(F.lit("dblp.org/"), F.regexp_replace(F.array_join(parts, "/"), r"\.html$", "")))),
+        (on_host(h, "researchgate.net"), if_((n >= 2) & (first == "profile"), F.concat(F.lit("researchgate.net/profile/"), F.lower(part(1))))),
+        (on_host(h, "academia.edu") & (n > 0) & ~first.rlike("^[0-9]+$"), F.concat(h, F.lit("/"), F.lower(first))),
+        (on_host(h, "academia.edu"), if_((n == 0) & (h != "academia.edu"), h)),
+        ((h == "arxiv.org") & (n >= 2) & (first == "a"), F.concat(h, F.lit("/a/"), part(1))),
+        ((h == "github.com") & (n >= 2) & (first == "orgs"), F.concat(h, F.lit("/"), F.lower(part(1)))),
+        (h.isin(*BY_PATH) & (n > 0), F.concat(h, F.lit("/"), F.lower(first))),
+    )
+    named = reduce(lambda acc, rule: acc.when(*rule), rules, F).otherwise(h)
+    return F.when(usable(url), named).otherwise("")

@@ -119,3 +119,31 @@ def by_id(rows: DataFrame, key: str, wanted: list[str], prefix: bool = False) ->
 def cluster_sizes(members: DataFrame, head: str) -> DataFrame:
     """(size, clusters): how many clusters there are of each size."""
     return members.groupBy(head).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("clusters"))
+
+
+def named(people: DataFrame, key: str, head: str, handle: str, wanted: str, home_keys: list[str] | None = None) -> DataFrame:
+    """(head, ids, matched_on): the clusters that a handle, an id or (as ``home_keys``) a home page names, each with all its ids.
+
+    A handle may stand in an id (``github:`` or ``substack:`` before it) or in its own column; case doesn't matter. A
+    text that names no one gives no cluster.
+    """
+    text = wanted.strip().lower()
+    bare = text.lstrip("@")
+    typed = ":" in text and not text.startswith("http")
+    seeds = {text: "entity_id"} if typed else {f"{p}:{bare}": "handle" for p in ("github", "substack")} if bare and "/" not in bare else {}
+    seeds |= {k.lower(): "home_url" for k in home_keys or ()}
+    own = F.lower(F.col(key))
+    why = F.lit(None).cast("string")
+    for seed, reason in seeds.items():
+        why = F.when(own == seed, reason).otherwise(why)
+    why = F.coalesce(why, F.when((F.lower(F.col(handle)) == bare) & F.lit(bool(bare)), "profile_handle"))
+    top = F.coalesce(head, key)
+    hits = people.select(top.alias("head"), why.alias("why")).where("why is not null").groupBy("head").agg(F.min("why").alias("matched_on"))
+    members = people.select(top.alias("head"), F.col(key).alias("id")).join(hits, "head")
+    return members.groupBy("head", "matched_on").agg(F.array_sort(F.collect_set("id")).alias("ids")).select("head", "ids", "matched_on")
+
+
+def wanted_ids(clusters: DataFrame, explicit: list[str]) -> DataFrame:
+    """(id): the ids of the clusters that a name gave and those given, once each; an empty table means that nothing matches."""
+    given = clusters.sparkSession.createDataFrame([(x,) for x in explicit], "id string")
+    return clusters.select(F.explode("ids").alias("id")).union(given).distinct()

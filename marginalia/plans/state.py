@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from marginalia.functions import dates, pages, urls
 from marginalia.operators import graph, search, state
 from marginalia.storage import table
 
@@ -144,11 +145,72 @@ def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(table(spark, d, "documents"), "accountable things", 50, stemmed=True)
 
 
+def accounts(spark: SparkSession, d: str) -> DataFrame:
+    """Whose pages addresses are; five in six are made of a page's number on platforms with accounts."""
+    n, kind = F.col("page_id").cast("string"), F.col("page_id") % 6
+    made = F.when(kind == 0, F.concat(F.lit("https://mobile.twitter.com/User"), n, F.lit("/status/1"))).when(kind == 1, F.concat(F.lit("http://www.GitHub.com/orgs/Org"), n, F.lit("/people")))
+    made = made.when(kind == 2, F.concat(F.lit("me"), n, F.lit(".substack.com/p/a"))).when(kind == 3, F.concat(F.lit("https://m.youtube.com/watch?v="), n))
+    made = made.when(kind == 4, F.concat(F.lit("https://scholar.google.com/citations?hl=en&user=u"), n)).otherwise(F.concat(F.lit("https://www.site"), n, F.lit(".org:80/a/b?c#d")))
+    return table(spark, d, "pages").select("page_id", urls.account(made).alias("account"))
+
+
+def _stated(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with heads that state days: a meta tag, JSON-LD, both, one that lies in the future, or none."""
+    n = F.col("page_id")
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (n % 1000).cast("int")), "yyyy-MM-dd")
+    meta = F.concat(F.lit("<meta content='"), day, F.lit("T10:00:00Z' property='article:published_time'>"))
+    later = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"BlogPosting","datePublished": "2023-05-05"}]}</script>'))
+    future = F.lit('<meta name="date" content="2999-01-01"><meta property="og:type" content="article">')
+    return table(spark, d, "pages").select("page_id", "html", F.concat(F.when(n % 4 == 0, meta).when(n % 4 == 1, later).when(n % 4 == 2, F.concat(meta, later)).otherwise(future), "html").alias("page"))
+
+
+def page_dates(spark: SparkSession, d: str) -> DataFrame:
+    page, today = F.col("page"), F.lit("2026-01-01").cast("date")
+    return _stated(spark, d).select("page_id", F.date_format(pages.published(page, today), "yyyy-MM-dd").alias("published"), F.size(pages.stated_dates(page, today)).cast("long").alias("stated"), pages.is_article(page).alias("is_article"))
+
+
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    own = F.concat(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta property="og:title" content=" T  '), F.col("page_id"), F.lit(' "><meta content="about it" name="description">'))).otherwise(""), "html")
+    return table(spark, d, "pages").select("page_id", pages.title(own).alias("title"), pages.description(own).alias("description"))
+
+
+def post_dates(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id") % 5
+    day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    got = dates.post_date(F.when(n == 0, day), F.when(n == 1, day).otherwise(""), F.when(n < 4, F.concat(F.lit("2001-01-01"), F.lit("T00:00"))))
+    return table(spark, d, "events").select("event_id", got["day"].alias("day"), got["precision"].alias("precision"))
+
+
+def next_pulls(spark: SparkSession, d: str) -> DataFrame:
+    """When each author's and source's pair is pulled again: pulls work with a value of 20 or more."""
+    by = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max(F.when(F.col("value") >= 20, F.col("ts"))).alias("pulled"), F.max(F.when(F.col("value") < 20, F.col("ts"))).alias("tried"))
+    at = dates.due_at(F.col("pulled"), F.col("tried"), F.col("user_id").cast("string"), F.col("event_type"))
+    return by.select("user_id", "event_type", F.date_trunc("second", at).cast("timestamp_ntz").alias("due"))
+
+
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as accounts: one in two with the key in the id, all with a handle, clustered by nation and segment."""
+    c = table(spark, d, "customer")
+    key = F.concat(F.when(F.col("c_custkey") % 2 == 0, "github:").otherwise("x:"), F.col("c_custkey").cast("string"))
+    return c.select(key.alias("id"), F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("head"), F.col("c_name").alias("handle"))
+
+
+def who_by_handle(spark: SparkSession, d: str) -> DataFrame:
+    got = state.named(_people(spark, d), "id", "head", "handle", "@customer#000000007")
+    return got.select("head", F.array_join("ids", ",").alias("ids"), "matched_on")
+
+
+def who_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of the cluster that an id names, and one more."""
+    return state.wanted_ids(state.named(_people(spark, d), "id", "head", "handle", "GitHub:12"), ["x:nobody"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         pull_marks, pull_windows, candidate_states, due_candidates, promotions, replaced_signals, inserted_signals, kept_fields, merged_profiles, newest_of_kind, last_turns, known_nations,
         evidence_tallies, found_by_id, found_by_prefix, resolution_stats, identity_clusters, next_turns, recommendations, iso_seconds, json_arrays, input_marks, search_stemmed,
+        accounts, page_dates, page_titles, post_dates, next_pulls, who_by_handle, who_by_id,
     )
 }
 
@@ -193,4 +255,12 @@ SQL = {
     "iso_seconds": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events",
     "json_arrays": f"SELECT event_type, CAST(2 * count(*) FILTER (WHERE event_id % 7 > 0) AS BIGINT) AS items, count(*) FILTER (WHERE event_id % 7 > 0 AND ({_K} = 5 OR user_id = 5)) AS with_five FROM events GROUP BY 1",
     "input_marks": " UNION ALL ".join(f"SELECT '{t}' AS input, count(*) AS n, max({k}) AS last FROM {t}" for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("events", "event_id"), ("documents", "doc_id"))),
+    "accounts": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'x.com/user' || page_id WHEN 1 THEN 'github.com/org' || page_id WHEN 2 THEN 'me' || page_id || '.substack.com' WHEN 3 THEN '' WHEN 4 THEN 'scholar.google.com/citations?user=u' || page_id ELSE 'site' || page_id || '.org' END AS account FROM pages",
+    "page_dates": "SELECT page_id, strftime(CASE page_id % 4 WHEN 1 THEN DATE '2023-05-05' WHEN 3 THEN NULL WHEN 0 THEN m ELSE least(m, DATE '2023-05-05') END, '%Y-%m-%d') AS published, (ARRAY[1, 1, 2, 0])[page_id % 4 + 1] AS stated, page_id % 4 > 0 AS is_article FROM (SELECT page_id, DATE '2020-01-01' + CAST(page_id % 1000 AS INT) AS m FROM pages)",
+    "page_titles": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'T ' || page_id ELSE trim(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]*)', 1), '\\s+', ' ', 'g')) END AS title, CASE WHEN page_id % 2 = 0 THEN 'about it' ELSE '' END AS description FROM pages",
+    "post_dates": "SELECT event_id, CASE WHEN event_id % 5 < 2 THEN strftime(ts, '%Y-%m-%d') WHEN event_id % 5 < 4 THEN '2001-01-01' ELSE '' END AS day, CASE WHEN event_id % 5 < 4 THEN 'day' ELSE 'unknown' END AS precision FROM events",
+    "next_pulls": "SELECT user_id, event_type, date_trunc('second', CASE WHEN tried IS NOT NULL AND (pulled IS NULL OR tried > pulled) THEN tried + INTERVAL 60 MINUTE ELSE pulled + to_microseconds(CAST(round(86400000 * (1 + ((CAST('0x' || substr(sha256(user_id || ':' || event_type), 1, 8) AS BIGINT) % 2001) / 1000 - 1) * 0.1)) * 1000 AS BIGINT)) END) AS due "
+    "FROM (SELECT user_id, event_type, max(ts) FILTER (WHERE value >= 20) AS pulled, max(ts) FILTER (WHERE value < 20) AS tried FROM events GROUP BY 1, 2)",
+    "who_by_handle": "SELECT c_nationkey || '/' || c_mktsegment AS head, string_agg(id, ',' ORDER BY id) AS ids, 'profile_handle' AS matched_on FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN 'github:' ELSE 'x:' END || c_custkey AS id FROM customer) c WHERE (c_nationkey, c_mktsegment) IN (SELECT (c_nationkey, c_mktsegment) FROM customer WHERE lower(c_name) = 'customer#000000007') GROUP BY 1",
+    "who_by_id": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'github:' ELSE 'x:' END || c_custkey AS id FROM customer WHERE (c_nationkey, c_mktsegment) IN (SELECT (c_nationkey, c_mktsegment) FROM customer WHERE c_custkey = 12) UNION SELECT 'x:nobody'",
 }

@@ -86,3 +86,47 @@ def test_links(spark, url, kind, paper):
 def test_sites_and_posts(spark):
     assert [one(spark, urls.site_label(F.col("h")), h=h) for h in ("willcb.com", "blog.willcb.com", "foo.co.uk", "local", "")] == ["willcb", "willcb", "foo", "local", None]
     assert one(spark, urls.post_id(F.col("u")), u="https://x.com/a/status/123/photo/1?s=2") == "123" and one(spark, urls.post_id(F.col("u")), u="https://nitter.net/a/status/1") is None
+
+
+def test_stems():
+    from marginalia.functions.stemming import folded, stem
+
+    pairs = "caresses caress, ponies poni, agreed agre, plastered plaster, motoring motor, sing sing, hopping hop, falling fall, filing file, happy happi, sky sky, relational relat, digitizer digit, triplicate triplic, hopeful hope, goodness good, adjustment adjust, adoption adopt, probate probat, rate rate, controll control, generalizations gener, is is, straße straße"
+    assert all(stem(a) == b for a, b in (p.split() for p in pairs.split(", ")))
+    assert stem("accountability") == stem("accountable") and folded("Ça và") == "ca va" and folded(None) == ""
+
+
+def test_stemmed_search_and_content_words(spark):
+    from marginalia.operators import search
+
+    docs = spark.createDataFrame([(1, "On accountability in café life"), (2, "nothing of it"), (3, None)], "doc_id long, text string")
+    assert [r.doc_id for r in search.bm25(docs, "accountable", stemmed=True).collect()] == [1] and search.bm25(docs, "accountable").count() == 0
+    assert [r.doc_id for r in search.bm25(docs, "cafe", stemmed=True).collect()] == [1]
+    assert search.content_words("What is the Thing of things") == ["thing", "things"] and search.content_words("the of") == [] and search.query_words("the of") == ["the", "of"]
+
+
+def test_identities_join_by_owned_addresses_only(spark):
+    from marginalia.operators import graph
+
+    links = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, "hub", False), (4, "hub", False), (5, "b", True), (2, "b", False), (6, None, True)], "e long, u string, owns boolean")
+    heads = graph.resolved(links, "e", "u", links["owns"])
+    assert {r.entity: r["head"] for r in heads.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6}
+    claims = spark.createDataFrame([(3, 1, 20), (3, 4, 10), (5, 4, 1)], "e long, head long, at int").withColumnRenamed("e", "entity").withColumnRenamed("head", "by")
+    assert {r.entity: r["head"] for r in graph.added_sources(heads, claims, "entity", "by", "at").collect()} == {1: 1, 2: 1, 3: 4, 4: 4, 5: 1, 6: 6}
+
+
+def test_gap_rule_and_accounts(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.functions import urls
+    from marginalia.operators import curation
+
+    walks = spark.createDataFrame([("a", 9, True, 5), ("b", 9, False, 5), ("c", 3, True, 5)], "k string, started int, finished boolean, cursor int")
+    assert {r.k: r.claimed for r in curation.without_gap(walks, "k", "started", "finished", "cursor").collect()} == {"a": 9, "b": 5, "c": 5}
+    want = {
+        "https://twitter.com/Some_One/status/1": "x.com/some_one", "medium.com/@X": "medium.com/@x", "https://you.medium.com/a": "you.medium.com", "https://www.semanticscholar.org/author/N/12": "semanticscholar.org/author/12",
+        "https://orcid.org/0000-0001-2345-678X": "orcid.org/0000-0001-2345-678X", "https://orcid.org/me": "", "https://dblp.org/pid/1/2.html": "dblp.org/pid/1/2", "https://www.researchgate.net/profile/A_B": "researchgate.net/profile/a_b",
+        "https://uni.academia.edu/": "uni.academia.edu", "https://academia.edu/123": "", "https://arxiv.org/a/k_1": "arxiv.org/a/k_1", "https://youtu.be/x": "", "localhost": "", "ftp://a.b/c": "", "mailto:a@b.c": "", "a b.c": "", "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in [*want, None]], "u string").select("u", urls.account(F.col("u")).alias("a")).collect()
+    assert {r.u: r.a for r in rows} == {**want, None: ""}
