@@ -77,7 +77,7 @@ def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, id_col: str = "doc_id"
     """
     most = max(sizes)
     name, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    sized = docs.select(name.cast("long").alias("doc_id"), n_words(text).alias("n"), row_key(name, text).alias("_k"))
+    sized = materialise(docs.select(name.cast("long").alias("doc_id"), n_words(text).alias("n"), row_key(name, text).alias("_k")))
     sized = materialise(numbered(sized.where("n > 0")).union(sized.where("n = 0").select("*", F.lit(1), F.lit(1).cast("long"))))
     shards = max(1, -(-sized.count() // group))
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(most).cast("long"))
