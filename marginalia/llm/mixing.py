@@ -81,6 +81,11 @@ def permuted(x: Column, m: Column, *of: Column) -> Column:
     return _turn(twice, m, F.lit(3), *of)
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows``, few but each to be exploded into many, over all shuffle partitions; a stated number is not put together again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def shard_counts(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     """(shard, source_no, n_blocks, count): how many slots of each output shard each source gets.
 
@@ -95,7 +100,7 @@ def shard_counts(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     some = some.withColumn("after", F.coalesce(F.lag("upto").over(order), F.lit(0))).withColumn("slots", F.max("upto").over(everything))
     some = some.withColumn("per", F.greatest(F.lit(shard).cast("long"), 4 * F.count("*").over(everything))).where("upto > after")
     spread = F.explode(F.expr(f"sequence(after div {SPREAD}, (upto - 1) div {SPREAD})"))
-    turns = some.select("source_no", "n_blocks", "slots", "per", "after", "upto", spread.alias("turn")).repartition("source_no", "turn")
+    turns = _dealt(some.select("source_no", "n_blocks", "slots", "per", "after", "upto", spread.alias("turn")), "source_no", "turn")
     first, last = F.greatest(F.col("after"), F.col("turn") * SPREAD), F.least(F.col("upto"), (F.col("turn") + 1) * SPREAD) - 1
     slots = turns.select("source_no", "n_blocks", "slots", "per", F.explode(F.sequence(first, last)).alias("position"))
     return slots.groupBy(F.floor(permuted(F.col("position"), F.col("slots"), F.lit("slot")) / F.col("per")).alias("shard"), "source_no", "n_blocks").agg(F.count("*").alias("count"))
@@ -108,7 +113,7 @@ def draw(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     the epoch's permutation puts at k mod n_blocks. No block is taken over three times.
     """
     before = F.sum("count").over(Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    counts = shard_counts(sources, shard).withColumn("before", F.coalesce(before, F.lit(0))).repartition("source_no", "shard")
+    counts = _dealt(shard_counts(sources, shard).withColumn("before", F.coalesce(before, F.lit(0))), "source_no", "shard")
     slots = counts.select("source_no", "n_blocks", "before", F.explode(F.expr("sequence(0L, count - 1)")).alias("j"))
     slots = slots.select("source_no", "n_blocks", (F.col("before") + F.col("j")).alias("k"))
     slots = slots.where(F.col("k") < MOST * F.col("n_blocks")).withColumn("epoch", F.expr("k div n_blocks"))
