@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,9 @@ SALT = 16
 #: A band key of more unlike paragraphs isn't verified as one group: they meet by their rarest shingles instead.
 GROUP = 256
 
+#: Words whose hashes a task remembers at most, and characters of texts that are worked on together.
+REMEMBERED, TOGETHER = 1 << 19, 1 << 20
+
 #: The number of a text's first part, above those of its lines.
 PARTS = 1 << 28
 
@@ -79,9 +83,14 @@ def cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
     return edges
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w) for w in words], dtype=np.uint64)
+class Hashes(dict):
+    """The hash of every word asked for; forgets all of them when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = digest = xxhash.xxh64_intdigest(word)
+        return digest
 
 
 def grams(h: np.ndarray, size: int) -> np.ndarray:
@@ -94,8 +103,8 @@ def grams(h: np.ndarray, size: int) -> np.ndarray:
     return g
 
 
-def _described(h: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, content hash, band keys) of the parts of a text that begin ``at`` these words."""
+def _described(h: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, content hash, band keys) of the parts of a run of words that begin ``at`` these places and follow each other."""
     with np.errstate(over="ignore"):
         length = np.diff(at, append=len(h))
         place = np.arange(len(h)) - np.repeat(at, length)
@@ -117,44 +126,90 @@ def _described(h: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarray, n
                 keys = _mix(keys, least[:, :, r])
             keys[length < SHINGLE] = content[length < SHINGLE, None]
             keys = _mix(keys, np.arange(bands, dtype=np.uint64))
-    return at.astype(np.int32), length.astype(np.int32), content, keys
+    return length, content, keys
 
 
-def split_lines(text: str | None) -> tuple[np.ndarray, list[int]]:
-    """Hashes of a text's words, and how many words each of its lines has that has any."""
-    lines = [w for line in (text or "").encode().split(b"\n") if (w := line.split())]
-    return word_hashes([w for line in lines for w in line]), [len(line) for line in lines]
+class Read(NamedTuple):
+    """Some texts as one run of words."""
 
+    words: list[bytes]
+    h: np.ndarray  # the words' hashes
+    begin: np.ndarray  # first word of each text
+    line: np.ndarray  # first word of each line that has words
 
-def paragraphs(h: np.ndarray, lines: list[int], bands: int = BANDS) -> tuple[np.ndarray, ...]:
-    """(start, length, content hash, band keys, place in order) of a text's lines and of the parts of its long lines.
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        """Which text each of these words is in."""
+        return np.searchsorted(self.begin, at, side="right") - 1
 
-    Parts are numbered from PARTS on, those of different lines apart, so that neighbours have neighbouring numbers.
-    """
-    if not lines:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros((0, bands), np.uint64), np.zeros(0, np.int32)
-    at = np.cumsum([0, *lines[:-1]])
-    whole = (*_described(h, at, bands), np.arange(len(at), dtype=np.int32))
-    if max(lines) <= LONGEST:
-        return whole
-    with np.errstate(over="ignore"):
-        inner = [start + cuts(h[start : start + n]) if n > LONGEST else np.array([start]) for start, n in zip(at.tolist(), lines)]
-    long = np.repeat([n > LONGEST for n in lines], [len(x) for x in inner])
-    parts = (*_described(h, np.concatenate(inner), bands), PARTS + np.arange(len(long), dtype=np.int32))
-    return tuple(np.concatenate([w, x[long]]) for w, x in zip(whole, parts))
+
+def read(texts: list[str | None], hashes: Hashes) -> Read:
+    words: list[bytes] = []
+    begin, line = [], []
+    for text in texts:
+        begin.append(len(words))
+        for found in map(bytes.split, (text or "").encode().split(b"\n")):
+            if found:
+                line.append(len(words))
+                words += found
+    return Read(words, np.array([hashes[w] for w in words], np.uint64), np.array(begin), np.array(line, np.int64))
 
 
-def anchors(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the shorter runs, for every run of ``least`` words where its anchor begins): the first one of least hash."""
+def in_groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts of about TOGETHER characters."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= TOGETHER:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def paragraphs(r: Read, bands: int = BANDS) -> tuple[np.ndarray, ...]:
+    """(start, length, content hash, band keys, number) of the lines of texts and of the parts of their long lines.
+
+    Starts count over all texts; numbers order the lines of a text, and after them, from PARTS on, its parts.
+    """
+    if not len(r.line):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, bands), np.uint64), np.zeros(0, np.int64)
+    found = [(r.line, *_described(r.h, r.line, bands), np.zeros(len(r.line), np.int64))]
+    length = np.diff(r.line, append=len(r.h))
+    long = np.flatnonzero(length > LONGEST)
+    if len(long):
+        pieces = [r.h[r.line[i] : r.line[i] + length[i]] for i in long.tolist()]
+        with np.errstate(over="ignore"):
+            inner = [cuts(x) for x in pieces]
+        before = np.cumsum([0, *map(len, pieces[:-1])])
+        shift = np.repeat(r.line[long] - before, [len(x) for x in inner])
+        at = np.concatenate(inner) + np.repeat(before, [len(x) for x in inner])
+        found.append((at + shift, *_described(np.concatenate(pieces), at, bands), np.full(len(at), PARTS)))
+    start, n, content, keys, number = (np.concatenate(x) for x in zip(*found))
+    return start, n, content, keys, number + start - r.begin[r.text_of(start)]
+
+
+def anchors(r: Read, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, least and most words before it) of each anchor: of every run of ``least`` words of a text the first part of least hash.
+
+    The last two say where the runs begin that it is the anchor of.
+    """
     size = (least + 1) // 2
-    short = grams(h, size)
-    m, wide = max(0, len(h) - least + 1), least - size + 1
+    short = grams(r.h, size)
+    m, wide = max(0, len(r.h) - least + 1), least - size + 1
     bits = np.uint64((1 << wide.bit_length()) - 1)
     high = short & ~bits  # the low bits hold the place, so that of equal hashes the first is least
     low = high[:m].copy()
     for k in range(1, wide):
         np.minimum(low, high[k : k + m] | np.uint64(k), out=low)
-    return short, np.arange(m) + (low & bits).astype(np.int64)
+    length = np.diff(r.begin, append=len(r.h))
+    runs = np.flatnonzero(np.arange(m) <= np.repeat(r.begin + length - least, length)[:m])  # none reaches over its text's end
+    at = runs + (low[runs] & bits).astype(np.int64)
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    at = at[first]
+    return short[at], at, at - runs[last], at - runs[first]
 
 
 def _batch(schema: str, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
@@ -171,13 +226,14 @@ def _batch(schema: str, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
 
 def _key_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Of texts: each anchor once (kind 0; 1 if the batch has it again), each band of each paragraph once (kind 2)."""
+    hashes = Hashes()
     for batch in batches:
+        texts = batch.column(0).to_pylist()
         keys, bands = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.uint64)]
-        for text in batch.column(0).to_pylist():
-            h, lines = split_lines(text)
-            short, at = anchors(h, least)
-            keys.append(short[at[np.r_[True, at[1:] != at[:-1]]]] if len(at) else at.astype(np.uint64))
-            _, n, content, found, _ = paragraphs(h, lines)
+        for lo, hi in in_groups(texts):
+            r = read(texts[lo:hi], hashes)
+            keys.append(anchors(r, least)[0])
+            _, n, content, found, _ = paragraphs(r)
             long = n >= least
             bands += [np.stack([found[long, b], content[long]], axis=1) for b in range(BANDS)]
         key, count = np.unique(np.concatenate(keys), return_counts=True)
@@ -213,43 +269,32 @@ def _place_rows(batches: Iterator[pa.RecordBatch], least: int, met: KeyFilter, u
     """
     size = (least + 1) // 2
     side = least - size
-    steps = np.r_[-np.arange(1, side + 1), size + np.arange(side)]
+    steps = np.concatenate([-np.arange(1, side + 1), size + np.arange(side)])
+    hashes = Hashes()
     for batch in batches:
-        rows: list[list[np.ndarray]] = [[] for _ in range(6)]
-        found: list[tuple] = []
+        docs, tags, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
         had: set[int] = set()
-        for doc, tag, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            h, lines = split_lines(text)
-            short, at = anchors(h, least)
-            if len(at):
-                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                last = np.r_[first[1:], len(at)] - 1
-                at = at[first]
-                key = short[at]
-                take = np.flatnonzero(met.maybe(key))
-                at = at[take]
-                around = np.pad((h >> np.uint64(48)).astype(np.uint16), side)[side + at[:, None] + steps]
-                for column, values in zip(rows, (key[take], np.full(len(at), doc), np.full(len(at), tag), at, ((at - last[take]) << 16) + at - first[take], around)):
-                    column.append(values)
-            start, n, content, _, chunk = paragraphs(h, lines, 0)
-            if len(start):
-                words = None
-                for i in np.flatnonzero((n >= least) & unlike.maybe(content)).tolist():
-                    own, own_text = int(content[i]), None
-                    if own not in had:
-                        had.add(own)
-                        words = (text or "").encode().split() if words is None else words
-                        own_text = b" ".join(words[start[i] : start[i] + n[i]]).decode()
-                    found.append((content[i], doc, tag, int(start[i]), int(n[i]), int(chunk[i]), own_text))
-        if rows[0]:
-            key, doc, tag, at, room, around = (np.concatenate(x) for x in rows)
-            width = 2 * around.shape[1]
-            offsets = pa.array(np.arange(len(key) + 1, dtype=np.int32) * width)
-            binary = pa.Array.from_buffers(pa.binary(), len(key), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(around).tobytes())])
-            yield _batch(PLACES, kind=np.zeros(len(key), np.int32), key=key, doc=doc.astype(np.int64), tag=tag.astype(np.int32), at=at, room=room, around=binary)
-        if found:
-            key, doc, tag, at, n, chunk, texts = zip(*found)
-            yield _batch(PLACES, kind=np.ones(len(key), np.int32), key=np.array(key, np.uint64), doc=np.array(doc, np.int64), tag=np.array(tag, np.int32), at=np.array(at), n=np.array(n), chunk=np.array(chunk), text=pa.array(texts, pa.string()))
+        for lo, hi in in_groups(texts):
+            r = read(texts[lo:hi], hashes)
+            key, at, low, high = anchors(r, least)
+            take = np.flatnonzero(met.maybe(key))
+            key, at, low, high = key[take], at[take], low[take], high[take]
+            if len(key):
+                around = np.pad((r.h >> np.uint64(48)).astype(np.uint16), side)[side + at[:, None] + steps]
+                offsets = pa.array(np.arange(len(key) + 1, dtype=np.int32) * (4 * side))
+                binary = pa.Array.from_buffers(pa.binary(), len(key), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(around).tobytes())])
+                of = r.text_of(at)
+                yield _batch(PLACES, kind=np.zeros(len(key), np.int32), key=key, doc=docs[lo + of], tag=tags[lo + of], at=at - r.begin[of], room=(low << 16) + high, around=binary)
+            start, n, content, _, number = paragraphs(r, 0)
+            take = np.flatnonzero((n >= least) & unlike.maybe(content))
+            if len(take):
+                start, n, content, number = start[take], n[take], content[take], number[take]
+                of = r.text_of(start)
+                said = []
+                for own, i, k in zip(content.tolist(), start.tolist(), n.tolist()):
+                    said.append(None if own in had else b" ".join(r.words[i : i + k]).decode())
+                    had.add(own)
+                yield _batch(PLACES, kind=np.ones(len(n), np.int32), key=content, doc=docs[lo + of], tag=tags[lo + of], at=start - r.begin[of], n=n, chunk=number, text=pa.array(said, pa.string()))
 
 
 def _found(t: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
@@ -373,7 +418,7 @@ def by_runs(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterat
 
 
 def shingles(found: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
-    return {tuple(found[i : i + size]) for i in range(max(1, len(found) - size + 1))}
+    return set(zip(*(found[i:] for i in range(size)))) or {tuple(found)}
 
 
 def _alike(t: pa.Table, similarity: float) -> pa.RecordBatch:
