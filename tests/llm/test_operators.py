@@ -173,51 +173,29 @@ def test_masked_lm_scores_whole_texts(spark):
     assert all((r.per_token is None) == (r.n_tokens == 0) and r.pseudo_log_likelihood <= 0 for r in got.values())
 
 
-def test_masked_lm_matches_a_plain_sum():
-    net, ids = masked_lm.start(), masked_lm.tokens("one two three two one four")
-    logs, _, _ = masked_lm.class_logs(net, masked_lm.windows(ids, np.arange(len(ids))))
-    padded = [0] * masked_lm.SIDE + ids.tolist() + [0] * masked_lm.SIDE
-    for i in range(len(ids)):
-        around = padded[i : i + masked_lm.SIDE] + padded[i + masked_lm.SIDE + 1 : i + 2 * masked_lm.SIDE + 1]
-        z = np.tanh(np.concatenate([net.embed[t] for t in around]) @ net.inner + net.inner_bias) @ net.outer + net.outer_bias
-        assert np.allclose(logs[i], z - np.log(np.exp(z).sum()), atol=1e-5)
-    of, share = masked_lm.classes(np.bincount(ids, minlength=masked_lm.TOKENS))
-    assert np.allclose(np.bincount(of, weights=np.exp(share.astype(float)))[np.unique(of)], 1, atol=1e-3)
-
-
 def test_kneser_ney_counts_as_many_trusted_rows_as_its_bound(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"one two three {i}", "en") for i in range(900)], "doc_id long, text string, lang string")
-    seen, plain = [], kneser_ney.count_tables
-    monkeypatch.setattr(kneser_ney, "count_tables", lambda trusted: seen.append(trusted.count()) or plain(trusted))
+    seen, plain = [], kneser_ney.model
+    monkeypatch.setattr(kneser_ney, "model", lambda trusted: seen.append(trusted.count()) or plain(trusted))
     kneser_ney.classify(docs, docs.selectExpr("doc_id", "1 quality"))
     assert seen == [600]
 
 
 def test_kneser_ney_probabilities_sum_to_one(spark):
     texts = ["a b a c", "a b b c a", "c a b a b"]
-    trusted = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
-    model = kneser_ney.Model(trusted)
-    words = ["a", "b", "c"]
-
-    def p(context, word):  # the words' joint surprise with and without the last one, end marks taken out by difference
-        h = kneser_ney.word_hashes(" ".join([*context, word] if word else context), "en")
-        keys = h[-4:-1] if word else h[-3:]
-        u, v, w = (keys[i : i + 1] for i in range(3))
+    entries, unseen = kneser_ney.model(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"))
+    table, unknown = {r.key: r.value for r in entries.collect()}, unseen.first()["unseen"]
+
+    def p(context, word):  # the end mark for None
+        u, v, w = (kneser_ney.word_hashes(" ".join([*context, word] if word else context), "en")[-4:-1] if word else kneser_ney.word_hashes(" ".join(context), "en")[-3:])
         with np.errstate(over="ignore"):
             uv, vw = kneser_ney._mix(u, v), kneser_ney._mix(v, w)
-            uvw = kneser_ney._mix(uv, w)
-        i = lambda a: a.view(np.int64)
-        x = model._find(model.alpha[2], i(w), 0.0) + model.free["en"] / model.vocabulary["en"]
-        x = model._find(model.alpha[1], i(vw), 0.0) + model._find(model.gamma[1], i(v), 1.0) * x
-        return float((model._find(model.alpha[0], i(uvw), 0.0) + model._find(model.gamma[0], i(uv), 1.0) * x)[0])
-
-    unknown = model.free["en"] / model.vocabulary["en"]
-    for context in (["a", "b"], ["b", "a"], ["c", "a"]):
-        h = kneser_ney.word_hashes(" ".join(context), "en")
-        rest = model._find(model.gamma[1], h[-2:-1].view(np.int64), 1.0)[0]
-        with np.errstate(over="ignore"):
-            rest *= model._find(model.gamma[0], kneser_ney._mix(h[-3:-2], h[-2:-1]).view(np.int64), 1.0)[0]
-        assert abs(sum(p(context, w) for w in words) + p(context, None) + rest * unknown - 1) < 1e-4
+            keys = [int(kneser_ney._salted(x, i).view(np.int64)) for i, x in enumerate((kneser_ney._mix(uv, w), uv, vw, v, w))]
+        lower = table.get(keys[2], table.get(keys[3], 0.0) + table.get(keys[4], unknown))
+        return float(np.exp(table.get(keys[0], table.get(keys[1], 0.0) + lower)))
+
+    for context in (["a", "b"], ["b", "a"], ["c", "a"], ["a", "zzz"]):
+        assert abs(sum(p(context, w) for w in ("a", "b", "c", None, "unseen")) - 1) < 1e-6
 
 
 def test_odd_rows(spark, odd):
