@@ -55,24 +55,6 @@ def names(name: Column, text: Column) -> Column:
     return (F.size(name_tokens(name)) > 0) & F.contains(spaced(text), spaced(name))
 
 
-def excerpt_start(text: Column, pattern: str, width: int = WIDTH, lead: int = LEAD) -> Column:
-    """0-based start of the window of ``width`` characters with most matches, ``lead`` before the first of them; 0 without a match.
-
-    Starts are summed from the lengths of what lies between matches, so the work is linear in the text but for
-    counting matches in each window.
-    """
-    parts = F.split(F.regexp_replace(text, f"({pattern})", "\x00$1"), "\x00")  # each part but the first begins with a match
-    starts = F.aggregate(
-        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["all"], acc["at"] + F.length(p)).alias("all")),
-    )["all"]
-    n = F.length(text)
-    low = lambda s: F.greatest(F.lit(0), F.least(n, F.greatest(F.lit(0), s - lead) + width) - width)
-    held = lambda s: F.size(F.filter(starts, lambda x: (x >= low(s)) & (x < low(s) + width)))
-    best = F.array_max(F.transform(starts, lambda s: F.struct(held(s).alias("n"), (-low(s)).alias("at"))))
-    return F.coalesce(-best["at"], F.lit(0))
-
-
 def listed(items: Column, shown: int = 3) -> Column:
     """'a', 'a and b', 'a, b and c', 'a, b, c and 2 others'; null for no items."""
     rest = F.size(items) - shown

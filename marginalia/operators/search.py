@@ -66,3 +66,23 @@ def phrase_matches(docs: DataFrame, phrase: str, text_col: str = "text") -> Data
 def reciprocal_ranks(hits: DataFrame, owner: str, rank: str = "rank") -> DataFrame:
     """(owner, score, hits): the sum of 1 / (60 + rank) over an owner's hits, best first."""
     return hits.groupBy(owner).agg(F.bround(F.sum(1 / (F.lit(60) + F.col(rank))), 5).alias("score"), F.count("*").alias("hits"))
+
+
+def densest_windows(docs: DataFrame, pattern: str, width: int, lead: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start): where in each text the window of ``width`` characters with most matches begins, ``lead`` before its first one.
+
+    Of equal windows the earliest is taken; a text without a match begins at 0. Matches are counted by a sliding
+    range of places, so the work is linear in them. Ids tell rows apart.
+    """
+    parts = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"({pattern})", "\x00$1"), "\x00")  # each part but the first begins with a match
+    rows = docs.select(id_col, F.length(text_col).alias("_n"), F.posexplode(F.transform(parts, F.length)).alias("_i", "_len"))
+    by = Window.partitionBy(id_col)
+    at = F.coalesce(F.sum("_len").over(by.orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = rows.withColumn("_at", at).where("_i > 0")
+    last = F.col("_n") - width  # where the last window begins
+    inner = F.count("*").over(by.orderBy("_at").rangeBetween(-lead, width - lead - 1))
+    ahead, behind = F.count_if(F.col("_at") < width).over(by), F.count_if(F.col("_at") >= last).over(by)
+    low = F.greatest(F.lit(0), F.least(F.col("_at") - lead, last))
+    held = F.when(low == 0, ahead).when(low == last, behind).otherwise(inner)
+    best = found.select(id_col, held.alias("_held"), low.alias("_low")).groupBy(id_col).agg(F.max(F.struct("_held", (-F.col("_low")).alias("_back"))).alias("_best"))
+    return docs.select(id_col).join(best, id_col, "left").select(id_col, F.coalesce(-F.col("_best._back"), F.lit(0)).cast("long").alias("start"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.functions import dates, maps, texts, urls
-from marginalia.operators import curation
+from marginalia.operators import curation, search
 from marginalia.storage import shared_folder, table
 from marginalia.streaming import events as streams
 
@@ -34,9 +34,10 @@ def named_items(spark: SparkSession, d: str) -> DataFrame:
 
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
     """Where the window of 1,600 characters with most of the word begins, and its text's hash."""
-    docs = table(spark, d, "documents").withColumn("start", texts.excerpt_start(F.col("text"), "(?i)\\bthe\\b"))
-    part = F.substring("text", F.col("start") + 1, F.lit(texts.WIDTH))
-    return docs.select("doc_id", F.col("start").cast("long").alias("start"), F.sha2(part, 256).alias("excerpt_sha256"))
+    docs = table(spark, d, "documents")
+    starts = search.densest_windows(docs, "(?i)\\bthe\\b", texts.WIDTH, texts.LEAD)
+    part = F.substring("text", F.col("start").cast("int") + 1, F.lit(texts.WIDTH))
+    return docs.join(starts, "doc_id").select("doc_id", "start", F.sha2(part, 256).alias("excerpt_sha256"))
 
 
 def provenance(spark: SparkSession, d: str) -> DataFrame:
@@ -162,6 +163,11 @@ SQL = {
     "fetch_verdicts": f"SELECT CASE WHEN length(t) > 0 AND length(t) < 600 AND {_HELD} THEN 'undetermined' WHEN length(t) < 200 THEN 'absent' ELSE 'ok' END AS verdict, source, count(*) AS n FROM (SELECT source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) GROUP BY 1, 2",
     "snippets": "WITH t AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark) SELECT item_id, CASE WHEN length(t) <= 60 THEN t ELSE rtrim(regexp_extract(substr(t, 1, 60), '^(.+) [^ ]*$', 1)) || '…' END AS snippet FROM t",
     "named_items": f"SELECT doc_id FROM documents WHERE contains({_NAMES}, ' of thing ')",
+    "excerpts": "WITH p AS (SELECT doc_id, text, length(text) AS n, list_transform(string_split(regexp_replace(text, '(?i)(\\bthe\\b)', chr(1) || '\\1', 'g'), chr(1)), lambda x: length(x)) AS l FROM documents), "
+    "a AS (SELECT doc_id, n, l, unnest(range(1, len(l))) AS i FROM p), m AS (SELECT doc_id, n, CAST(list_sum(l[1:i]) AS BIGINT) AS place FROM a), w AS (SELECT doc_id, greatest(0, least(place - 100, n - 1600)) AS low FROM m), "
+    "c AS (SELECT w.doc_id, w.low, count(*) AS held FROM (SELECT DISTINCT doc_id, low FROM w) w JOIN m ON m.doc_id = w.doc_id AND m.place >= w.low AND m.place < w.low + 1600 GROUP BY 1, 2), "
+    "b AS (SELECT doc_id, low FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY held DESC, low) = 1) "
+    "SELECT p.doc_id, coalesce(low, 0) AS start, sha256(substr(text, CAST(coalesce(low, 0) AS INT) + 1, 1600)) AS excerpt_sha256 FROM p LEFT JOIN b ON p.doc_id = b.doc_id",
     "provenance": "WITH s AS (SELECT c_nationkey, list_sort(list(DISTINCT c_mktsegment)) AS s FROM customer GROUP BY 1), u AS (SELECT c_nationkey, CASE WHEN len(s) > 3 THEN list_append(s[:3], (len(s) - 3) || CASE WHEN len(s) > 4 THEN ' others' ELSE ' other' END) ELSE s END AS u FROM s) SELECT c_nationkey, CASE WHEN len(u) = 1 THEN u[1] ELSE array_to_string(u[:len(u) - 1], ', ') || ' and ' || u[len(u)] END AS clause FROM u",
     "link_kinds": f"WITH l AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"(https?://[^\"]+)\"', 1))) AS link FROM pages UNION ALL SELECT page_id, url FROM pages), h AS (SELECT link, {_HOST} AS host FROM l), p AS (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS p FROM h) SELECT CASE WHEN host = 'github.com' OR host LIKE '%.github.com' THEN 'github' WHEN host = 'substack.com' OR host LIKE '%.substack.com' THEN 'substack' WHEN {_PAPER} OR lower(string_split(link, '?')[1]) LIKE '%.pdf' OR regexp_matches(link, '/10\\.\\d{{4,9}}/\\S') THEN 'paper' END AS kind, host, CASE WHEN len(p) < 2 THEN p[1] WHEN len(p) >= 3 AND p[len(p) - 1] IN ({_SECOND}) THEN p[len(p) - 2] ELSE p[len(p) - 1] END AS label, count(*) AS n FROM p GROUP BY ALL",
     "post_ids": f"SELECT event_id, (epoch_us(ts) // 1000 - {dates.POST_EPOCH_MS}) * 4194304 AS post_id, epoch_us(ts) // 1000 AS ms FROM events",

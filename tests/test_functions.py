@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import dates, maps, texts, urls
+from marginalia.operators import search
 
 
 def one(spark, column, **values):
@@ -27,7 +28,7 @@ def plain_start(text, word, width, lead):
 def test_excerpt_start_is_that_of_the_densest_window(spark):
     cases = ["", "none", "the end", "x " * 40 + "the the " + "y " * 30 + "the", "the " + "z " * 60 + "the the the", "the " * 50]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
-    got = {r.i: r.s for r in rows.select("i", texts.excerpt_start(F.col("t"), r"\bthe\b", 40, 10).alias("s")).collect()}
+    got = {r.i: r.start for r in search.densest_windows(rows, r"\bthe\b", 40, 10, "i", "t").collect()}
     assert got == {i: plain_start(t, r"\bthe\b", 40, 10) for i, t in enumerate(cases)}
 
 
