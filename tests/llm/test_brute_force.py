@@ -23,7 +23,7 @@ def documents(spark):
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls in any column, empty and long texts, ties, repeated rows, an id with two texts, and columns named as the operators name theirs."""
-    long = " ".join(f"w{i} and the" for i in range(20_000))
+    long = " ".join(f"w{i} and the" for i in range(3_000))
     prose = "the quick brown fox jumps over the lazy dog while a small cat looks on from the high wall of the old garden"
     rows = [
         (1, prose, "en", "web", 1, "k"), (1, prose, "en", "web", 1, "k"), (1, f"{prose} and more of it is here", "en", "web", 1, "k"), (2, prose, None, None, None, None), (None, None, None, None, None, None),
