@@ -419,26 +419,3 @@ def test_every_stage_takes_odd_rows_and_none(spark, odd):
         got = stage(spark, odd, D)
         assert name == "pack" or got.columns == odd.columns, name
         assert got.count() >= 0 and stage(spark, odd.limit(0), D).count() == 0
-
-
-def test_pipeline_stage_by_stage(spark):
-    docs = documents(spark)
-    (_, quality), (_, near), (_, cut), (_, mix), (_, pack) = corpus_pipeline.STAGES
-    kept = {r.doc_id for r in quality_rules.judge(docs).where("kept").collect()}
-    one = quality(spark, docs, D).cache()
-    assert {r.doc_id for r in one.collect()} == kept
-    parts = {r.doc_id: r.component_id for r in simhash.near_duplicates(one).collect()}
-    two = near(spark, one, D).cache()
-    assert {r.doc_id for r in two.collect()} == set(parts.values())
-    gone = collections.defaultdict(list)
-    for r in passages.repeated_passages(two).where("removed").collect():
-        gone[r.doc_id].append((r.start_word, r.n_words))
-    want = {r.doc_id: t for r in two.collect() if (t := passages.cut_out(r.text, gone[r.doc_id]) if gone[r.doc_id] else r.text).split()}
-    three = cut(spark, two, D).cache()
-    assert {r.doc_id: r.text for r in three.collect()} == want
-    four = mix(spark, three, D).cache()
-    taken = mixing.mix(three).agg(F.sum("taken")).first()[0]
-    assert sum(len(r.text.split()) for r in four.collect()) == taken
-    five = pack(spark, four, D).collect()
-    assert sum(r.n_words for r in five) == taken == sum(len(r.text.split()) for r in five)
-    assert corpus_pipeline.run(spark, D).count() == len(five)
