@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import html_text, kneser_ney, masked_lm, mixing, order_minhash, packing, passages, quality_rules, simhash, toxicity
+from marginalia.llm import html_text, kneser_ney, masked_lm, mixing, order_minhash, packing, passages, quality_rules, resampling, simhash, toxicity
 from marginalia.storage import table
 
 
@@ -52,6 +52,10 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_kneser_ney": op10_kneser_ney,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
@@ -87,6 +92,28 @@ def _quality_sql() -> str:
     )
 
 
+def _resampling_sql() -> str:
+    """op13 for DuckDB, with CRC-32 by its table of 256 states."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    found = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    k = resampling.BUCKETS
+    return (
+        "WITH step AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS tab FROM (SELECT unnest(range(256)) AS n)), "
+        f"d AS (SELECT row_number() OVER () AS r, doc_id, {found} AS w FROM documents), b AS (SELECT {found} AS w FROM benchmark), "
+        "dw AS (SELECT r, unnest(w) AS w FROM d), bw AS (SELECT unnest(w) AS w FROM b), v AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)), "
+        "y AS (SELECT w, list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS y FROM v), "
+        f"c AS (SELECT w, xor(list_reduce(y, lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % {k} AS bucket FROM y, step), "
+        "s AS (SELECT bucket, count(*) AS s FROM dw JOIN c USING (w) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM bw JOIN c USING (w) GROUP BY 1), "
+        "al AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS s_all, (SELECT coalesce(sum(t), 0) FROM t) AS t_all), "
+        f"g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + {k}) / ((s::DOUBLE + 1) * (t_all + {k})))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), al), "
+        "w AS (SELECT r, sum(gain) AS weight FROM dw JOIN c USING (w) JOIN g USING (bucket) GROUP BY 1), "
+        "x AS (SELECT doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight FROM (SELECT d.r, doc_id, d.w, weight FROM d LEFT JOIN w ON d.r = w.r)), "
+        f"z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x), "
+        f"k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {resampling.LEAST_WORDS} ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (WHERE n_features >= {resampling.LEAST_WORDS}) OVER () AS n FROM z) "
+        f"SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {resampling.LEAST_WORDS} AND place <= {resampling.PERCENT} * n // 100 THEN place END AS rank FROM k"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the query that SQL can express; hashing, training and permutations have none."""
-    return {"op7_quality_rules": _quality_sql()}
+    """SQL for the queries that SQL can express; seeded hashes of 64 bits, training and permutations have none."""
+    return {"op7_quality_rules": _quality_sql(), "op13_importance_resampling": _resampling_sql()}
