@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import html_text, kneser_ney, masked_lm, mixing, order_minhash, packing, passages, quality_rules, resampling, simhash, toxicity
+from marginalia.llm import hard_negatives, html_text, kneser_ney, masked_lm, mixing, order_minhash, packing, passages, quality_rules, resampling, simhash, toxicity
 from marginalia.storage import table
 
 
@@ -52,6 +52,12 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_kneser_ney": op10_kneser_ney,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_importance_resampling": op13_importance_resampling,
     }
 
@@ -92,6 +99,19 @@ def _quality_sql() -> str:
     )
 
 
+def _negatives_sql() -> str:
+    """op12 for DuckDB, by all pairs of anchors and rows."""
+    return (
+        "WITH r AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings "
+        "WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
+        "s AS (SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score "
+        "FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.r <> b.r AND len(a.v) = len(b.v)), "
+        f"p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM s WHERE same QUALIFY place <= {hard_negatives.POSITIVES}), "
+        "n AS (SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.r, p.place ORDER BY s.score DESC, s.vec_id) AS INT) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score "
+        f"FROM p JOIN s ON p.r = s.r AND NOT s.same AND 100 * s.score BETWEEN {hard_negatives.LOW} * p.score AND {hard_negatives.HIGH} * p.score) SELECT * FROM n WHERE rank <= {hard_negatives.NEGATIVES}"
+    )
+
+
 def _resampling_sql() -> str:
     """op13 for DuckDB, with CRC-32 by its table of 256 states."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -116,4 +136,4 @@ def _resampling_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; seeded hashes of 64 bits, training and permutations have none."""
-    return {"op7_quality_rules": _quality_sql(), "op13_importance_resampling": _resampling_sql()}
+    return {"op7_quality_rules": _quality_sql(), "op12_hard_negatives": _negatives_sql(), "op13_importance_resampling": _resampling_sql()}
