@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import hard_negatives, html_text, kneser_ney, masked_lm, mixing, order_minhash, packing, passages, quality_rules, resampling, simhash, toxicity
+from marginalia.llm import hard_negatives, html_text, kneser_ney, masked_lm, mixing, ngram_join, order_minhash, packing, passages, quality_rules, resampling, simhash, toxicity
 from marginalia.storage import table
 
 
@@ -52,6 +52,10 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_kneser_ney": op10_kneser_ney,
+        "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
         "op12_hard_negatives": op12_hard_negatives,
         "op13_importance_resampling": op13_importance_resampling,
     }
@@ -99,6 +104,19 @@ def _quality_sql() -> str:
     )
 
 
+def _join_sql() -> str:
+    """op11 for DuckDB, by all pairs that share a shingle."""
+    upper, lower, w = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", ngram_join.WIDTH
+    return (
+        f"WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]'), lambda x: x <> '') AS w FROM documents), "
+        f"s AS (SELECT r, doc_id, CASE WHEN len(w) >= {w} THEN list_distinct(list_transform(range(1, len(w) - {w - 2}), lambda i: array_to_string(w[i:i + {w - 1}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d), "
+        "t AS (SELECT r, len(s) AS n, unnest(s) AS t FROM s), "
+        f"p AS (SELECT a.r AS a, b.r AS b FROM t a JOIN t b ON a.t = b.t AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING {ngram_join.PART[1]} * count(*) >= {ngram_join.PART[0]} * (a.n + b.n - count(*))), "
+        "e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), c AS (SELECT r AS a, r AS b FROM s UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) "
+        "SELECT x.doc_id, len(x.s) AS n_shingles, min(y.doc_id) AS component_id FROM s x JOIN c ON x.r = c.a JOIN s y ON c.b = y.r GROUP BY x.r, x.doc_id, len(x.s)"
+    )
+
+
 def _negatives_sql() -> str:
     """op12 for DuckDB, by all pairs of anchors and rows."""
     return (
@@ -136,4 +154,4 @@ def _resampling_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; seeded hashes of 64 bits, training and permutations have none."""
-    return {"op7_quality_rules": _quality_sql(), "op12_hard_negatives": _negatives_sql(), "op13_importance_resampling": _resampling_sql()}
+    return {"op7_quality_rules": _quality_sql(), "op11_ngram_jaccard_join": _join_sql(), "op12_hard_negatives": _negatives_sql(), "op13_importance_resampling": _resampling_sql()}
