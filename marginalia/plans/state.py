@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.functions import dates, pages, urls
-from marginalia.operators import graph, search, state
+from marginalia.operators import graph, state
 from marginalia.storage import table
 
 _K = "CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT)"
@@ -140,11 +140,6 @@ def input_marks(spark: SparkSession, d: str) -> DataFrame:
     return each[0].union(each[1]).union(each[2]).union(each[3])
 
 
-def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    """The best 50 documents by stems: 'accountable things' finds accountability and a thing."""
-    return search.bm25(table(spark, d, "documents"), "accountable things", 50, stemmed=True)
-
-
 def accounts(spark: SparkSession, d: str) -> DataFrame:
     """Whose pages addresses are; five in six are made of a page's number on platforms with accounts."""
     n, kind = F.col("page_id").cast("string"), F.col("page_id") % 6
@@ -209,7 +204,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pull_marks, pull_windows, candidate_states, due_candidates, promotions, replaced_signals, inserted_signals, kept_fields, merged_profiles, newest_of_kind, last_turns, known_nations,
-        evidence_tallies, found_by_id, found_by_prefix, resolution_stats, identity_clusters, next_turns, recommendations, iso_seconds, json_arrays, input_marks, search_stemmed,
+        evidence_tallies, found_by_id, found_by_prefix, resolution_stats, identity_clusters, next_turns, recommendations, iso_seconds, json_arrays, input_marks,
         accounts, page_dates, page_titles, post_dates, next_pulls, who_by_handle, who_by_id,
     )
 }
