@@ -127,7 +127,7 @@ def levels(n: int, part: tuple[int, int]) -> range:
     return range(n.bit_length(), (n * part[1] // part[0]).bit_length() + 1)
 
 
-def signature(tokens: np.ndarray, frequent: np.ndarray, part: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def signature(tokens: np.ndarray, frequent: np.ndarray, part: tuple[int, int], pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(single tokens, hashed pairs of tokens) of which two linked sets share one at least.
 
     Tokens are ordered: rare ones by hash, then frequent ones by hash. Enough rare tokens, one more than may be
@@ -140,7 +140,7 @@ def signature(tokens: np.ndarray, frequent: np.ndarray, part: tuple[int, int]) -
     at = np.searchsorted(frequent, tokens)
     common = frequent[np.minimum(at, len(frequent) - 1)] == tokens if len(frequent) else np.zeros(len(tokens), bool)
     rare, often = tokens[~common], tokens[common]
-    if len(rare) >= need or not len(often):
+    if len(rare) >= need or not len(often) or not pairs:
         return rare[:need], np.zeros(0, np.uint64)
     out = []
     for level in levels(len(tokens), part):
@@ -211,12 +211,42 @@ def sets(docs: DataFrame, id_col: str, text_col: str, width: int, part: tuple[in
     return rows.mapInArrow(run, "doc_id long, n long, key long, bits binary, prefix array<long>")
 
 
-def frequent_tokens(found: DataFrame, rare: int, most: int) -> np.ndarray:
-    """Tokens that are in more than ``rare`` prefixes, sorted; the ``most`` of highest count or fewer, so what all tasks get is bounded."""
-    counts = materialise(found.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > rare))
+def _frequent(counts: DataFrame, rare: int, most: int) -> np.ndarray:
+    """Tokens counted more than ``rare`` times, sorted; the ``most`` of highest count or fewer, so what all tasks get is bounded."""
     while counts.where(F.col("count") > rare).count() > most:
         rare *= 2
-    return np.sort(counts.where(F.col("count") > rare).select("token").toArrow()["token"].to_numpy().view(np.uint64))
+    return np.sort(counts.where(F.col("count") > rare).select("token").distinct().toArrow()["token"].to_numpy().view(np.uint64))
+
+
+def frequent_tokens(docs: DataFrame, found: DataFrame, text_col: str, width: int, part: tuple[int, int], rare: int, most: int, rounds: int) -> np.ndarray:
+    """Tokens that are in more than ``rare`` prefixes.
+
+    Prefixes by hash are counted first. Where frequent tokens push a set's prefix on to further tokens, these are
+    counted in turn, until nothing is new or after so many rounds; a frequent token that is missed costs time only.
+    """
+
+    def further(batches: Iterator[pa.RecordBatch], before: np.ndarray, now: np.ndarray) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for whole in batches:
+            for batch in _parts(whole, "text"):
+                new = [np.zeros(0, np.uint64)]
+                for tokens in shingle_sets(batch.column("text").to_pylist(), width):
+                    if len(tokens):
+                        old, own = (signature(tokens, f, part, pairs=False)[0] for f in (before, now))
+                        if len(own) and (not len(old) or own[-1] > old[-1]) and not seen.again(set_key(tokens)):
+                            new.append(own[own > old[-1]] if len(old) else own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(new).view(np.int64))], ["token"])
+
+    count = lambda tokens: materialise(tokens.groupBy("token").count().where(F.col("count") > rare))
+    counts = count(found.select(F.explode("prefix").alias("token")))
+    before, now = np.zeros(0, np.uint64), _frequent(counts, rare, most)
+    texts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"))
+    for _ in range(rounds):
+        if len(now) in (len(before), most):
+            break
+        counts = counts.union(count(texts.mapInArrow(lambda b, x=before, y=now: further(b, x, y), "token long")))
+        before, now = now, _frequent(counts, rare, most)
+    return now
 
 
 def entries(docs: DataFrame, text_col: str, width: int, part: tuple[int, int], frequent: np.ndarray) -> DataFrame:
@@ -248,38 +278,84 @@ PAIR = "a long, b long, na int, nb int"
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32())])
 
 
-def _pairs_of_lists(batches: Iterator[pa.RecordBatch], part: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """All pairs of sets of the sizes that may link, of each token's list; rows come sorted by token, and lists are short."""
+def _pairs_of_lists(batches: Iterator[pa.RecordBatch], part: tuple[int, int], longest: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets of sizes that may link, of each token's list; rows come sorted by (token, key).
 
-    def out(t: pa.Table) -> pa.RecordBatch:
-        token, key, n = (t.column(c).to_numpy() for c in ("token", "key", "n"))
-        order = np.lexsort((key, token))
-        token, key, n = token[order], key[order], n[order]
-        new = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])]
-        token, key, n = token[new], key[new], n[new]
-        found = []
-        at = np.arange(len(token))
-        gap = 0
+    A list of ``longest`` sets or fewer gives all pairs. A longer one gives the pairs of its first set with all others,
+    as they stream past, and a row (token, null), which says that the rest is to do.
+    """
+    schema = _PAIR
+    rest = [np.zeros(0, np.int64) for _ in range(3)]
+    hub = None  # of a long list that goes on
+
+    def fitting(x: np.ndarray) -> np.ndarray:
+        return x[part[1] * np.minimum(x[:, 2], x[:, 3]) >= part[0] * np.maximum(x[:, 2], x[:, 3])]
+
+    def star(key: int, n: int, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return fitting(np.stack([np.full(len(keys), key), keys, np.full(len(keys), n), sizes], 1))
+
+    def paired(token: np.ndarray, key: np.ndarray, n: np.ndarray, last: bool) -> pa.RecordBatch:
+        nonlocal rest, hub
+        found, hot = [np.zeros((0, 4), np.int64)], []
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(token)])
+        if hub and len(token) and token[0] == hub[0]:
+            found.append(star(hub[1], hub[2], key[: sizes[0]], n[: sizes[0]]))
+            token, key, n = token[sizes[0] :], key[sizes[0] :], n[sizes[0] :]
+            starts, sizes = starts[1:] - sizes[0], sizes[1:]
+        if len(token):
+            hub = None
+        for i in np.flatnonzero(sizes > longest):
+            at, to = starts[i], starts[i] + sizes[i]
+            found.append(star(key[at], n[at], key[at + 1 : to], n[at + 1 : to]))
+            hot.append(token[at])
+            hub = (token[at], key[at], n[at]) if to == len(token) else None
+        short = np.repeat(sizes <= longest, sizes)
+        if len(sizes) and not last and sizes[-1] <= longest:  # the last list may go on
+            rest = [x[starts[-1] :] for x in (token, key, n)]
+            short[starts[-1] :] = False
+        else:
+            rest = [np.zeros(0, np.int64) for _ in range(3)]
+        at, gap = np.flatnonzero(short), 0
         while len(at):
             gap += 1
             at = at[at + gap < len(token)]
             at = at[token[at] == token[at + gap]]
-            other = at + gap
-            fits = part[1] * np.minimum(n[at], n[other]) >= part[0] * np.maximum(n[at], n[other])
-            found.append(np.stack([key[at][fits], key[other][fits], n[at][fits], n[other][fits]], 1))
-        every = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(every[:, i], f.type) for i, f in enumerate(_PAIR)], schema=_PAIR)
-
-    held: list[pa.Table] = []
+            found.append(fitting(np.stack([key[at], key[at + gap], n[at], n[at + gap]], 1)))
+        every = np.unique(np.concatenate(found), axis=0)
+        columns = [np.r_[every[:, 0], np.array(hot, np.int64)], *(np.r_[every[:, i], np.zeros(len(hot), np.int64)] for i in (1, 2, 3))]
+        none = np.r_[np.zeros(len(every), bool), np.ones(len(hot), bool)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(x, f.type, mask=none) for x, f in zip(columns[1:], list(schema)[1:]))], schema=schema)
+
+    def run(held: list[pa.RecordBatch], last: bool) -> pa.RecordBatch:
+        token, key, n = (np.concatenate([r, *(b.column(c).to_numpy().astype(np.int64) for b in held)]) for c, r in zip(("token", "key", "n"), rest))
+        new = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])] if len(token) else np.zeros(0, bool)
+        return paired(token[new], key[new], n[new], last)
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        held.append(pa.Table.from_batches([batch]))
-        token = batch.column("token").to_numpy()
-        if len(token) and sum(x.num_rows for x in held) > 1 << 16 and token[0] != token[-1]:
-            cut = int(np.flatnonzero(token != token[-1])[-1]) + 1  # the last list may go on in the next batch
-            yield out(pa.concat_tables([*held[:-1], held[-1].slice(0, cut)]))
-            held = [held[-1].slice(cut)]
-    if held:
-        yield out(pa.concat_tables(held))
+        held.append(batch)
+        if sum(x.num_rows for x in held) > 1 << 16:
+            yield run(held, False)
+            held = []
+    yield run(held, True)
+
+
+def heavy_tokens(every: DataFrame) -> DataFrame:
+    """(token): those that make up over a thousandth of some task's rows, and over 64 of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, int] = {}
+        rows = 0
+        for batch in batches:
+            token, times = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            rows += batch.num_rows
+            for t, c in zip(token[times > 3].tolist(), times[times > 3].tolist()):
+                counts[t] = counts.get(t, 0) + c
+        found = [t for t, c in counts.items() if c > max(64, rows // 1000)]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["token"])
+
+    return materialise(every.select("token").mapInArrow(run, "token long").distinct())
 
 
 def _may_link(rows: DataFrame, bits: DataFrame, part: tuple[int, int]) -> DataFrame:
@@ -357,27 +433,24 @@ def similar_groups(
     empty result. Tokens and sets are told apart by 64 bits.
     """
     found = materialise(sets(docs, id_col, text_col, width, part))
-    frequent = frequent_tokens(found, rare, most)
+    frequent = frequent_tokens(docs, found, text_col, width, part, rare, most, rounds=3)
     every = materialise(entries(docs, text_col, width, part, frequent))
-    lists = every.where("not pair").select("token", "key", "n")
-    hot, sizes = None, None
-    if len(frequent):
-        paired = every.where("pair").select("token", "key", "n").distinct()
-        sizes = materialise(paired.groupBy("token").agg(F.count("*").alias("count"), F.min(F.struct("key", "n")).alias("hub")))
-        few = paired.join(sizes.where(f"count between 2 and {long_list}").select("token"), "token", "left_semi")
-        lists = lists.unionByName(few)
-        sizes = sizes.where(F.col("count") > long_list)
-        hot = materialise(paired.join(sizes.select("token", "hub"), "token"))
-    near = lists.repartition("token").sortWithinPartitions("token").mapInArrow(lambda b: _pairs_of_lists(b, part), PAIR)
-    if hot is not None:
-        fits = part[1] * F.least("n", F.col("hub.n")) >= part[0] * F.greatest("n", F.col("hub.n"))
-        near = near.unionByName(hot.where(fits & (F.col("key") > F.col("hub.key"))).select(F.col("hub.key").alias("a"), F.col("key").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")))
+    heavy = heavy_tokens(every)
+    lists = every.join(heavy, "token", "left_anti").repartition("token").sortWithinPartitions("token", "key")
+    near = lists.select("token", "key", "n").mapInArrow(lambda b: _pairs_of_lists(b, part, long_list), PAIR)
+    members = every.join(heavy, "token").select("token", "key", "n")
+    hubs = members.groupBy("token").agg(F.min(F.struct("key", "n")).alias("hub"))
+    fits = part[1] * F.least("n", F.col("hub.n")) >= part[0] * F.greatest("n", F.col("hub.n"))
+    stars = members.join(hubs, "token").where(fits & (F.col("key") > F.col("hub.key"))).select(F.col("hub.key").alias("a"), F.col("key").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
+    near = materialise(near.unionByName(stars).distinct())
+    hot_tokens = materialise(near.where("b is null").select(F.col("a").alias("token")).union(heavy).distinct())
+    hot = materialise(every.join(hot_tokens, "token").select("token", "key", "n").distinct())
+    sizes = hot.groupBy("token").count()
     bits = found.where("bits is not null").select("key", "bits").dropDuplicates(["key"])
-    pairs = materialise(_may_link(near.distinct(), bits, part))
+    pairs = materialise(_may_link(near.where("b is not null"), bits, part))
 
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("key"))
-    wanted = ends(pairs) if hot is None else ends(pairs).union(hot.select("key"))
-    tokens = _tokens_of(docs, text_col, width, materialise(wanted.distinct()))
+    tokens = _tokens_of(docs, text_col, width, materialise(ends(pairs).union(hot.select("key")).distinct()))
     lowest = Window.partitionBy("b").orderBy("a")
     links = materialise(_linked(pairs.withColumn("_n", F.row_number().over(lowest)).where("_n = 1").drop("_n"), tokens, part))
     joined = materialise(connected_components(links))
@@ -386,8 +459,7 @@ def similar_groups(
         return rows.join(parts, F.col(key) == F.col("node"), "left").withColumn("root", F.coalesce("component", key)).drop("node", "component")
 
     rest = component(component(pairs, "a").withColumnRenamed("root", "_root"), "b").where("root <> _root").drop("root", "_root")
-    if hot is not None:
-        rest = rest.unionByName(_may_link(_across(hot, sizes, component, part), bits, part)).distinct()
+    rest = rest.unionByName(_may_link(_across(hot, sizes, component, part), bits, part)).distinct()
     links = links.union(_linked(rest, tokens, part))
     parts = connected_components(links)
     classes = found.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
