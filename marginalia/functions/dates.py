@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import calendar
 import datetime as dt
-import re
 
 from pyspark.sql import Column, functions as F
 
@@ -24,19 +22,23 @@ def feed_instant(text: Column) -> Column:
     return F.try_to_timestamp(F.substring(text, 5, 64), F.lit("MMM dd HH:mm:ss Z yyyy"))
 
 
+#: What a date of each length lacks, for its first and for its last day.
+_MISSING = {4: ("-01-01", "-12-31"), 7: ("-01", None), 10: ("", "")}
+
+
 def bound(value: str | None, end: bool) -> str | None:
-    """YYYY, YYYY-MM or YYYY-MM-DD widened to its first or last day; None for none, ValueError for anything else."""
-    raw = (value or "").strip()
-    if not raw:
+    """YYYY, YYYY-MM or YYYY-MM-DD (months and days of one digit too) widened to its first or last day; None for none, ValueError for anything else."""
+    text = "-".join(part.zfill(2) for part in (value or "").strip().split("-"))
+    if text == "00":
         return None
-    found = re.fullmatch(r"(\d{4})(?:-(\d{1,2}))?(?:-(\d{1,2}))?", raw)
-    if not found:
-        raise ValueError(f"{value!r} is no date: give YYYY, YYYY-MM or YYYY-MM-DD")
-    year, month, day = (int(x) if x else None for x in found.groups())
-    month = month or (12 if end else 1)
-    if not 1 <= month <= 12:
-        raise ValueError(f"{value!r} has no such month")
-    return dt.date(year, month, day or (calendar.monthrange(year, month)[1] if end else 1)).isoformat()
+    try:
+        missing = _MISSING[len(text)][end]
+        if missing is None:  # the last day of a month is the day before the next one's first
+            after = dt.date.fromisoformat(f"{text}-28") + dt.timedelta(days=4)
+            return (after.replace(day=1) - dt.timedelta(days=1)).isoformat()
+        return dt.date.fromisoformat(text + missing).isoformat()
+    except (KeyError, ValueError):
+        raise ValueError(f"{value!r} is no date: give YYYY, YYYY-MM or YYYY-MM-DD") from None
 
 
 def range_end(day: Column, precision: Column) -> Column:
@@ -69,10 +71,10 @@ def post_instant(post_id: Column) -> Column:
     return F.timestamp_millis(F.shiftright(post_id, 22) + F.lit(POST_EPOCH_MS))
 
 
-def stable_factor(key: Column, band: float) -> Column:
-    """A multiplier in [1 - band, 1 + band] that depends on the key alone: the first 16 bits of its SHA-256 as a share."""
-    unit = F.conv(F.substring(F.sha2(key, 256), 1, 4), 16, 10).cast("double") / 65535.0
-    return 1.0 + band * (2.0 * unit - 1.0)
+def spread(key: Column, digits: int, steps: int, band: float) -> Column:
+    """A multiplier around 1 that depends on a key alone: of its SHA-256's first hex digits the remainder by ``steps``, laid evenly over 1 - band to 1 + band."""
+    number = F.conv(F.substring(F.sha2(key, 256), 1, digits), 16, 10).cast("long")
+    return 1 + band * (2 * (number % steps) / (steps - 1) - 1)
 
 
 def post_date(stated: Column, fed: Column, modified: Column) -> Column:
@@ -86,7 +88,9 @@ TTL_HOURS, SPREAD, RETRY_MINUTES = 24, 0.1, 60
 
 
 def due_at(pulled: Column, tried: Column, query: Column, source: Column) -> Column:
-    """When a pair is pulled again: a day after its last pull, more or less by a hash of the pair; soon after a try since then. Null: now."""
-    share = F.conv(F.substring(F.sha2(F.concat(query, F.lit(":"), source), 256), 1, 8), 16, 10).cast("long") % 2001 / 1000 - 1
-    later = pulled + F.make_dt_interval(secs=F.round(TTL_HOURS * 3600 * (1 + share * SPREAD), 3).cast("decimal(18,6)"))
-    return F.when(tried.isNotNull() & (pulled.isNull() | (tried > pulled)), tried + F.make_dt_interval(mins=F.lit(RETRY_MINUTES))).otherwise(later)
+    """When a pair is pulled again: of its events the latest counts, a pull for a day (spread by the pair), a try after it for an hour. Null: now."""
+    day = F.make_dt_interval(secs=F.round(TTL_HOURS * 3600 * spread(F.concat_ws(":", query, source), 8, 2001, SPREAD), 3).cast("decimal(18,6)"))
+    events = F.array(F.struct(pulled.alias("at"), (pulled + day).alias("due")), F.struct(tried.alias("at"), (tried + F.make_dt_interval(mins=F.lit(RETRY_MINUTES))).alias("due")))
+    known = F.filter(events, lambda e: e["at"].isNotNull())
+    latest = F.array_max(F.transform(known, lambda e: e["at"]))
+    return F.element_at(F.filter(known, lambda e: e["at"] == latest), 1)["due"]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import html
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 #: Names of the tags that state when a page was published, and types of a page that is one article.
-PUBLISHED = ("article:published_time", "og:published_time", "datepublished", "publishdate", "pubdate", "date", "dc.date", "dc.date.issued", "parsely-pub-date", "sailthru.date")
+PUBLISHED = ("article:published_time", "article:published", "og:article:published_time", "datepublished", "publish-date", "publication-date", "pubdate", "parsely-pub-date", "sailthru.date", "dc.date.issued")
 ARTICLES = (
     "article blogposting newsarticle report scholarlyarticle techarticle opinionnewsarticle analysisnewsarticle reportagenewsarticle reviewnewsarticle backgroundnewsarticle socialmediaposting posting"
 ).split()
@@ -25,17 +28,28 @@ def _json_values(page: Column, field: str) -> Column:
     return F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(f"(?i)\"{field}\"\\s*:\\s*\"([^\"]*)\""), F.lit(1))))
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else html.unescape(t))
+
+
 def _plain(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "\\s+", " "))
+    """Character references decoded, white space collapsed; only texts with an ampersand are handed to Python."""
+    return F.trim(F.regexp_replace(F.when(text.contains("&"), _decoded(text)).otherwise(text), "[\\s\u00a0]+", " "))
+
+
+def _shown(page: Column) -> Column:
+    """A page without comments, scripts and styles, whose tags say nothing of it."""
+    return F.regexp_replace(page, "(?is)<!--.*?-->|<(script|style|template|noscript)\\b.*?</\\1\\s*>", " ")
 
 
 def title(page: Column) -> Column:
     """The page's title: of its Open Graph tag, else of its title element; empty for none."""
-    return _plain(F.coalesce(F.get(_metas(page, "og:title"), F.lit(0)), F.regexp_extract(page, "(?is)<title[^>]*>([^<]*)", 1)))
+    return _plain(F.coalesce(F.get(_metas(_shown(page), "og:title"), F.lit(0)), F.regexp_extract(_shown(page), "(?is)<title[^>]*>([^<]*)", 1)))
 
 
 def description(page: Column) -> Column:
-    return _plain(F.coalesce(F.get(_metas(page, "og:description|description"), F.lit(0)), F.lit("")))
+    return _plain(F.coalesce(F.get(_metas(_shown(page), "og:description|description"), F.lit(0)), F.lit("")))
 
 
 def stated_dates(page: Column, today: Column) -> Column:

@@ -70,3 +70,22 @@ def self_thread(turns: DataFrame, thread: str, place: str, author: str) -> DataF
     w = Window.partitionBy(thread).orderBy(place)
     first = turns.withColumn("_a", F.first(author).over(w))
     return first.withColumn("_others", F.sum((~F.col(author).eqNullSafe(F.col("_a"))).cast("int")).over(w)).where("_others = 0").drop("_a", "_others")
+
+
+#: What a post's credit is worth by how it names a person (any other way: as a mention), and what each further curator adds.
+NAMING = {"quote": 1.0, "link": 0.75, "mention": 0.5}
+FURTHER = 0.25
+
+
+def credited(mentions: DataFrame, post: str, person: str, curator: str, kind: str, base: Column) -> DataFrame:
+    """(person, posts, curators, score): a post's credit ``base`` is split among all it names, by its strongest naming of each.
+
+    Each further curator who named a person raises their sum by a quarter. Sums are exact decimals, so they don't
+    depend on an order; scores have four places, halves to even.
+    """
+    worth = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in NAMING.items() for x in pair)), F.col(kind)), F.lit(NAMING["mention"]))
+    once = mentions.where(F.col(person).isNotNull()).groupBy(post, person, curator).agg(F.max(worth).alias("_w"), F.max(base).alias("_b"))
+    named = once.groupBy(post).agg(F.countDistinct(person).alias("_people"))
+    share = (F.col("_b") * F.col("_w") / F.col("_people")).cast("decimal(26,12)")
+    by = once.join(named, post).groupBy(person).agg(F.countDistinct(post).alias("posts"), F.countDistinct(curator).alias("curators"), F.sum(share).cast("double").alias("_s"))
+    return by.select(person, "posts", "curators", F.bround(F.col("_s") * (1 + FURTHER * (F.col("curators") - 1)), 4).alias("score"))

@@ -59,11 +59,15 @@ def resolved(links: DataFrame, entity: str, url: str, owns: Column) -> DataFrame
 
 
 def added_sources(heads: DataFrame, claims: DataFrame, entity: str, key: str, at: str) -> DataFrame:
-    """(entity, head): sources that curators added join the cluster of the earliest claim on them; clusters never merge by it.
+    """(entity, head): sources that curators added join them, on top of the clusters that ``heads`` (entity, head) gives.
 
-    ``heads`` has entity and head, ``claims`` which head (``key``) claims an entity and when (``at``). Entities that
-    are in a cluster with others already stay there.
+    ``claims`` says which curator (an entity, ``key``) claims an entity and when (``at``). A claim is one of the curator's
+    cluster on the entity's whole cluster. A cluster joins the one whose claim is earliest, unless it is among its own
+    claimants: then it stays theirs, and no claim makes two curators one. Claims of or on unknown entities count for
+    nothing. All joins are decided on the clusters as they were, and made together.
     """
-    own = heads.groupBy("head").agg(F.count("*").alias("_n"))
-    first = claims.groupBy(entity).agg(F.min(F.struct(at, key)).alias("_c")).select(F.col(entity).alias("entity"), F.col(f"_c.{key}").alias("_to"))
-    return heads.join(own, "head").join(first, "entity", "left").select("entity", F.when((F.col("_n") == 1) & F.col("_to").isNotNull(), F.col("_to")).otherwise(F.col("head")).alias("head"))
+    of = lambda c, name: heads.select(F.col("entity").alias(c), F.col("head").alias(name))
+    rows = claims.select(F.col(entity).alias("_e"), F.col(key).alias("_k"), F.col(at).alias("_at")).join(of("_e", "a"), "_e").join(of("_k", "b"), "_k")
+    by = rows.groupBy("a").agg(F.min(F.struct("_at", "b")).alias("_first"), F.bool_or(F.col("a") == F.col("b")).alias("_own"))
+    parts = connected_components(by.where("not _own").select("a", F.col("_first.b").alias("b")))
+    return heads.join(parts, F.col("head") == F.col("node"), "left").select("entity", F.coalesce("component", "head").alias("head"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Hours that a pull looks back over its last one, days of a first look-back and of the longest, tries of a candidate.
@@ -10,10 +12,9 @@ OVERLAP_HOURS, FIRST_DAYS, MOST_DAYS, TRIES = 6, 14, 60, 5
 
 def watermarks(pulls: DataFrame, keys: list[str], at: str, ok: Column) -> DataFrame:
     """(keys, mark, failures_since): the last time a pull of each pair worked; one that failed never moves it."""
-    by = pulls.select(*keys, F.col(at).alias("_at"), F.coalesce(ok, F.lit(False)).alias("_ok"))
-    marks = by.groupBy(*keys).agg(F.max(F.when(F.col("_ok"), F.col("_at"))).alias("mark"), F.collect_list(F.when(~F.col("_ok"), F.col("_at"))).alias("_failed"))
-    late = F.size(F.filter("_failed", lambda x: F.col("mark").isNull() | (x > F.col("mark"))))
-    return marks.select(*keys, "mark", late.cast("long").alias("failures_since"))
+    won = F.max(F.when(F.coalesce(ok, F.lit(False)), F.col(at))).over(Window.partitionBy(*keys))
+    late = ~F.coalesce(ok, F.lit(False)) & (F.col("mark").isNull() | (F.col(at) > F.col("mark")))
+    return pulls.withColumn("mark", won).groupBy(*keys, "mark").agg(F.count_if(late).alias("failures_since"))
 
 
 def pull_since(mark: Column, now: Column) -> Column:
@@ -121,26 +122,30 @@ def cluster_sizes(members: DataFrame, head: str) -> DataFrame:
     return members.groupBy(head).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("clusters"))
 
 
+def _seeds(wanted: str, home_keys: list[str]) -> list[tuple[str, str, str]]:
+    """(column, value, reason) of what a text may stand for."""
+    text = wanted.strip().lower()
+    out = [("id", key.lower(), "home_url") for key in home_keys]
+    if re.fullmatch(r"(?!https?:)[^:]+:.+", text):
+        return [*out, ("id", text, "entity_id")]
+    handle = text.removeprefix("@")
+    if handle and not re.search("[/:]", handle):
+        out += [("id", f"{platform}:{handle}", "handle") for platform in ("github", "substack")] + [("handle", handle, "profile_handle")]
+    return out
+
+
 def named(people: DataFrame, key: str, head: str, handle: str, wanted: str, home_keys: list[str] | None = None) -> DataFrame:
     """(head, ids, matched_on): the clusters that a handle, an id or (as ``home_keys``) a home page names, each with all its ids.
 
-    A handle may stand in an id (``github:`` or ``substack:`` before it) or in its own column; case doesn't matter. A
-    text that names no one gives no cluster.
+    What the text may stand for is a small table, joined with ids and handles, case aside; of several reasons the first
+    by name is told. A handle may stand in an id (``github:`` or ``substack:`` before it) or in its own column. A text
+    that names no one gives no cluster.
     """
-    text = wanted.strip().lower()
-    bare = text.lstrip("@")
-    typed = ":" in text and not text.startswith("http")
-    seeds = {text: "entity_id"} if typed else {f"{p}:{bare}": "handle" for p in ("github", "substack")} if bare and "/" not in bare else {}
-    seeds |= {k.lower(): "home_url" for k in home_keys or ()}
-    own = F.lower(F.col(key))
-    why = F.lit(None).cast("string")
-    for seed, reason in seeds.items():
-        why = F.when(own == seed, reason).otherwise(why)
-    why = F.coalesce(why, F.when((F.lower(F.col(handle)) == bare) & F.lit(bool(bare)), "profile_handle"))
-    top = F.coalesce(head, key)
-    hits = people.select(top.alias("head"), why.alias("why")).where("why is not null").groupBy("head").agg(F.min("why").alias("matched_on"))
-    members = people.select(top.alias("head"), F.col(key).alias("id")).join(hits, "head")
-    return members.groupBy("head", "matched_on").agg(F.array_sort(F.collect_set("id")).alias("ids")).select("head", "ids", "matched_on")
+    seeds = people.sparkSession.createDataFrame(_seeds(wanted, home_keys or []), "by string, value string, why string")
+    rows = people.select(F.coalesce(head, key).alias("head"), F.col(key).alias("id"), F.lower(key).alias("_id"), F.lower(handle).alias("_handle"))
+    by = rows.withColumn("_v", F.explode(F.array(F.struct(F.lit("id").alias("by"), F.col("_id").alias("value")), F.struct(F.lit("handle").alias("by"), F.col("_handle").alias("value")))))
+    hits = by.select("head", "_v.*").join(F.broadcast(seeds), ["by", "value"]).groupBy("head").agg(F.min("why").alias("matched_on"))  # a handful of seeds
+    return rows.join(hits, "head").groupBy("head", "matched_on").agg(F.array_sort(F.collect_set("id")).alias("ids")).select("head", "ids", "matched_on")
 
 
 def wanted_ids(clusters: DataFrame, explicit: list[str]) -> DataFrame:

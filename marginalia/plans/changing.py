@@ -60,7 +60,7 @@ def post_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jitters(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", F.round(24 * dates.stable_factor(F.col("c_name"), 0.1), 6).alias("ttl_hours"))
+    return table(spark, d, "customer").select("c_custkey", F.round(24 * dates.spread(F.col("c_name"), 4, 1 << 16, 0.1), 6).alias("ttl_hours"))
 
 
 def newness(spark: SparkSession, d: str) -> DataFrame:

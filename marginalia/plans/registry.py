@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marginalia.functions import urls
-from marginalia.operators import filters, sampling, search, snapshots
-from marginalia.plans import changing, reading, searching, state
+from marginalia.operators import curation, filters, sampling, search, snapshots
+from marginalia.plans import changing, naming, reading, searching, state
 from marginalia.storage import table
 
 QUERY = "the thing"
@@ -98,12 +98,10 @@ def coauthors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mention_credit(spark: SparkSession, d: str) -> DataFrame:
-    """An order's credit of 1 is split among its suppliers; more orders boost it by a quarter each, up to the tenth."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    share = 1 / F.count("*").over(Window.partitionBy("l_orderkey"))
-    each = lines.withColumn("credit", share.cast("decimal(26,12)"))  # exact sums, whatever their order
-    n = F.count("*")
-    return each.groupBy("l_suppkey").agg(n.alias("orders"), F.round(F.sum("credit").cast("double") * (1 + 0.25 * (F.least(n, F.lit(10)) - 1)), 4).alias("score"))
+    """Credit of suppliers whom orders name: an order is its customer's post and names as its lines' flags say."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.when(F.col("l_returnflag") == "A", "quote").when(F.col("l_returnflag") == "R", "link").otherwise("aside").alias("kind"))
+    posts = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return curation.credited(lines.join(posts, "l_orderkey"), "l_orderkey", "l_suppkey", "o_custkey", "kind", 1 / (1 + F.pmod("l_orderkey", F.lit(5)).cast("double")))
 
 
 def arrivals(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +184,7 @@ _ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL} | reading.QUERIES | changing.QUERIES | state.QUERIES | searching.QUERIES
+    return {f.__name__: f for f in _ALL} | reading.QUERIES | changing.QUERIES | state.QUERIES | searching.QUERIES | naming.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +225,7 @@ def oracle_sql() -> dict[str, str]:
         "rank_candidates": "SELECT o_custkey, kinds, acts, endorsed, c_name, c_nationkey FROM (SELECT o_custkey, count(DISTINCT o_orderpriority) AS kinds, count(*) AS acts, max(CAST(o_orderpriority = '1-URGENT' AS INT)) AS endorsed, bool_and(o_orderstatus = 'F') AS retired FROM orders GROUP BY 1) LEFT JOIN customer ON o_custkey = c_custkey WHERE NOT retired",
         "stronger_source": "SELECT o_custkey, o_orderpriority, n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) AS r FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)) WHERE r = 1",
         "coauthors": "WITH l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM l a JOIN l b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 2",
-        "mention_credit": "WITH l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), e AS (SELECT l_suppkey, CAST(1.0::DOUBLE / count(*) OVER (PARTITION BY l_orderkey) AS DECIMAL(26,12)) AS credit FROM l) SELECT l_suppkey, count(*) AS orders, round(CAST(sum(credit) AS DOUBLE) * (1 + 0.25::DOUBLE * (least(count(*), 10) - 1)), 4) AS score FROM e GROUP BY 1",
+        "mention_credit": "WITH o AS (SELECT l_orderkey, l_suppkey, o_custkey, max(CASE l_returnflag WHEN 'A' THEN 1.0::DOUBLE WHEN 'R' THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3), s AS (SELECT *, CAST(1 / (1 + l_orderkey % 5)::DOUBLE * w / count(*) OVER (PARTITION BY l_orderkey) AS DECIMAL(26,12)) AS c FROM o) SELECT l_suppkey, count(DISTINCT l_orderkey) AS posts, count(DISTINCT o_custkey) AS curators, round_even(CAST(sum(c) AS DOUBLE) * (1 + 0.25::DOUBLE * (count(DISTINCT o_custkey) - 1)), 4) AS score FROM s GROUP BY 1",
         "arrivals": "SELECT event_type, count(*) FILTER (WHERE ts >= last - INTERVAL 7 DAY) AS new, count(*) FILTER (WHERE ts < last - INTERVAL 7 DAY) AS older FROM events, (SELECT max(ts) AS last FROM events) GROUP BY 1",
         "snapshot_digest": f"SELECT count(*) AS n, {limbs} FROM (SELECT {sha} AS h FROM customer)",
         "snapshot_changes": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'write' ELSE 'delete' END AS change FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
@@ -241,4 +239,4 @@ def oracle_sql() -> dict[str, str]:
         "unseen": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
         "collapse_guard": "SELECT *, coalesce(found < 0.5 * before, false) AS collapsed FROM (SELECT *, lag(found) OVER (ORDER BY day) AS before FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS found FROM events GROUP BY 1))",
         "page_addresses": f"SELECT page_id, {host} AS host, 'blog:' || {host} || regexp_replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9_+.-]*://)?[^/?#]*([^?#]*)', 1), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS post_key FROM (SELECT *, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|{'|'.join(urls.TRACKING)})(=|$)')) AS q FROM pages)",
-    } | reading.sql(f"SELECT doc_id, rank FROM ({_bm25_sql(51, 'true')})") | changing.SQL | state.SQL | searching.sql(_bm25_sql, _TOK)
+    } | reading.sql(f"SELECT doc_id, rank FROM ({_bm25_sql(51, 'true')})") | changing.SQL | state.SQL | searching.sql(_bm25_sql, _TOK) | naming.SQL

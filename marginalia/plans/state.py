@@ -252,7 +252,7 @@ SQL = {
     "input_marks": " UNION ALL ".join(f"SELECT '{t}' AS input, count(*) AS n, max({k}) AS last FROM {t}" for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("events", "event_id"), ("documents", "doc_id"))),
     "accounts": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'x.com/user' || page_id WHEN 1 THEN 'github.com/org' || page_id WHEN 2 THEN 'me' || page_id || '.substack.com' WHEN 3 THEN '' WHEN 4 THEN 'scholar.google.com/citations?user=u' || page_id ELSE 'site' || page_id || '.org' END AS account FROM pages",
     "page_dates": "SELECT page_id, strftime(CASE page_id % 4 WHEN 1 THEN DATE '2023-05-05' WHEN 3 THEN NULL WHEN 0 THEN m ELSE least(m, DATE '2023-05-05') END, '%Y-%m-%d') AS published, (ARRAY[1, 1, 2, 0])[page_id % 4 + 1] AS stated, page_id % 4 > 0 AS is_article FROM (SELECT page_id, DATE '2020-01-01' + CAST(page_id % 1000 AS INT) AS m FROM pages)",
-    "page_titles": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'T ' || page_id ELSE trim(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]*)', 1), '\\s+', ' ', 'g')) END AS title, CASE WHEN page_id % 2 = 0 THEN 'about it' ELSE '' END AS description FROM pages",
+    "page_titles": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'T ' || page_id ELSE trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title[^>]*>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) END AS title, CASE WHEN page_id % 2 = 0 THEN 'about it' ELSE '' END AS description FROM pages",
     "post_dates": "SELECT event_id, CASE WHEN event_id % 5 < 2 THEN strftime(ts, '%Y-%m-%d') WHEN event_id % 5 < 4 THEN '2001-01-01' ELSE '' END AS day, CASE WHEN event_id % 5 < 4 THEN 'day' ELSE 'unknown' END AS precision FROM events",
     "next_pulls": "SELECT user_id, event_type, date_trunc('second', CASE WHEN tried IS NOT NULL AND (pulled IS NULL OR tried > pulled) THEN tried + INTERVAL 60 MINUTE ELSE pulled + to_microseconds(CAST(round(86400000 * (1 + ((CAST('0x' || substr(sha256(user_id || ':' || event_type), 1, 8) AS BIGINT) % 2001) / 1000 - 1) * 0.1)) * 1000 AS BIGINT)) END) AS due "
     "FROM (SELECT user_id, event_type, max(ts) FILTER (WHERE value >= 20) AS pulled, max(ts) FILTER (WHERE value < 20) AS tried FROM events GROUP BY 1, 2)",

@@ -73,15 +73,51 @@ def test_maps(spark):
     assert one(spark, F.size(maps.referenced(refs, F.lit("u"), F.lit("q"))), a='[{"by":"u","post":"p"}]') == 2
 
 
-@pytest.mark.parametrize(
-    ("url", "kind", "paper"),
-    [
-        ("https://github.com/a/b", "github", None), ("https://evilgithub.com/a", None, None), ("https://www.arxiv.org/abs/2301.01234v2", "paper", "arXiv:2301.01234"),
-        ("https://x.org/doi/10.1000/ABC.", "paper", "DOI:10.1000/abc"), ("https://a.substack.com/p/x", "substack", None), ("https://a.org/b.PDF?x=1", "paper", None),
-    ],
-)
-def test_links(spark, url, kind, paper):
-    assert (one(spark, urls.link_kind(F.col("u")), u=url), one(spark, urls.paper_id(F.col("u")), u=url)) == (kind, paper)
+_LADDER = [  # address, link kind, what a trusted link becomes, paper, (type, profile, shape, handle)
+    ("https://github.com/a/b", "github", "github", None, ("github", False, "personal", "a")), ("https://evilgithub.com/a", None, "article", None, ("blog", False, "unknown", "evilgithub")),
+    ("https://github.com/Me/", "github", "github", None, ("github", True, "personal", "me")), ("https://github.com/orgs/OpenX/people", "github", "github", None, ("github", True, "org", "openx")),
+    ("https://github.com/Pricing", "github", None, None, ("github", False, "unknown", None)), ("https://www.arxiv.org/abs/2301.01234v2", "paper", "paper", "arXiv:2301.01234", ("paper", False, "unknown", None)),
+    ("https://arxiv.org/pdf/hep-th/9901001.pdf?x=1", "paper", "paper", "arXiv:hep-th/9901001", ("paper", False, "unknown", None)), ("https://arxiv.org/a/lee_k_1", "paper", "paper", None, ("scholar", True, "personal", "lee_k_1")),
+    ("https://arxiv.org/", "paper", None, None, ("paper", False, "unknown", None)), ("https://huggingface.co/papers/2301.01234", "paper", "paper", "arXiv:2301.01234", ("blog", False, "unknown", "huggingface")),
+    ("https://x.org/doi/10.1000/ABC.", "paper", "paper", "DOI:10.1000/abc", ("blog", False, "unknown", "x")), ("https://j.org/article/10.1007/s1-2/full/html", "paper", "paper", "DOI:10.1007/s1-2", ("blog", False, "unknown", "j")),
+    ("https://doi.org/10.48550/arXiv.2301.01234v3", "paper", "paper", "arXiv:2301.01234", ("paper", False, "unknown", None)), ("https://www.biorxiv.org/content/10.1101/2020.01.02.1234v2.full.pdf", "paper", "paper", "DOI:10.1101/2020.01.02.1234", ("paper", False, "unknown", None)),
+    ("https://papers.ssrn.com/sol3/papers.cfm?abstract_id=3482150", "paper", "paper", "DOI:10.2139/ssrn.3482150", ("paper", False, "unknown", None)),
+    ("https://www.semanticscholar.org/paper/A-b/0123456789abcdef0123456789abcdef01234567", "paper", "paper", "0123456789abcdef0123456789abcdef01234567", None),
+    ("https://openreview.net/forum?id=Ab-1&x=2", "paper", "paper", "openreview:Ab-1", ("paper", False, "unknown", None)), ("https://eprint.iacr.org/2025/2041.pdf", "paper", "paper", "url:eprint.iacr.org/2025/2041", ("paper", False, "unknown", None)),
+    ("https://a.org/B.PDF?x=1", "paper", "paper", "url:a.org/B.PDF", ("paper", False, "unknown", None)), ("https://europepmc.org/article/MED/12", "paper", "paper", None, ("blog", False, "unknown", "europepmc")),
+    ("https://a.substack.com/p/x", "substack", "substack", None, ("substack", False, "personal", "a")), ("https://a.substack.com/about", "substack", "substack", None, ("substack", True, "personal", "a")),
+    ("https://x.com/Me", None, None, None, ("x", True, "personal", "me")), ("https://mobile.twitter.com/Me/status/12/photo/1", None, "x", None, ("x", False, "personal", "me")), ("https://x.com/i/lists/1", None, None, None, ("x", False, "unknown", None)),
+    ("https://medium.com/@You/post-1", None, "article", None, ("blog", False, "personal", "you")), ("https://scholar.google.com/citations?hl=en&user=a%2Db", None, "article", None, ("scholar", True, "personal", "a-b")),
+    ("https://orcid.org/0000-0001-2345-678X", None, "article", None, ("orcid", True, "personal", "0000-0001-2345-678X")), ("https://willcb.com", None, None, None, ("blog", True, "unknown", "willcb")),
+    ("https://jobs.acme.com/x", None, None, None, ("blog", False, "unknown", "acme")), ("https://acme.com/careers/1", None, None, None, ("blog", False, "unknown", "acme")), ("https://acme.com/p/joining-forces", None, "article", None, ("blog", False, "unknown", "acme")),
+    ("https://lu.ma/abc", None, None, None, ("blog", False, "unknown", "lu")), ("https://chatgpt.com/share/1", None, None, None, ("blog", False, "unknown", "chatgpt")), ("https://youtu.be/abc", None, None, None, None), ("notaurl", None, None, None, None), ("ftp://a.b/c", None, None, None, None),
+]
+
+
+def test_ladder_of_links(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.functions import urls
+
+    u = F.col("u")
+    rows = spark.createDataFrame([(i, x[0]) for i, x in enumerate(_LADDER)], "i int, u string").select("i", urls.link_kind(u).alias("k"), urls.reference_kind(u).alias("r"), urls.paper_id(u).alias("p"), urls.profile(u).alias("f"))
+    for r in rows.collect():
+        url, kind, reference, paper, profile = _LADDER[r.i]
+        got = r.f and (r.f.type, r.f.is_profile, r.f["shape"], r.f.handle)
+        assert (url, r.k, r.r, r.p) == (url, kind, reference, paper)
+        assert profile is None and (r.f is None or "semanticscholar" in url) or got == profile, (url, got)
+
+
+def test_claims_and_cards(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.functions import urls
+
+    rows = [("https://a.org/x", "paper"), ("https://a.org/x", "poem"), ("https://github.com/a", "paper"), ("https://x.com/a/status/1", None), ("a.org/x", "paper"), (None, None)]
+    got = spark.createDataFrame(rows, "u string, c string").select(urls.hand_reference(F.col("u"), F.col("c")).alias("h"), urls.card_link(F.col("u")).alias("card")).collect()
+    assert [(r.h.kind, r.h.basis) for r in got] == [("paper", "hint"), ("article", "fallback"), ("github", "sniffed"), ("x", "sniffed"), (None, "none"), (None, "none")]
+    cards = spark.createDataFrame([(x,) for x in ("https://a.org/", "https://a.org/jobs/1", "https://docs.google.com/forms/d/1", "https://x.com/", "https://claude.ai/", "https://a.org/p", "a.org/")], "u string")
+    assert [r.c for r in cards.select(urls.card_link(F.col("u")).alias("c")).collect()] == [True, True, True, False, False, False, False]
 
 
 def test_sites_and_posts(spark):
@@ -112,8 +148,37 @@ def test_identities_join_by_owned_addresses_only(spark):
     links = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, "hub", False), (4, "hub", False), (5, "b", True), (2, "b", False), (6, None, True)], "e long, u string, owns boolean")
     heads = graph.resolved(links, "e", "u", links["owns"])
     assert {r.entity: r["head"] for r in heads.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6}
-    claims = spark.createDataFrame([(3, 1, 20), (3, 4, 10), (5, 4, 1)], "e long, head long, at int").withColumnRenamed("e", "entity").withColumnRenamed("head", "by")
-    assert {r.entity: r["head"] for r in graph.added_sources(heads, claims, "entity", "by", "at").collect()} == {1: 1, 2: 1, 3: 4, 4: 4, 5: 1, 6: 6}
+
+
+@pytest.mark.parametrize(
+    ("claims", "want"),
+    [
+        ([(3, 1, 20), (3, 4, 10)], {1: 1, 2: 1, 3: 3, 4: 3, 5: 1, 6: 6}),  # the earliest claim wins
+        ([(5, 4, 1)], {1: 1, 2: 1, 3: 3, 4: 1, 5: 1, 6: 6}),  # a cluster of many is joined whole
+        ([(5, 4, 1), (2, 5, 9)], {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6}),  # its own claim keeps it, though a later one
+        ([(3, 4, 1), (6, 3, 2), (99, 4, 1), (6, 99, 1)], {1: 1, 2: 1, 3: 3, 4: 3, 5: 1, 6: 3}),  # joins follow one another; the unknown don't count
+        ([], {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6}),
+    ],
+)
+def test_added_sources(spark, claims, want):
+    from marginalia.operators import graph
+
+    heads = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 1), (6, 6)], "entity long, head long")
+    rows = spark.createDataFrame(claims, "source long, by long, at int")
+    assert {r.entity: r["head"] for r in graph.added_sources(heads, rows, "source", "by", "at").collect()} == want
+
+
+def test_titles_and_dates_of_pages(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.functions import pages
+
+    page = """<!-- <title>no</title> --><script>var x = '<title>nor this</title>';</script><title>Tom &amp; Jerry&#8217;s
+      day</title><meta name="description" content="a &lt;b&gt;&nbsp; c"><meta name="date" content="2020-01-01"><meta name="publish-date" content="2021-02-03">
+      <meta property="article:published" content="2021-01-02T10:00:00Z"><meta property="og:published_time" content="2019-01-01">"""
+    rows = spark.createDataFrame([(page,), ("",), (None,)], "p string")
+    got = rows.select(pages.title(F.col("p")).alias("t"), pages.description(F.col("p")).alias("d"), pages.published(F.col("p"), F.lit("2026-01-01").cast("date")).cast("string").alias("day")).collect()
+    assert [tuple(r) for r in got[:2]] == [("Tom & Jerry’s day", "a <b> c", "2021-01-02"), ("", "", None)]
 
 
 def test_gap_rule_and_accounts(spark):
