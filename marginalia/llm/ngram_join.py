@@ -122,12 +122,19 @@ def lost(n: int, part: tuple[int, int]) -> int:
     return n - -(-part[0] * n // part[1])
 
 
+def _isin(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Whether each token is in a sorted array."""
+    if not len(frequent):
+        return np.zeros(len(tokens), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+
+
 def levels(n: int, part: tuple[int, int]) -> range:
     """Sizes that may link fall on some common level: a set has its own, and those that larger linked sets may have."""
     return range(n.bit_length(), (n * part[1] // part[0]).bit_length() + 1)
 
 
-def signature(tokens: np.ndarray, frequent: np.ndarray, part: tuple[int, int], pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def signature(tokens: np.ndarray, frequent: np.ndarray, part: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """(single tokens, hashed pairs of tokens) of which two linked sets share one at least.
 
     Tokens are ordered: rare ones by hash, then frequent ones by hash. Enough rare tokens, one more than may be
@@ -137,10 +144,9 @@ def signature(tokens: np.ndarray, frequent: np.ndarray, part: tuple[int, int], p
     classes follows the level, so that classes stay small and pairs grow as the set does.
     """
     need = lost(len(tokens), part) + 1
-    at = np.searchsorted(frequent, tokens)
-    common = frequent[np.minimum(at, len(frequent) - 1)] == tokens if len(frequent) else np.zeros(len(tokens), bool)
+    common = _isin(tokens, frequent)
     rare, often = tokens[~common], tokens[common]
-    if len(rare) >= need or not len(often) or not pairs:
+    if len(rare) >= need or not len(often):
         return rare[:need], np.zeros(0, np.uint64)
     out = []
     for level in levels(len(tokens), part):
@@ -218,6 +224,20 @@ def _frequent(counts: DataFrame, rare: int, most: int) -> np.ndarray:
     return np.sort(counts.where(F.col("count") > rare).select("token").distinct().toArrow()["token"].to_numpy().view(np.uint64))
 
 
+def counted(tokens: np.ndarray, sets: list[np.ndarray], part: tuple[int, int]) -> int:
+    """How many of a set's tokens, by hash, are counted when each of ``sets`` has turned out to be frequent in turn.
+
+    At first as many as a prefix needs; then as many as will hold enough rare ones if the rest is like what was seen,
+    and half as many again.
+    """
+    need = at = lost(len(tokens), part) + 1
+    for frequent in sets:
+        common = int(_isin(tokens[:at], frequent).sum())
+        if common:
+            at = max(at, min(len(tokens), -(-3 * need * at // (2 * max(at - common, 1)))))
+    return at
+
+
 def frequent_tokens(docs: DataFrame, found: DataFrame, text_col: str, width: int, part: tuple[int, int], rare: int, most: int, rounds: int) -> np.ndarray:
     """Tokens that are in more than ``rare`` prefixes.
 
@@ -225,28 +245,28 @@ def frequent_tokens(docs: DataFrame, found: DataFrame, text_col: str, width: int
     counted in turn, until nothing is new or after so many rounds; a frequent token that is missed costs time only.
     """
 
-    def further(batches: Iterator[pa.RecordBatch], before: np.ndarray, now: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def further(batches: Iterator[pa.RecordBatch], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for whole in batches:
             for batch in _parts(whole, "text"):
                 new = [np.zeros(0, np.uint64)]
                 for tokens in shingle_sets(batch.column("text").to_pylist(), width):
                     if len(tokens):
-                        old, own = (signature(tokens, f, part, pairs=False)[0] for f in (before, now))
-                        if len(own) and (not len(old) or own[-1] > old[-1]) and not seen.again(set_key(tokens)):
-                            new.append(own[own > old[-1]] if len(old) else own)
+                        low, high = counted(tokens, sets[:-1], part), counted(tokens, sets, part)
+                        if high > low and not seen.again(set_key(tokens)):
+                            new.append(tokens[low:high])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(new).view(np.int64))], ["token"])
 
     count = lambda tokens: materialise(tokens.groupBy("token").count().where(F.col("count") > rare))
     counts = count(found.select(F.explode("prefix").alias("token")))
-    before, now = np.zeros(0, np.uint64), _frequent(counts, rare, most)
+    sets = [_frequent(counts, rare, most)]
     texts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"))
     for _ in range(rounds):
-        if len(now) in (len(before), most):
+        if len(sets[-1]) in (len(sets[-2]) if len(sets) > 1 else 0, most):
             break
-        counts = counts.union(count(texts.mapInArrow(lambda b, x=before, y=now: further(b, x, y), "token long")))
-        before, now = now, _frequent(counts, rare, most)
-    return now
+        counts = counts.union(count(texts.mapInArrow(lambda b, x=tuple(sets): further(b, list(x)), "token long")))
+        sets.append(_frequent(counts, rare, most))
+    return sets[-1]
 
 
 def entries(docs: DataFrame, text_col: str, width: int, part: tuple[int, int], frequent: np.ndarray) -> DataFrame:
@@ -401,19 +421,69 @@ def _linked(pairs: DataFrame, tokens: DataFrame, part: tuple[int, int]) -> DataF
     return rows.where(part[1] * both >= part[0] * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def _across(hot: DataFrame, sizes: DataFrame, component, part: tuple[int, int]) -> DataFrame:
-    """Pairs of sets that share a hot key but aren't joined yet. Each key's sets are dealt to blocks, and blocks meet in pairs."""
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) folded to ``width`` words."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch], part: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets, one of either of two blocks, that are in different components and that sizes and bitmaps allow.
+
+    Rows come sorted by (token, block, other, side): the sets of the first block are held as matrices by the width of
+    their bitmaps, those of the second are compared with all of them as they stream past.
+    """
+    now, held, by_width = None, [], {}
+
+    def matrices() -> dict[int, tuple]:
+        rows = pa.Table.from_batches(held)
+        key, n, root = (rows.column(c).to_numpy() for c in ("key", "n", "root"))
+        bits = rows.column("bits").to_pylist()
+        width = np.array([len(x) // 8 for x in bits])
+        return {w: (key[at], n[at].astype(np.int64), root[at], np.frombuffer(b"".join(bits[i] for i in at), "<u8").reshape(-1, w)) for w in np.unique(width).tolist() for at in [np.flatnonzero(width == w)]}
+
+    for batch in batches:
+        at = list(zip(*(batch.column(c).to_pylist() for c in ("token", "block", "other", "side"))))
+        found = [np.zeros((0, 4), np.int64)]
+        for i, (group, side) in enumerate((x[:3], x[3]) for x in at):
+            if group != now:
+                now, held, by_width = group, [], {}
+            if side == 0:
+                held.append(batch.slice(i, 1))
+                continue
+            if not held:
+                continue
+            by_width = by_width or matrices()
+            key, n, root, bits = (batch.column(c)[i].as_py() for c in ("key", "n", "root", "bits"))
+            own = np.frombuffer(bits, "<u8").reshape(1, -1)
+            for w, (keys, sizes, roots, words) in by_width.items():
+                some = (roots != root) & (part[1] * np.minimum(sizes, n) >= part[0] * np.maximum(sizes, n))
+                if group[1] == group[2]:
+                    some &= keys < key
+                some = np.flatnonzero(some)
+                if len(some):
+                    low = min(w, own.shape[1])
+                    differ = np.bitwise_count(_folded(words[some], low) ^ _folded(own, low)).sum(axis=1, dtype=np.int64)
+                    some = some[(part[0] + part[1]) * differ <= (part[1] - part[0]) * (sizes[some] + n)]
+                    swap = keys[some] > key
+                    found.append(np.stack([np.where(swap, key, keys[some]), np.where(swap, keys[some], key), np.where(swap, n, sizes[some]), np.where(swap, sizes[some], n)], 1))
+        every = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(every[:, j], f.type) for j, f in enumerate(_PAIR)], schema=_PAIR)
+
+
+def _across(hot: DataFrame, sizes: DataFrame, bits: DataFrame, component, part: tuple[int, int]) -> DataFrame:
+    """Pairs of sets that share a hot key, aren't joined yet and may link. Each key's sets are dealt to blocks, and blocks meet in pairs."""
     rows = component(hot, "key").select("token", "key", "n", "root")
     open_ = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     size = sizes.join(open_, "token").select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(size, "token").withColumn("block", F.pmod(F.hash("key"), "blocks"))
-    first = dealt.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
-    second = dealt.withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("other"))))
-    x, y = (d.select("token", "block", "other", F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"root_{k}")) for d, k in ((first, "a"), (second, "b")))
-    met = x.join(y, ["token", "block", "other"]).where("root_a <> root_b").where(part[1] * F.least("na", "nb") >= part[0] * F.greatest("na", "nb"))
-    low = F.col("a") < F.col("b")
-    pick = lambda p, q: F.when(low, F.col(p)).otherwise(F.col(q))
-    return met.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb")).distinct()
+    dealt = rows.join(size, "token").join(bits, "key").withColumn("block", F.pmod(F.hash("key"), "blocks"))
+    first = dealt.withColumn("side", F.lit(0)).withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    second = dealt.withColumn("side", F.lit(1)).withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("other"))))
+    every = first.unionByName(second).select("token", "block", "other", "side", "key", "n", "root", "bits")
+    met = every.repartition("token", "block", "other").sortWithinPartitions("token", "block", "other", "side")
+    return met.mapInArrow(lambda b: _pairs_of_blocks(b, part), PAIR).distinct()
 
 
 def similar_groups(
@@ -433,7 +503,7 @@ def similar_groups(
     empty result. Tokens and sets are told apart by 64 bits.
     """
     found = materialise(sets(docs, id_col, text_col, width, part))
-    frequent = frequent_tokens(docs, found, text_col, width, part, rare, most, rounds=3)
+    frequent = frequent_tokens(docs, found, text_col, width, part, rare, most, rounds=2)
     every = materialise(entries(docs, text_col, width, part, frequent))
     heavy = heavy_tokens(every)
     lists = every.join(heavy, "token", "left_anti").repartition("token").sortWithinPartitions("token", "key")
@@ -459,7 +529,7 @@ def similar_groups(
         return rows.join(parts, F.col(key) == F.col("node"), "left").withColumn("root", F.coalesce("component", key)).drop("node", "component")
 
     rest = component(component(pairs, "a").withColumnRenamed("root", "_root"), "b").where("root <> _root").drop("root", "_root")
-    rest = rest.unionByName(_may_link(_across(hot, sizes, component, part), bits, part)).distinct()
+    rest = rest.unionByName(_across(hot, sizes, bits, component, part)).distinct()
     links = links.union(_linked(rest, tokens, part))
     parts = connected_components(links)
     classes = found.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
