@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.storage import materialise
@@ -71,3 +73,42 @@ def added_sources(heads: DataFrame, claims: DataFrame, entity: str, key: str, at
     by = rows.groupBy("a").agg(F.min(F.struct("_at", "b")).alias("_first"), F.bool_or(F.col("a") == F.col("b")).alias("_own"))
     parts = connected_components(by.where("not _own").select("a", F.col("_first.b").alias("b")))
     return heads.join(parts, F.col("head") == F.col("node"), "left").select("entity", F.coalesce("component", "head").alias("head"))
+
+
+def ancestries(posts: DataFrame, node: str, parent: str, link: Column | None = None, rounds: int = 40) -> DataFrame:
+    """(node, root, depth, unbroken) of every post: the post at the top of its replies, how far above it is, and whether ``link`` holds all the way.
+
+    Pointers are doubled: in each round a post that isn't done takes over what the post it points at points at, so a
+    chain of n posts takes about log2(n) rounds, and is done with a post that is. ``link`` is an expression over
+    a reply's own columns and, with ``up_`` before their names, those of the post it answers (for instance the same
+    author). A parent that isn't there ends a chain: the reply to it is a top. Posts in a ring have null. Nodes are
+    unique and not null.
+    """
+    up = posts.select(*(F.col(c).alias(f"up_{c}") for c in posts.columns))
+    holds = F.coalesce(link, F.lit(False)) if link is not None else F.lit(True)
+    tied = posts.join(up, F.col(parent) == F.col(f"up_{node}"), "left")
+    top = F.col(f"up_{node}").isNull()
+    first = tied.select(F.col(node).alias("node"), F.coalesce(f"up_{node}", node).alias("at"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), (top | holds).alias("unbroken"), top.alias("done"))
+    now = materialise(first)
+    done, going = [now.where("done")], now.where("not done")
+    for _ in range(rounds):
+        if going.isEmpty():
+            break
+        over = reduce(DataFrame.union, [going, *done])
+        y = over.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("unbroken").alias("_unbroken"), F.col("done").alias("_done"))
+        now = materialise(going.join(y, "at").select("node", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("unbroken") & F.col("_unbroken")).alias("unbroken"), F.col("_done").alias("done")))
+        done.append(now.where("done"))
+        going = now.where("not done")
+    ring = going.select("node", F.lit(None).cast(dict(going.dtypes)["at"]).alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(False).alias("unbroken"))
+    return reduce(DataFrame.union, done).select("node", F.col("at").alias("root"), "depth", "unbroken").union(ring)
+
+
+def self_threads(posts: DataFrame, node: str, parent: str, author: str, order: str, text: str) -> DataFrame:
+    """(root, author, posts, body_sha256): the posts that an author wrote on to an own post, without those to others, in order.
+
+    A post by someone else cuts what hangs below it. Texts are put together with empty lines between them.
+    """
+    own = ancestries(posts.select(node, parent, author), node, parent, F.col(author) == F.col(f"up_{author}")).where("unbroken").select(F.col("node").alias(node), "root")
+    rows = posts.join(own, node).select("root", author, F.struct(order, F.col(node).alias("_node"), F.col(text).alias("_text")).alias("_p"))
+    whole = rows.groupBy("root", author).agg(F.array_sort(F.collect_list("_p")).alias("_all"))  # one author's own posts in one thread
+    return whole.select("root", author, F.size("_all").cast("long").alias("posts"), F.sha2(F.array_join(F.transform("_all", lambda p: F.coalesce(p["_text"], F.lit(""))), "\n\n"), 256).alias("body_sha256"))

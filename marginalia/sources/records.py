@@ -41,6 +41,14 @@ def works(raw: DataFrame, column: str = "json") -> DataFrame:
     return rows.where("id is not null")
 
 
+def outcome(answer: Column, shape: str, key: str = "id") -> Column:
+    """found, empty or malformed: an answer without a record is told from one that can't be read, which must not count as seen."""
+    text = F.trim(F.coalesce(answer, F.lit("")))
+    read = F.from_json(text, shape, {"mode": "PERMISSIVE"})
+    whole = F.from_json(text, "map<string,string>").isNotNull() & text.rlike(r"^\{[\s\S]*\}$")
+    return F.when(text.isin("", "{}", "[]", "null"), "empty").when(whole & read[key].isNotNull(), "found").otherwise("malformed")
+
+
 def year_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("year").agg(F.count("*").alias("n"))
 
