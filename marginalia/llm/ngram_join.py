@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -21,7 +22,7 @@ RARE, FREQUENT = 32, 1 << 20
 #: A key that more sets have is joined by stars first, and by blocks of so many sets afterwards.
 LIST, BLOCK = 64, 1024
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _RANDOM = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64, 256, dtype=np.uint64)
@@ -187,9 +188,9 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of some MB of text."""
-    ends = np.cumsum([len(x or b"") for x in batch.column(column).to_pylist()])
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of texts in pieces of some MB."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     cuts = np.flatnonzero(np.diff(ends // (8 * CHUNK))) + 1 if len(ends) else []
     for a, b in zip([0, *cuts], [*cuts, len(ends)]):
         if b > a:
@@ -202,7 +203,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, width: int, part: tuple[in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for whole in batches:
-            for batch in _parts(whole, "text"):
+            for batch in _parts(whole):
                 n, keys, bits, prefix = [], [], [], []
                 for tokens in shingle_sets(batch.column("text").to_pylist(), width):
                     key = set_key(tokens)
@@ -248,7 +249,7 @@ def frequent_tokens(docs: DataFrame, found: DataFrame, text_col: str, width: int
     def further(batches: Iterator[pa.RecordBatch], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for whole in batches:
-            for batch in _parts(whole, "text"):
+            for batch in _parts(whole):
                 new = [np.zeros(0, np.uint64)]
                 for tokens in shingle_sets(batch.column("text").to_pylist(), width):
                     if len(tokens):
@@ -276,7 +277,7 @@ def entries(docs: DataFrame, text_col: str, width: int, part: tuple[int, int], f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for whole in batches:
-            for batch in _parts(whole, "text"):
+            for batch in _parts(whole):
                 found, sizes, keys, of = [], [], [], []
                 for tokens in shingle_sets(batch.column("text").to_pylist(), width):
                     key = set_key(tokens)
@@ -400,7 +401,7 @@ def _tokens_of(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for whole in batches:
-            for batch in _parts(whole, "text"):
+            for batch in _parts(whole):
                 keys, tokens = [], []
                 for found in shingle_sets(batch.column("text").to_pylist(), width):
                     keys.append(set_key(found))
