@@ -21,14 +21,8 @@ CHANGES: dict[str, Callable[[Column], Column]] = {
 class Address:
     """The parts of an address that rules look at: itself trimmed, its host without www, and the path with its query."""
 
-    def __init__(self, url: Column, same: dict[str, str] | None = None) -> None:
-        self.url = F.trim(F.coalesce(url, F.lit("")))
-        bare = F.regexp_extract(F.lower(self.url), r"^(?:[a-z][a-z0-9+.-]*://|//)?(?:[^/?#@]*@)?([^/?#:]+)", 1)
-        found = F.regexp_replace(bare, r"^www\.", "")
-        for alias, host in (same or {}).items():
-            found = F.when(found == alias, host).otherwise(found)
-        self.host = found
-        self.rest = F.regexp_extract(self.url, r"^(?:[a-zA-Z][\w+.-]*://|//)?[^/?#]*([^#]*)", 1)
+    def __init__(self, url: Column, host: Column, rest: Column) -> None:
+        self.url, self.host, self.rest = url, host, rest
 
     def on(self, hosts: str) -> Column:
         """Whether the host is one of ``hosts``: ``a.b`` itself, ``.a.b`` also below it, ``*.a.b`` only below it; ``any`` is every host."""
@@ -38,6 +32,17 @@ class Address:
         return reduce(Column.__or__, map(one, hosts.split()))
 
 
+def within(url: Column, said: Callable[[Address], Column], same: dict[str, str] | None = None) -> Column:
+    """``said`` of an address's parts, which are worked out once; ``same`` are other names of hosts."""
+    text = F.trim(F.coalesce(url, F.lit("")))
+    host = F.regexp_replace(F.regexp_extract(F.lower(text), r"^(?:[a-z][a-z0-9+.-]*://|//)?(?:[^/?#@]*@)?([^/?#:]+)", 1), r"^www\.", "")
+    for alias, known in (same or {}).items():
+        host = F.when(host == alias, known).otherwise(host)
+    rest = F.regexp_extract(text, r"^(?:[a-zA-Z][\w+.-]*://|//)?[^/?#]*([^#]*)", 1)
+    parts = F.array(F.struct(text.alias("url"), host.alias("host"), rest.alias("rest")))
+    return F.get(F.transform(parts, lambda a: said(Address(a["url"], a["host"], a["rest"]))), F.lit(0))
+
+
 def compiled(rules: list[tuple[str, str, str]], at: Address) -> Column:
     """What the first rule that fits says; null if none does or it says ``-``.
 

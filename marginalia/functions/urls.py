@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from marginalia.functions.rules import Address, compiled
+from marginalia.functions.rules import Address, compiled, within
 
 
 def host(url: Column) -> Column:
@@ -158,6 +158,8 @@ PAPERS = [
     ("any", r"url (?i)(eprint\.iacr\.org/\d{4}/\d+|eccc\.weizmann\.ac\.il/report/\d{4}/\d+)", "url:{1:lower}"),
     ("any", r"url ^(?i:https?)://([^/?#]+)(/[^?#]*\.(?i:pdf))(?:[?#]|$)", "url:{1:lower}{2}"),
 ]
+#: The number of a post.
+POSTS = [("x.com mobile.x.com", r"(?i)^/+[^/?]+/status(?:es)?/(\d+)", "{1}")]
 #: Kinds that a reader may claim for an address.
 CLAIMS = ("github", "substack", "paper", "x", "article")
 
@@ -167,40 +169,46 @@ def web(url: Column) -> Column:
     return F.coalesce(F.trim(url).rlike(r"(?i)^https?://[^/?#\s]"), F.lit(False))
 
 
-def usable(url: Column) -> Column:
-    """Whether a text is the address of a web page or a bare host with a dot, without white space, and on no platform that is left out."""
-    at = Address(url)
+def _usable(at: Address) -> Column:
     port = r"(?::\d{0,5})?"
     form = at.url.rlike(rf"(?i)^https?://(?:[^/?#@\s]*@)?[^/?#:\s]+{port}(?:[/?#]\S*)?$") | at.url.rlike(r"^[^/?#:\s]*[^/?#:\s.]\.[^/?#:\s]+(?:[/?#][^:\s]*)?$")
     return form & ~at.on(EXCLUDED)
 
 
+def usable(url: Column) -> Column:
+    """Whether a text is the address of a web page or a bare host with a dot, without white space, and on no platform that is left out."""
+    return within(url, _usable)
+
+
 def account(url: Column) -> Column:
     """Whose page an address is: the account on platforms that have them, the host elsewhere; empty if it names no one."""
-    return F.when(usable(url), compiled(ACCOUNTS, Address(url, SAME))).otherwise("")
+    return within(url, lambda at: F.when(_usable(at), compiled(ACCOUNTS, at)).otherwise(""), SAME)
 
 
 def link_kind(url: Column) -> Column:
     """github, substack, paper (a known host or page, a DOI in the path, a PDF) or null."""
-    return compiled(KINDS, Address(url))
+    return within(url, lambda at: compiled(KINDS, at))
 
 
 def link_only(url: Column) -> Column:
     """What makes an address no document, by its shape alone: home, hosted or section; null if nothing does."""
-    return compiled(LINK_ONLY, Address(url))
+    return within(url, lambda at: compiled(LINK_ONLY, at))
 
 
 def reference_kind(url: Column) -> Column:
     """What a link in a trusted post becomes: github, paper, substack, x (a post), article; null for what becomes nothing."""
-    at = Address(url, SAME)
-    nothing = ~web(url) | at.on(NO_ARTICLE) | link_only(url).isNotNull() | (at.on(".x.com .twitter.com") & post_id(url).isNull())
-    return F.when(~nothing, F.when(at.on(".x.com .twitter.com"), "x").otherwise(F.coalesce(link_kind(url), F.lit("article"))))
+
+    def said(at: Address) -> Column:
+        nothing = ~web(at.url) | at.on(NO_ARTICLE) | compiled(LINK_ONLY, at).isNotNull()
+        on_x = F.when(compiled(POSTS, at).isNotNull(), "x")
+        return F.when(~nothing, F.when(at.on(".x.com .twitter.com"), on_x).otherwise(F.coalesce(compiled(KINDS, at), F.lit("article"))))
+
+    return within(url, said, SAME)
 
 
 def card_link(url: Column) -> Column:
     """Whether a link that is no document is worth a card."""
-    at = Address(url)
-    return web(url) & ~at.on(NO_ARTICLE) & ~at.on(".x.com .twitter.com") & link_only(url).isNotNull()
+    return within(url, lambda at: web(at.url) & ~at.on(NO_ARTICLE) & ~at.on(".x.com .twitter.com") & compiled(LINK_ONLY, at).isNotNull())
 
 
 def hand_reference(url: Column, claim: Column) -> Column:
@@ -213,23 +221,26 @@ def hand_reference(url: Column, claim: Column) -> Column:
 
 def profile(url: Column) -> Column:
     """(type, is_profile, shape, handle) of an address with a web scheme; null if it names no one. Other sites are blogs, and their home page is the profile."""
-    at = Address(url, SAME)
-    home = F.when(at.rest.rlike(r"^/*(?:\?|$)"), "yes").otherwise("no")
-    said = F.split(F.coalesce(compiled(PROFILES, at), F.concat_ws(" ", F.lit("blog"), home, F.lit("unknown"), site_label(at.host))), " ")
-    part = lambda i: F.nullif(F.get(said, F.lit(i)), F.lit(""))
+
+    def said(at: Address) -> Column:
+        home = F.when(at.rest.rlike(r"^/*(?:\?|$)"), "yes").otherwise("no")
+        known = F.coalesce(compiled(PROFILES, at), F.concat_ws(" ", F.lit("blog"), home, F.lit("unknown"), site_label(at.host)))
+        return F.when(web(at.url) & _usable(at) & (compiled(ACCOUNTS, at) != ""), known)
+
+    words = F.split(within(url, said, SAME), " ")
+    part = lambda i: F.nullif(F.get(words, F.lit(i)), F.lit(""))
     found = F.struct(part(0).alias("type"), (part(1) == "yes").alias("is_profile"), part(2).alias("shape"), part(3).alias("handle"))
-    return F.when(web(url) & (account(url) != ""), found)
+    return F.when(words.isNotNull(), found)
 
 
 def paper_id(url: Column) -> Column:
     """The key under which a paper is kept, whatever page of it an address is: arXiv, DOI, Semantic Scholar, OpenReview, a report, a PDF; null for no paper."""
-    return compiled(PAPERS, Address(url))
+    return within(url, lambda at: compiled(PAPERS, at))
 
 
 def post_id(url: Column) -> Column:
     """The number of a post on x.com or twitter.com (with www or mobile before it), or null."""
-    at = Address(url, SAME | {"mobile.x.com": "x.com"})
-    return F.when(web(url), compiled([("x.com", r"(?i)^/+[^/?]+/status(?:es)?/(\d+)", "{1}")], at))
+    return within(url, lambda at: F.when(web(at.url), compiled(POSTS, at)), SAME)
 
 
 def site_label(found: Column) -> Column:
