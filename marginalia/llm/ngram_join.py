@@ -21,6 +21,8 @@ PART = (80, 100)
 RARE, FREQUENT = 32, 1 << 20
 #: A key that more sets have is joined by stars first, and by blocks of so many sets afterwards.
 LIST, BLOCK = 64, 1024
+#: Of each set's pairs in a block so many are compared before all others are.
+NEAREST = 3
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
 CHUNK = 1 << 18
 
@@ -430,9 +432,11 @@ def _folded(words: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
-def _pairs_of_blocks(batches: Iterator[pa.RecordBatch], part: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch], part: tuple[int, int], nearest: int | None) -> Iterator[pa.RecordBatch]:
     """Pairs of sets, one of either of two blocks, that are in different components and that sizes and bitmaps allow.
 
+    With ``nearest``, of each set's pairs only so many whose bitmaps are most alike.
+
     Rows come sorted by (token, block, other, side): the sets of the first block are held as matrices by the width of
     their bitmaps, those of the second are compared with all of them as they stream past.
     """
@@ -467,14 +471,17 @@ def _pairs_of_blocks(batches: Iterator[pa.RecordBatch], part: tuple[int, int]) -
                 if len(some):
                     low = min(w, own.shape[1])
                     differ = np.bitwise_count(_folded(words[some], low) ^ _folded(own, low)).sum(axis=1, dtype=np.int64)
-                    some = some[(part[0] + part[1]) * differ <= (part[1] - part[0]) * (sizes[some] + n)]
+                    may = (part[0] + part[1]) * differ <= (part[1] - part[0]) * (sizes[some] + n)
+                    some = some[may]
+                    if nearest:
+                        some = some[np.argsort(differ[may], kind="stable")[:nearest]]
                     swap = keys[some] > key
                     found.append(np.stack([np.where(swap, key, keys[some]), np.where(swap, keys[some], key), np.where(swap, n, sizes[some]), np.where(swap, sizes[some], n)], 1))
         every = np.unique(np.concatenate(found), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(every[:, j], f.type) for j, f in enumerate(_PAIR)], schema=_PAIR)
 
 
-def _across(hot: DataFrame, sizes: DataFrame, bits: DataFrame, component, part: tuple[int, int]) -> DataFrame:
+def _across(hot: DataFrame, sizes: DataFrame, bits: DataFrame, component, part: tuple[int, int], nearest: int | None = None) -> DataFrame:
     """Pairs of sets that share a hot key, aren't joined yet and may link. Each key's sets are dealt to blocks, and blocks meet in pairs."""
     rows = component(hot, "key").select("token", "key", "n", "root")
     open_ = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
@@ -484,7 +491,7 @@ def _across(hot: DataFrame, sizes: DataFrame, bits: DataFrame, component, part:
     second = dealt.withColumn("side", F.lit(1)).withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("other"))))
     every = first.unionByName(second).select("token", "block", "other", "side", "key", "n", "root", "bits")
     met = every.repartition("token", "block", "other").sortWithinPartitions("token", "block", "other", "side")
-    return met.mapInArrow(lambda b: _pairs_of_blocks(b, part), PAIR).distinct()
+    return met.mapInArrow(lambda b: _pairs_of_blocks(b, part, nearest), PAIR).distinct()
 
 
 def similar_groups(
@@ -495,7 +502,7 @@ def similar_groups(
     component_id is the smallest id that a document reaches over links, itself included. Documents with one set are one
     node. Candidates share a key of their signatures (see ``signature``): lists of a key give all pairs that sizes
     allow if they are short; those of a hot key are first joined as stars with its smallest set, and only pairs that
-    are in different components then are compared, in blocks. Bitmaps rule out most pairs, and the rest are decided by
+    are in different components then are compared, in blocks, the most alike first. Bitmaps rule out most pairs, and the rest are decided by
     their exact intersections, at first for each set's smallest partner, then for what isn't joined yet.
 
     Null and empty texts and texts without words have no shingles and link with nothing, fewer words than ``width`` are
@@ -526,11 +533,15 @@ def similar_groups(
     links = materialise(_linked(pairs.withColumn("_n", F.row_number().over(lowest)).where("_n = 1").drop("_n"), tokens, part))
     joined = materialise(connected_components(links))
 
-    def component(rows: DataFrame, key: str, parts: DataFrame = joined) -> DataFrame:
+    def component(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
         return rows.join(parts, F.col(key) == F.col("node"), "left").withColumn("root", F.coalesce("component", key)).drop("node", "component")
 
-    rest = component(component(pairs, "a").withColumnRenamed("root", "_root"), "b").where("root <> _root").drop("root", "_root")
-    rest = rest.unionByName(_across(hot, sizes, bits, component, part)).distinct()
+    if not hot.isEmpty():  # what is most alike first: few pairs join most of a large group
+        alike = _across(hot, sizes, bits, lambda rows, key: component(rows, key, joined), part, NEAREST)
+        links = materialise(links.union(_linked(alike, tokens, part)))
+        joined = materialise(connected_components(links))
+    rest = component(component(pairs, "a", joined).withColumnRenamed("root", "_root"), "b", joined).where("root <> _root").drop("root", "_root")
+    rest = rest.unionByName(_across(hot, sizes, bits, lambda rows, key: component(rows, key, joined), part)).distinct()
     links = links.union(_linked(rest, tokens, part))
     parts = connected_components(links)
     classes = found.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
