@@ -28,3 +28,14 @@ def referenced(old: Column, by: Column, post: Column) -> Column:
     """An array of {by, post} with one more reference, unless it is there."""
     there = F.exists(old, lambda r: (r["by"] == by) & (r["post"] == post))
     return F.when(there, old).otherwise(F.array_append(old, F.struct(by.alias("by"), post.alias("post"))))
+
+
+def without(mapped: Column, keys: list[str]) -> Column:
+    """A map without some keys."""
+    return F.map_filter(mapped, lambda k, _: ~k.isin(keys))
+
+
+def revision(mapped: Column, volatile: list[str]) -> Column:
+    """A fingerprint of a record whatever the order of its keys, without those that change by themselves."""
+    kept = F.map_from_entries(F.array_sort(F.map_entries(without(mapped, volatile))))
+    return F.sha2(F.to_json(kept), 256)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 #: What a page says while it holds its reader back, and the lengths that tell stubs from texts.
@@ -70,3 +72,21 @@ def from_positions(index: Column) -> Column:
     ordered = F.sort_array(pairs)
     last = F.filter(ordered, lambda x, i: ~F.coalesce(F.get(ordered, i + 1)["p"] == x["p"], F.lit(False)))
     return F.coalesce(F.array_join(F.transform(last, lambda x: x["w"]), " "), F.lit(""))
+
+
+def passage(name: str, text: Column, width: int = 200) -> Column:
+    """The text around the first place that has a name's words side by side, about ``width`` characters on either side; null if none does.
+
+    Case and a long word's plural s don't matter. Words that the edges cut are left out, and an ellipsis says that more is there.
+    """
+    words = [w[:-1] if len(w) > 3 and w.endswith("s") else w for w in re.findall("[a-z0-9]+", name.lower())]
+    if not words:
+        return F.lit(None).cast("string")
+    found = "[^a-zA-Z0-9]+".join(f"{w}{'s?' if len(w) > 2 else ''}" for w in words)
+    shape = f"(?is)^(.*?)(?<![a-zA-Z0-9])({found})(?![a-zA-Z0-9])(.*)$"
+    before, own, after = (F.regexp_extract(text, shape, i) for i in (1, 2, 3))
+    head, tail = F.right(before, F.lit(width)), F.left(after, F.lit(width))
+    left = F.when(F.length(before) > width, F.when(F.instr(head, " ") > 0, F.regexp_replace(head, "^[^ ]* ", "")).otherwise(head)).otherwise(before)
+    right = F.when(F.length(after) > width, F.when(F.instr(tail, " ") > 0, F.regexp_replace(tail, " [^ ]*$", "")).otherwise(tail)).otherwise(after)
+    body = F.trim(F.regexp_replace(F.concat(left, own, right), r"\s+", " "))
+    return F.when(own != "", F.concat(F.when(F.length(before) > width, "…").otherwise(""), body, F.when(F.length(after) > width, "…").otherwise("")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marginalia.functions import urls
 from marginalia.operators import curation, filters, sampling, search, snapshots
-from marginalia.plans import arriving, changing, keeping, naming, reading, searching, state
+from marginalia.plans import arriving, changing, keeping, listing, naming, reading, searching, state
 from marginalia.storage import table
 
 QUERY = "the thing"
@@ -184,7 +184,7 @@ _ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL} | reading.QUERIES | changing.QUERIES | state.QUERIES | searching.QUERIES | naming.QUERIES | arriving.QUERIES | keeping.QUERIES
+    return {f.__name__: f for f in _ALL} | reading.QUERIES | changing.QUERIES | state.QUERIES | searching.QUERIES | naming.QUERIES | arriving.QUERIES | keeping.QUERIES | listing.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,4 +239,4 @@ def oracle_sql() -> dict[str, str]:
         "unseen": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
         "collapse_guard": "SELECT *, coalesce(found < 0.5 * before, false) AS collapsed FROM (SELECT *, lag(found) OVER (ORDER BY day) AS before FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS found FROM events GROUP BY 1))",
         "page_addresses": f"SELECT page_id, {host} AS host, 'blog:' || {host} || regexp_replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9_+.-]*://)?[^/?#]*([^?#]*)', 1), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS post_key FROM (SELECT *, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|{'|'.join(urls.TRACKING)})(=|$)')) AS q FROM pages)",
-    } | reading.sql(f"SELECT doc_id, rank FROM ({_bm25_sql(51, 'true')})") | changing.SQL | state.SQL | searching.sql(_bm25_sql, _TOK) | naming.SQL | arriving.SQL | keeping.SQL
+    } | reading.sql(f"SELECT doc_id, rank FROM ({_bm25_sql(51, 'true')})") | changing.SQL | state.SQL | searching.sql(_bm25_sql, _TOK) | naming.SQL | arriving.SQL | keeping.SQL | listing.SQL
