@@ -263,7 +263,7 @@ def _met(t: pa.Table) -> pa.RecordBatch:
 def _place_rows(batches: Iterator[pa.RecordBatch], least: int, met: KeyFilter, unlike: KeyFilter) -> Iterator[pa.RecordBatch]:
     """Of (doc, tag, text): anchors that may be met again (kind 0) and paragraphs that may be unlike others of a band (kind 1).
 
-    An anchor comes with two bytes of the hash of each word around it, as far as runs that it is the anchor of reach,
+    An anchor comes with four bytes of the hash of each word around it, as far as runs that it is the anchor of reach,
     and with ``room``: from how many to how many words before it such runs begin. A paragraph comes with its words, of
     equal ones in a batch only the first.
     """
@@ -280,8 +280,8 @@ def _place_rows(batches: Iterator[pa.RecordBatch], least: int, met: KeyFilter, u
             take = np.flatnonzero(met.maybe(key))
             key, at, low, high = key[take], at[take], low[take], high[take]
             if len(key):
-                around = np.pad((r.h >> np.uint64(48)).astype(np.uint16), side)[side + at[:, None] + steps]
-                offsets = pa.array(np.arange(len(key) + 1, dtype=np.int32) * (4 * side))
+                around = np.pad((r.h >> np.uint64(32)).astype(np.uint32), side)[side + at[:, None] + steps]
+                offsets = pa.array(np.arange(len(key) + 1, dtype=np.int32) * (8 * side))
                 binary = pa.Array.from_buffers(pa.binary(), len(key), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(around).tobytes())])
                 of = r.text_of(at)
                 yield _batch(PLACES, kind=np.zeros(len(key), np.int32), key=key, doc=docs[lo + of], tag=tags[lo + of], at=at - r.begin[of], room=(low << 16) + high, around=binary)
@@ -311,7 +311,7 @@ def _equal_runs(t: pa.Table, least: int) -> pa.RecordBatch:
     size = (least + 1) // 2
     side = least - size
     key, doc, tag, at, room = (t.column(c).to_numpy() for c in ("key", "doc", "tag", "at", "room"))
-    around = np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint16).reshape(len(key), 2 * side).astype(np.uint64)
+    around = np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint32).reshape(len(key), 2 * side).astype(np.uint64)
     low, high = room >> 16, room & 0xFFFF
     with np.errstate(over="ignore"):
         left, right = [key.view(np.uint64)], [np.zeros(len(key), np.uint64)]

@@ -419,3 +419,24 @@ def test_every_stage_takes_odd_rows_and_none(spark, odd):
         got = stage(spark, odd, D)
         assert name == "pack" or got.columns == odd.columns, name
         assert got.count() >= 0 and stage(spark, odd.limit(0), D).count() == 0
+
+
+def test_words_whose_hashes_agree_in_part_are_told_apart(spark):
+    """Runs that differ in one word stay, though the two words' hashes agree in their first 16 bits."""
+    import random
+
+    import xxhash
+
+    rnd, seen, pair = random.Random(8), {}, None
+    while pair is None:
+        word = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+        other = seen.setdefault(xxhash.xxh64_intdigest(word.encode()) >> 48, word)
+        pair = (word, other) if other != word else None
+    rows = []
+    for i in range(60):
+        run = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(16)]
+        for j, odd in enumerate(pair):
+            own = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(20)]
+            rows.append((2 * i + j, " ".join([*own[:10], *run[: i % 16], odd, *run[i % 16 + 1 :], *own[10:]])))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("removed").count() == 0
