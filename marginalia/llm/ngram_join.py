@@ -23,6 +23,8 @@ RARE, FREQUENT = 32, 1 << 20
 LIST, BLOCK = 64, 1024
 #: Of each set's pairs in a block so many are compared before all others are.
 NEAREST = 3
+#: A pair that shares several hot keys is given by the least of so many of either set's, if these have one in common.
+LEAST = 16
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
 CHUNK = 1 << 18
 
@@ -447,7 +449,10 @@ def _pairs_of_blocks(batches: Iterator[pa.RecordBatch], part: tuple[int, int], n
         key, n, root = (rows.column(c).to_numpy() for c in ("key", "n", "root"))
         bits = rows.column("bits").to_pylist()
         width = np.array([len(x) // 8 for x in bits])
-        return {w: (key[at], n[at].astype(np.int64), root[at], np.frombuffer(b"".join(bits[i] for i in at), "<u8").reshape(-1, w)) for w in np.unique(width).tolist() for at in [np.flatnonzero(width == w)]}
+        least = np.full((len(key), LEAST), np.iinfo(np.int64).min)
+        for i, few in enumerate(rows.column("few").to_pylist()):
+            least[i, : len(few)] = few
+        return {w: (key[at], n[at].astype(np.int64), root[at], np.frombuffer(b"".join(bits[i] for i in at), "<u8").reshape(-1, w), least[at]) for w in np.unique(width).tolist() for at in [np.flatnonzero(width == w)]}
 
     for batch in batches:
         at = list(zip(*(batch.column(c).to_pylist() for c in ("token", "block", "other", "side"))))
@@ -463,7 +468,8 @@ def _pairs_of_blocks(batches: Iterator[pa.RecordBatch], part: tuple[int, int], n
             by_width = by_width or matrices()
             key, n, root, bits = (batch.column(c)[i].as_py() for c in ("key", "n", "root", "bits"))
             own = np.frombuffer(bits, "<u8").reshape(1, -1)
-            for w, (keys, sizes, roots, words) in by_width.items():
+            few = np.array(batch.column("few")[i].as_py(), np.int64)
+            for w, (keys, sizes, roots, words, least) in by_width.items():
                 some = (roots != root) & (part[1] * np.minimum(sizes, n) >= part[0] * np.maximum(sizes, n))
                 if group[1] == group[2]:
                     some &= keys < key
@@ -472,9 +478,13 @@ def _pairs_of_blocks(batches: Iterator[pa.RecordBatch], part: tuple[int, int], n
                     low = min(w, own.shape[1])
                     differ = np.bitwise_count(_folded(words[some], low) ^ _folded(own, low)).sum(axis=1, dtype=np.int64)
                     may = (part[0] + part[1]) * differ <= (part[1] - part[0]) * (sizes[some] + n)
-                    some = some[may]
+                    some, differ = some[may], differ[may]
+                    both = (least[some][:, :, None] == few).any(axis=2)
+                    first = np.where(both, least[some], np.iinfo(np.int64).max).min(axis=1)
+                    here = (first == group[0]) | ~both.any(axis=1)
+                    some = some[here]
                     if nearest:
-                        some = some[np.argsort(differ[may], kind="stable")[:nearest]]
+                        some = some[np.argsort(differ[here], kind="stable")[:nearest]]
                     swap = keys[some] > key
                     found.append(np.stack([np.where(swap, key, keys[some]), np.where(swap, keys[some], key), np.where(swap, n, sizes[some]), np.where(swap, sizes[some], n)], 1))
         every = np.unique(np.concatenate(found), axis=0)
@@ -486,10 +496,11 @@ def _across(hot: DataFrame, sizes: DataFrame, bits: DataFrame, component, part:
     rows = component(hot, "key").select("token", "key", "n", "root")
     open_ = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     size = sizes.join(open_, "token").select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(size, "token").join(bits, "key").withColumn("block", F.pmod(F.hash("key"), "blocks"))
+    few = hot.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LEAST).alias("few"))  # a set's own keys
+    dealt = rows.join(size, "token").join(bits, "key").join(few, "key").withColumn("block", F.pmod(F.hash("key"), "blocks"))
     first = dealt.withColumn("side", F.lit(0)).withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
     second = dealt.withColumn("side", F.lit(1)).withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("other"))))
-    every = first.unionByName(second).select("token", "block", "other", "side", "key", "n", "root", "bits")
+    every = first.unionByName(second).select("token", "block", "other", "side", "key", "n", "root", "bits", "few")
     met = every.repartition("token", "block", "other").sortWithinPartitions("token", "block", "other", "side")
     return met.mapInArrow(lambda b: _pairs_of_blocks(b, part, nearest), PAIR).distinct()
 
