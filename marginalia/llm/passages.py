@@ -2,9 +2,10 @@
 
 Alike paragraphs: lines, and in long lines also parts cut where the words themselves say so (a word pair whose hash is
 the least of its neighbourhood). Equal passages: every run of LEAST_WORDS words has an anchor, the part of it whose
-hash is least, and equal runs have equal anchors. Texts are read twice and never shuffled: first the hashes of all
-anchors and bands are dealt out; what meets there is put into filters of a fixed size, and then only the anchors and
-paragraphs that pass a filter are sent, with the words around them. What passes in error meets nothing.
+whose hash is least, and equal runs have equal anchors. Texts are read twice and never shuffled: first the hashes of all
+anchors and bands are dealt out; what meets there is put into filters of bounded size, and then only the anchors and
+paragraphs that pass a filter are sent, with the words around them. What passes in error meets nothing. Of anchors that
+very many places have, the runs are sent by hashes of their own, and their firsts are found by an aggregation.
 """
 
 from __future__ import annotations
@@ -35,15 +36,19 @@ BANDS, ROWS = 5, 2
 FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Words in a row that a document must share with others, counted to the true ends of what is shared.
 LEAST_WORDS = 16
-#: Bits of the filters for what has met.
-FILTER_BITS = 1 << 26
+#: Bits of a filter for what has met: eight for each key and a power of two, in these bounds (of more keys more pass in error).
+FILTER_LEAST, FILTER_MOST = 1 << 20, 1 << 28
+#: An anchor that so many places have isn't gone through in one task: its runs are dealt one by one.
+HOT = 1 << 15
 #: Parts that the rows of a common paragraph or shingle are dealt into for joins.
 SALT = 16
 #: A band key of more unlike paragraphs isn't verified as one group: they meet by their rarest shingles instead.
 GROUP = 256
 
-#: Words whose hashes a task remembers at most, and characters of texts that are worked on together.
-REMEMBERED, TOGETHER = 1 << 19, 1 << 20
+#: Bytes of texts that are worked on together.
+TOGETHER = 1 << 20
+#: The primes of XXH64.
+XXH = [np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)]
 
 #: The number of a text's first part, above those of its lines.
 PARTS = 1 << 28
@@ -68,29 +73,48 @@ def _window_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :])
 
 
-def cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """First words of the paragraphs of a text, given its words' hashes."""
+def cuts(hashes: np.ndarray, lines: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """First words of the parts of lines that begin at the words ``lines`` and follow each other, given all words' hashes."""
     n, wide = len(hashes), 2 * reach + 1
-    edges = np.zeros(1, np.int64)
+    edges = lines
     if n > wide:
-        pair = _mix(hashes[:-1], hashes[1:])
+        with np.errstate(over="ignore"):
+            pair = _mix(hashes[:-1], hashes[1:])
         found = np.flatnonzero(_window_least(pair, wide) == pair[reach : len(pair) - reach])
+        line_of = np.repeat(np.arange(len(lines)), np.diff(lines, append=n))
+        found = found[line_of[found] == line_of[found + wide]]
         alone = (pair[found[:, None] + np.arange(wide)] == pair[found + reach, None]).sum(axis=1) == 1
-        edges = np.concatenate([edges, found[alone] + reach + 1])
+        edges = np.union1d(edges, found[alone] + reach + 1)
     lengths = np.diff(edges, append=n)
-    if (lengths > LONGEST).any():
-        edges = np.concatenate([np.arange(e, e + m, LONGEST) for e, m in zip(edges.tolist(), lengths.tolist())])
-    return edges
+    pieces = -(-lengths // LONGEST)
+    return np.repeat(edges, pieces) + LONGEST * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+
 
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
 
-class Hashes(dict):
-    """The hash of every word asked for; forgets all of them when there are too many."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = digest = xxhash.xxh64_intdigest(word)
-        return digest
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 of each word of ``data``, which ends with eight bytes more; of words below 32 bytes all at once."""
+    one, two, three, four, five = XXH
+    length = ends - starts
+    eight, raw = np.ndarray((len(data) - 7,), np.dtype("<u8"), data, 0, (1,)), np.frombuffer(data, np.uint8)
+    with np.errstate(over="ignore"):
+        h = length.astype(np.uint64) + five
+        for done in (0, 8, 16):
+            rows = np.flatnonzero(length >= done + 8)
+            h[rows] = _turned(h[rows] ^ (_turned(eight[starts[rows] + done] * two, 31) * one), 27) * one + four
+        rows = np.flatnonzero(length & 4)
+        h[rows] = _turned(h[rows] ^ ((eight[starts[rows] + (length[rows] & ~7)] & np.uint64(0xFFFFFFFF)) * one), 23) * two + three
+        for k in range(3):
+            rows = np.flatnonzero((length & 3) > k)
+            h[rows] = _turned(h[rows] ^ (raw[starts[rows] + (length[rows] & ~3) + k] * five), 11) * one
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+        h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(length >= 32).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return h
 
 
 def grams(h: np.ndarray, size: int) -> np.ndarray:
@@ -132,7 +156,9 @@ def _described(h: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarray, n
 class Read(NamedTuple):
     """Some texts as one run of words."""
 
-    words: list[bytes]
+    data: bytes
+    starts: np.ndarray  # first byte of each word
+    ends: np.ndarray
     h: np.ndarray  # the words' hashes
     begin: np.ndarray  # first word of each text
     line: np.ndarray  # first word of each line that has words
@@ -141,24 +167,27 @@ class Read(NamedTuple):
         """Which text each of these words is in."""
         return np.searchsorted(self.begin, at, side="right") - 1
 
+    def said(self, at: int, n: int) -> str:
+        """``n`` words from the word ``at`` on, with one space between."""
+        return b" ".join(self.data[self.starts[at] : self.ends[at + n - 1]].split()).decode()
 
-def read(texts: list[str | None], hashes: Hashes) -> Read:
-    words: list[bytes] = []
-    begin, line = [], []
-    for text in texts:
-        begin.append(len(words))
-        for found in map(bytes.split, (text or "").encode().split(b"\n")):
-            if found:
-                line.append(len(words))
-                words += found
-    return Read(words, np.array([hashes[w] for w in words], np.uint64), np.array(begin), np.array(line, np.int64))
 
+def read(texts: list[bytes | None]) -> Read:
+    data = b"\n".join([b"", *(t or b"" for t in texts), b" " * 8])  # a line break before and after each text
+    raw = np.frombuffer(data, np.uint8)
+    space = (raw == 32) | (raw - np.uint8(9) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    begin = np.searchsorted(starts, np.cumsum([1, *(len(t or b"") + 1 for t in texts[:-1])]))
+    line = np.unique(np.searchsorted(starts, np.flatnonzero(raw == 10)))
+    return Read(data, starts, ends, word_hashes(data, starts, ends), begin[: len(texts)], line[line < len(starts)])
 
-def in_groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """(start, end) of runs of texts of about TOGETHER characters."""
+
+def in_groups(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts of about TOGETHER bytes."""
     start = size = 0
     for i, text in enumerate(texts):
-        size += len(text or "")
+        size += len(text or b"")
         if size >= TOGETHER:
             yield start, i + 1
             start, size = i + 1, 0
@@ -177,13 +206,10 @@ def paragraphs(r: Read, bands: int = BANDS) -> tuple[np.ndarray, ...]:
     length = np.diff(r.line, append=len(r.h))
     long = np.flatnonzero(length > LONGEST)
     if len(long):
-        pieces = [r.h[r.line[i] : r.line[i] + length[i]] for i in long.tolist()]
-        with np.errstate(over="ignore"):
-            inner = [cuts(x) for x in pieces]
-        before = np.cumsum([0, *map(len, pieces[:-1])])
-        shift = np.repeat(r.line[long] - before, [len(x) for x in inner])
-        at = np.concatenate(inner) + np.repeat(before, [len(x) for x in inner])
-        found.append((at + shift, *_described(np.concatenate(pieces), at, bands), np.full(len(at), PARTS)))
+        before = np.cumsum(length[long]) - length[long]
+        own = np.repeat(r.line[long] - before, length[long]) + np.arange(length[long].sum())
+        at = cuts(r.h[own], before)
+        found.append((own[at], *_described(r.h[own], at, bands), np.full(len(at), PARTS)))
     start, n, content, keys, number = (np.concatenate(x) for x in zip(*found))
     return start, n, content, keys, number + start - r.begin[r.text_of(start)]
 
@@ -225,13 +251,12 @@ def _batch(schema: str, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Of texts: each anchor once (kind 0; 1 if the batch has it again), each band of each paragraph once (kind 2)."""
-    hashes = Hashes()
+    """Of texts: each anchor once (kind 0, or 1 if the batch has it again) with the number of its places, each band of each paragraph once (kind 2)."""
     for batch in batches:
-        texts = batch.column(0).to_pylist()
+        texts = batch.column(0).cast(pa.binary()).to_pylist()
         keys, bands = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.uint64)]
         for lo, hi in in_groups(texts):
-            r = read(texts[lo:hi], hashes)
+            r = read(texts[lo:hi])
             keys.append(anchors(r, least)[0])
             _, n, content, found, _ = paragraphs(r)
             long = n >= least
@@ -240,45 +265,52 @@ def _key_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         met = np.concatenate(bands)
         met = met[np.lexsort((met[:, 1], met[:, 0]))]
         met = met[np.r_[True, (met[1:] != met[:-1]).any(1)]] if len(met) else met
-        yield _batch(KEYS, kind=(count > 1).astype(np.int32), key=key, hash=np.zeros(len(key), np.int64))
+        yield _batch(KEYS, kind=(count > 1).astype(np.int32), key=key, hash=count)
         yield _batch(KEYS, kind=np.full(len(met), 2, np.int32), key=np.ascontiguousarray(met[:, 0]), hash=np.ascontiguousarray(met[:, 1]))
 
 
-def _met(t: pa.Table) -> pa.RecordBatch:
-    """Anchors that occur again (kind 0), and each of the unlike paragraphs that share a band (kind 1)."""
+def _met(t: pa.Table, hot: int) -> pa.RecordBatch:
+    """Anchors that occur again (kind 0, once more as kind 2 if ``hot``), and each of the unlike paragraphs that share a band (kind 1)."""
     kind, key, content = (t.column(c).to_numpy() for c in ("kind", "key", "hash"))
     band = kind == 2
     anchor = np.flatnonzero(~band)
-    again, count = np.unique(key[anchor], return_counts=True)
-    again = np.union1d(again[count > 1], key[anchor][kind[anchor] == 1])
+    again, begin = np.unique(key[anchor], return_index=True)  # rows come by key
+    places = np.add.reduceat(content[anchor], begin) if len(begin) else begin
+    again, many_places = again[places > 1], again[places >= hot]
     key, content = key[band], content[band]
     new = np.r_[True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])][: len(key)]
     key, content = key[new], content[new]
     of = np.cumsum(np.r_[True, key[1:] != key[:-1]][: len(key)]) - 1
     many = np.bincount(of)[of] > 1 if len(key) else new
-    kinds = np.r_[np.zeros(len(again), np.int32), np.ones(int(many.sum()), np.int32)]
-    return _batch(KEYS, kind=kinds, key=np.r_[again, key[many]], hash=np.r_[np.zeros(len(again), np.int64), content[many]])
+    sizes = (len(again), int(many.sum()), len(many_places))
+    return _batch(KEYS, kind=np.repeat(np.arange(3), sizes), key=np.r_[again, key[many], many_places], hash=np.r_[again, content[many], many_places])
 
 
-def _place_rows(batches: Iterator[pa.RecordBatch], least: int, met: KeyFilter, unlike: KeyFilter) -> Iterator[pa.RecordBatch]:
+def _place_rows(batches: Iterator[pa.RecordBatch], least: int, met: KeyFilter, unlike: KeyFilter, hot: KeyFilter) -> Iterator[pa.RecordBatch]:
     """Of (doc, tag, text): anchors that may be met again (kind 0) and paragraphs that may be unlike others of a band (kind 1).
 
     An anchor comes with four bytes of the hash of each word around it, as far as runs that it is the anchor of reach,
-    and with ``room``: from how many to how many words before it such runs begin. A paragraph comes with its words, of
-    equal ones in a batch only the first.
+    and with ``room``: from how many to how many words before it such runs begin. Of a ``hot`` anchor each such run comes
+    by its hash (kind 2). A paragraph comes with its words, of equal ones in a batch only the first.
     """
     size = (least + 1) // 2
     side = least - size
     steps = np.concatenate([-np.arange(1, side + 1), size + np.arange(side)])
-    hashes = Hashes()
     for batch in batches:
-        docs, tags, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        docs, tags, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).cast(pa.binary()).to_pylist()
         had: set[int] = set()
         for lo, hi in in_groups(texts):
-            r = read(texts[lo:hi], hashes)
+            r = read(texts[lo:hi])
             key, at, low, high = anchors(r, least)
             take = np.flatnonzero(met.maybe(key))
             key, at, low, high = key[take], at[take], low[take], high[take]
+            often = hot.maybe(key)
+            if often.any():
+                count = (high - low + 1)[often]
+                start = np.repeat((at - high)[often] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                of = r.text_of(start)
+                yield _batch(PLACES, kind=np.full(len(start), 2), key=grams(r.h, least)[start], doc=docs[lo + of], tag=tags[lo + of], at=start - r.begin[of])
+                key, at, low, high = key[~often], at[~often], low[~often], high[~often]
             if len(key):
                 around = np.pad((r.h >> np.uint64(32)).astype(np.uint32), side)[side + at[:, None] + steps]
                 offsets = pa.array(np.arange(len(key) + 1, dtype=np.int32) * (8 * side))
@@ -292,7 +324,7 @@ def _place_rows(batches: Iterator[pa.RecordBatch], least: int, met: KeyFilter, u
                 of = r.text_of(start)
                 said = []
                 for own, i, k in zip(content.tolist(), start.tolist(), n.tolist()):
-                    said.append(None if own in had else b" ".join(r.words[i : i + k]).decode())
+                    said.append(None if own in had else r.said(i, k))
                     had.add(own)
                 yield _batch(PLACES, kind=np.ones(len(n), np.int32), key=content, doc=docs[lo + of], tag=tags[lo + of], at=start - r.begin[of], n=n, chunk=number, text=pa.array(said, pa.string()))
 
@@ -300,7 +332,9 @@ def _place_rows(batches: Iterator[pa.RecordBatch], least: int, met: KeyFilter, u
 def _found(t: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
     kind = t.column("kind").to_numpy()
     yield _equal_runs(t.filter(pa.array(kind == 0)), least)
-    t = t.filter(pa.array(kind == 1))
+    runs, t = t.filter(pa.array(kind == 2)), t.filter(pa.array(kind == 1))
+    if runs.num_rows:
+        yield _batch(FOUND, start=runs.column("at").combine_chunks(), **{c: runs.column(c).combine_chunks() for c in ("kind", "key", "doc", "tag")})
     if t.num_rows:
         whole = {c: t.column(c).combine_chunks() for c in ("kind", "key", "doc", "tag", "n", "chunk", "text")}
         yield _batch(FOUND, start=t.column("at").combine_chunks(), **whole)
@@ -461,6 +495,20 @@ def by_rare_shingles(paragraphs: DataFrame, similarity: float = SIMILARITY) -> D
     return ordered.select("hash", F.explode(first).alias("x")).select(F.col("x.g").alias("key"), "hash").join(paragraphs, "hash").select("key", "hash", "text")
 
 
+def _filter(keys: DataFrame) -> KeyFilter:
+    return KeyFilter(keys, min(FILTER_MOST, max(FILTER_LEAST, 1 << (8 * keys.count()).bit_length())))
+
+
+def _runs_of_hot_anchors(runs: DataFrame, least: int) -> DataFrame:
+    """Runs (key, doc, tag, start) that two or more texts have; all but the first of a key are removed, save what a text repeats onto itself."""
+    first = runs.groupBy("key").agg(F.min(F.struct("doc", "tag", "start")).alias("first"), F.max(F.struct("doc", "tag")).alias("last"))
+    shared = first.where("first.doc <> last.doc or first.tag <> last.tag").select("key", "first", F.explode(F.expr(f"sequence(0L, {SALT - 1}L)")).alias("salt"))
+    both = runs.withColumn("salt", F.pmod(F.xxhash64("doc", "tag"), F.lit(SALT))).join(shared, ["key", "salt"])
+    other_text = (F.col("doc") != F.col("first.doc")) | (F.col("tag") != F.col("first.tag"))
+    removed = other_text | (F.col("start") - F.col("first.start") >= least)
+    return both.select("doc", "tag", "start", F.lit(least).alias("n"), F.col("first.doc").alias("first_doc_id"), F.col("first.start").alias("first_at"), removed.alias("removed"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, tag, start_word, n_words, first_doc_id, removed): every passage that a document shares with another one.
 
@@ -477,12 +525,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     name, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     own = docs.select(name.cast("long").alias("doc"), text_tag(text).alias("tag"), text.alias("text")).where("doc is not null")
+    hot = HOT
     dealt = own.select("text").mapInArrow(lambda batches: _key_rows(batches, least_words), KEYS).repartition("key").sortWithinPartitions("key", "hash")
-    found = settled(dealt.mapInArrow(lambda batches: by_runs(batches, lambda t: [_met(t)], 1 << 18), KEYS))
+    found = settled(dealt.mapInArrow(lambda batches: by_runs(batches, lambda t: [_met(t, hot)], 1 << 18), KEYS))
     unlike = found.where("kind = 1").select("key", "hash")
-    # filters of FILTER_BITS each, whatever their number of keys
-    filters = docs.sparkSession.sparkContext.broadcast((KeyFilter(found.where("kind = 0").select("key"), FILTER_BITS), KeyFilter(unlike.select(F.col("hash").alias("key")), FILTER_BITS)))
-    places = own.mapInArrow(lambda batches: _place_rows(batches, least_words, *filters.value), PLACES).repartition("key").sortWithinPartitions("key", "doc", "tag", "at")
+    filters = docs.sparkSession.sparkContext.broadcast([_filter(x) for x in (found.where("kind = 0").select("key"), unlike.select(F.col("hash").alias("key")), found.where("kind = 2").select("key"))])
+    one_by_one = F.when(F.col("kind") == 2, F.xxhash64("doc", "tag"))
+    places = own.mapInArrow(lambda batches: _place_rows(batches, least_words, *filters.value), PLACES).repartition("key", one_by_one).sortWithinPartitions("key", "doc", "tag", "at")
     placed = settled(places.mapInArrow(lambda batches: by_runs(batches, lambda t: _found(t, least_words)), FOUND))
     spots = placed.where("kind = 1").select(F.col("key").alias("hash"), "doc", "tag", "chunk", "start", "n", "text")
     texts = settled(spots.where("text is not null").groupBy("hash").agg(F.min("text").alias("text")))
@@ -498,7 +547,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = parts.join(heads.select("component", "first"), "component").select("hash", "first", F.explode(F.expr(f"sequence(0L, {SALT - 1}L)")).alias("salt"))
     alike = spots.withColumn("salt", F.pmod(F.xxhash64("doc", "tag"), F.lit(SALT))).join(named, ["hash", "salt"])
     alike = alike.select("doc", "tag", "start", "n", F.col("first.doc").alias("first_doc_id"), F.lit(None).cast("int").alias("first_at"), (place != F.col("first")).alias("removed"))
-    pieces = placed.where("kind = 0").select(*PIECE[1:]).unionByName(alike).withColumn("key", F.xxhash64("doc", "tag"))
+    common = _runs_of_hot_anchors(placed.where("kind = 2").select("key", "doc", "tag", "start"), least_words)
+    pieces = placed.where("kind = 0").select(*PIECE[1:]).unionByName(alike).unionByName(common).withColumn("key", F.xxhash64("doc", "tag"))
     pieces = pieces.repartition("key").sortWithinPartitions("key", "start")
     return pieces.mapInArrow(lambda batches: by_runs(batches, lambda t: [_passages(t, least_words, similarity)]), SPANS)
 
