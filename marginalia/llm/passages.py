@@ -405,7 +405,7 @@ def _passages(t: pa.Table, least: int, similarity: float) -> pa.RecordBatch:
     """The shared stretches of each text: words that go in any of them go, the others stay."""
     key, doc, tag, start, n, first_doc, removed = (t.column(c).to_numpy() for c in ("key", "doc", "tag", "start", "n", "first_doc_id", "removed"))
     equal_run, there = t.column("first_at").is_valid().to_numpy(), t.column("first_at").fill_null(0).to_numpy()
-    shift = np.where(equal_run, start - there, 1 << 40)
+    shift = np.where(equal_run, start - there.astype(np.int64), np.int64(1 << 40))  # in 32 bits an alike paragraph would count as a run
     order = np.lexsort((start, shift, first_doc, removed, key))
     key, doc, tag, start, n, first_doc, removed, equal_run, there, shift = (x[order] for x in (key, doc, tag, start, n, first_doc, removed, equal_run, there, shift))
     new = np.ones(len(key), bool)  # pieces of one run come from several anchors

@@ -440,3 +440,33 @@ def test_words_whose_hashes_agree_in_part_are_told_apart(spark):
             rows.append((2 * i + j, " ".join([*own[:10], *run[: i % 16], odd, *run[i % 16 + 1 :], *own[10:]])))
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.where("removed").count() == 0
+
+
+def test_runs_of_hot_anchors_are_those_of_others(spark, monkeypatch):
+    """Whatever counts as hot, and however small the filters are, the same words go."""
+    docs = documents(spark)
+    want = {tuple(r) for r in passages.repeated_passages(docs).collect()}
+    monkeypatch.setattr(passages, "FILTER_LEAST", 64)
+    monkeypatch.setattr(passages, "FILTER_MOST", 1 << 10)
+    for hot in (2, 5):
+        monkeypatch.setattr(passages, "HOT", hot)
+        assert {tuple(r) for r in passages.repeated_passages(docs).collect()} == want
+    assert len(want) > 20
+
+
+def test_reading_splits_as_bytes_do():
+    import random
+
+    import xxhash
+
+    rnd = random.Random(3)
+    texts = [None, "", "x" * 2000, " ".join(("0123456789" * 5)[:k] for k in range(45)), " \n\n a b\n", "\u00e9 \x1f\x85 y", *("".join(rnd.choices("ab\u00e9 \t\n\r\x0b\x0c", k=rnd.randrange(60))) for _ in range(300))]
+    for some in (texts, [], [None], ["one"]):
+        data = [t.encode() if t is not None else None for t in some]
+        r = passages.read(data)
+        words = [w for t in data for w in (t or b"").split()]
+        assert [r.said(i, 1).encode() for i in range(len(r.h))] == words
+        assert r.h.tolist() == [xxhash.xxh64_intdigest(w) for w in words]
+        assert r.begin.tolist() == [sum(len((t or b"").split()) for t in data[:i]) for i in range(len(data))]
+        lines = [len(line.split()) for t in data for line in (t or b"").split(b"\n") if line.split()]
+        assert r.line.tolist() == [sum(lines[:i]) for i in range(len(lines))]
