@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, functions as F
@@ -14,6 +16,87 @@ OUT = "collector string, generation long, state string, pages long, shown long"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Cursors of a generation that one entry of the state holds, on average at most.
+ENTRY = 256
+
+
+def _hash(at: tuple[str, str]) -> int:
+    return zlib.crc32("\0".join(x or "" for x in at).encode())
+
+
+class _Generation:
+    """A generation as one call sees it: its tally, and of its cursors the entries that the call's pages need.
+
+    Cursors are dealt by hash to entries of the state, whose number doubles as they become more.
+    """
+
+    def __init__(self, g: int, tally: tuple | None, cursors) -> None:
+        self.g, self.stored, self.new = g, cursors, tally is None
+        self.owed, self.stray, self.pages, self.shown, self.failed, self.timer, self.held, self.parts = tally or (0, 0, 0, 0, None, None, 0, 1)
+        self.was, self.read, self.changed = self.timer, {}, set()
+        self.empty = self.new  # nothing of it is stored
+        if self.new:
+            self.ask((ROOT, START))
+
+    def _entry(self, part: int) -> dict[tuple[str, str], list]:
+        if part not in self.read:
+            found = None if self.empty else self.stored.getValue((self.g, part))
+            self.read[part] = {(b, c): [asked, got] for b, c, asked, got in json.loads(found[0])} if found else {}
+        return self.read[part]
+
+    def _at(self, at: tuple[str, str]) -> list:
+        """[how often it is led to, whether its page is in], to be changed in place."""
+        part = _hash(at) % self.parts
+        entry = self._entry(part)
+        self.changed.add(part)
+        if at not in entry:
+            entry[at] = [0, False]
+            self.held += 1
+        return entry[at]
+
+    def ask(self, at: tuple[str, str]) -> None:
+        state = self._at(at)
+        if state[0]:
+            self.failed = self.failed or "cycle"
+        else:
+            self.owed, self.stray = self.owed + (not state[1]), self.stray - state[1]
+        state[0] += 1
+
+    def take(self, page: Row) -> bool:
+        """Count a page in; false if it was in."""
+        state = self._at((page.branch, page.cursor))
+        if state[1]:
+            return False
+        state[1] = True
+        self.owed, self.stray = self.owed - (state[0] > 0), self.stray + (state[0] == 0)
+        self.pages, self.shown = self.pages + 1, self.shown + (page.shown or 0)
+        if page.next is not None and not page.shown:
+            self.failed = self.failed or "stuck"
+        for to in [*([(page.branch, page.next)] if page.next is not None else []), *((b, START) for b in page.opens or ())]:
+            self.ask(to)
+        return True
+
+    def _store(self, part: int) -> None:
+        rows = [[*at, *state] for at, state in self.read[part].items()]
+        self.stored.updateValue((self.g, part), (json.dumps(rows),))
+
+    def write(self) -> tuple:
+        """Store the entries that changed, in twice as many where they are full; gives the tally."""
+        while self.held > ENTRY * self.parts:
+            for part in range(self.parts):  # an entry after another, so that a long walk is never held whole
+                known, entry = part in self.read, self._entry(part)
+                far = {at: x for at, x in entry.items() if _hash(at) % (2 * self.parts) != part}
+                self.read[part], self.read[part + self.parts] = {at: x for at, x in entry.items() if at not in far}, far
+                self._store(part)
+                self._store(part + self.parts)
+                if not known:
+                    del self.read[part], self.read[part + self.parts]
+            self.parts, self.changed, self.empty = 2 * self.parts, set(), False
+        for part in self.changed:
+            self._store(part)
+        return self.owed, self.stray, self.pages, self.shown, self.failed, self.timer, self.held, self.parts
+
+
 class Walks(StatefulProcessor):
     """The state of one collector's generations.
 
@@ -22,6 +105,8 @@ class Walks(StatefulProcessor):
     whatever order they come. A page that comes again changes nothing. A cursor that is led to twice is a cycle, a page
     without anything shown that goes on makes no progress: either way the generation fails for good. The latest
     complete generation is accepted; what comes of it or of earlier ones afterwards is out of date.
+
+    The pages of a batch are worked on together: every call to the state store is a message to another process.
     """
 
     def __init__(self, patience: dt.timedelta | None = None) -> None:
@@ -30,69 +115,58 @@ class Walks(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.accepted = handle.getValueState("accepted", "generation long")
-        self.cursors = handle.getMapState("cursors", "generation long, branch string, cursor string", "asked int, got boolean")
-        self.tally = handle.getMapState("tally", "generation long", "owed long, stray long, pages long, shown long, failed string, timer long")
+        self.cursors = handle.getMapState("cursors", "generation long, part int", "held string")
+        self.tally = handle.getMapState("tally", "generation long", "owed long, stray long, pages long, shown long, failed string, timer long, held long, parts int")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for page in rows:
-            yield from self._page(key, page)
-
-    def _page(self, key, page: Row) -> Iterator[Row]:
         done = self.accepted.get()
-        g = page.generation
-        if done is not None and g <= done[0]:
-            return
-        if not self.tally.containsKey((g,)):
-            self.cursors.updateValue((g, ROOT, START), (1, False))
-            self.tally.updateValue((g,), (1, 0, 0, 0, None, None))
-        owed, stray, pages, shown, failed, timer = self.tally.getValue((g,))
-        own = (g, page.branch, page.cursor)
-        asked, got = self.cursors.getValue(own) if self.cursors.containsKey(own) else (0, False)
-        if got:
-            return
-        owed, stray, pages, shown = owed - (asked > 0), stray + (asked == 0), pages + 1, shown + (page.shown or 0)
-        self.cursors.updateValue(own, (asked, True))
-        was = failed
-        if page.next is not None and not page.shown:
-            failed = failed or "stuck"
-        for to in [*([(g, page.branch, page.next)] if page.next is not None else []), *((g, b, START) for b in page.opens or ())]:
-            asked, got = self.cursors.getValue(to) if self.cursors.containsKey(to) else (0, False)
-            if asked:
-                failed = failed or "cycle"
-            else:
-                owed, stray = owed + (not got), stray - got
-            self.cursors.updateValue(to, (asked + 1, got))
-        if self.patience and page.at:
-            ends = int((page.at + self.patience).timestamp() * 1000)
-            if timer is None or ends > timer:
-                if timer is not None:
-                    self.handle.deleteTimer(timer)
-                self.handle.registerTimer(ends)
-                timer = ends
-        self.tally.updateValue((g,), (owed, stray, pages, shown, failed, timer))
-        if failed and not was:
-            yield Row(collector=key[0], generation=g, state=failed, pages=pages, shown=shown)
-        if not failed and not owed and not stray:
-            self.accepted.update((g,))
-            self._forget(g)
-            yield Row(collector=key[0], generation=g, state="complete", pages=pages, shown=shown)
+        upto, before = (done[0] if done else None,) * 2
+        open_: dict[int, _Generation] = {}
+        for page in rows:
+            g = page.generation
+            if upto is not None and g <= upto:
+                continue
+            if g not in open_:
+                open_[g] = _Generation(g, self.tally.getValue((g,)), self.cursors)
+            walk = open_[g]
+            failed = walk.failed
+            if not walk.take(page):
+                continue
+            if self.patience and page.at:
+                ends = int((page.at + self.patience).timestamp() * 1000)
+                walk.timer = ends if walk.timer is None else max(ends, walk.timer)
+            if walk.failed and not failed:
+                yield Row(collector=key[0], generation=g, state=walk.failed, pages=walk.pages, shown=walk.shown)
+            if not walk.failed and not walk.owed and not walk.stray:
+                upto = g
+                yield Row(collector=key[0], generation=g, state="complete", pages=walk.pages, shown=walk.shown)
+        if upto != before:
+            self.accepted.update((upto,))
+            self._forget(upto)
+        for g, walk in open_.items():
+            if upto is None or g > upto:
+                if walk.timer != walk.was:
+                    if walk.was is not None:
+                        self.handle.deleteTimer(walk.was)
+                    self.handle.registerTimer(walk.timer)
+                self.tally.updateValue((g,), walk.write())
 
     def _forget(self, upto: int) -> None:
-        for own in [tuple(k) for k in self.cursors.keys() if k[0] <= upto]:
-            self.cursors.removeKey(own)
-        for (g,) in [tuple(k) for k in self.tally.keys() if k[0] <= upto]:
-            timer = self.tally.getValue((g,))[5]
+        for (g,), tally in [(tuple(k), v) for k, v in self.tally.iterator() if k[0] <= upto]:
+            timer, parts = tally[5], tally[7]
             if timer is not None:
                 self.handle.deleteTimer(timer)
+            for part in range(parts):
+                self.cursors.removeKey((g, part))
             self.tally.removeKey((g,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """A generation without a page for so long is told as stalled, once; a page that comes later still counts."""
         at = expiredTimerInfo.getExpiryTimeInMs()
         for (g,) in [tuple(k) for k in self.tally.keys()]:
-            owed, stray, pages, shown, failed, timer = self.tally.getValue((g,))
+            owed, stray, pages, shown, failed, timer, *more = self.tally.getValue((g,))
             if timer == at:
-                self.tally.updateValue((g,), (owed, stray, pages, shown, failed, None))
+                self.tally.updateValue((g,), (owed, stray, pages, shown, failed, None, *more))
                 if not failed:
                     yield Row(collector=key[0], generation=g, state="stalled", pages=pages, shown=shown)
 

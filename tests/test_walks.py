@@ -87,3 +87,56 @@ def test_patience(spark, rocks):
     rows = stream.feed([page("a", 1, nxt="1"), page("b", 1)], [page("z", 1, at=T0 + dt.timedelta(days=2))], [page("z", 2, at=T0 + dt.timedelta(days=3))])
     assert {(r.collector, r.state) for r in rows} == {("a", "stalled"), ("b", "complete"), ("z", "complete")}
     assert latest(stream.feed([page("a", 1, "1", at=T0 + dt.timedelta(days=3))]))["a"] == (1, 2, 2)
+
+
+class Stored(dict):
+    """A map or value state in memory that counts what it is asked."""
+
+    calls = 0
+
+    def _did(self, got=None):
+        Stored.calls += 1
+        return got
+
+    def getValue(self, key): return self._did(self.get(key))
+    def updateValue(self, key, value): self._did(self.__setitem__(key, value))
+    def removeKey(self, key): self._did(self.pop(key, None))
+    def keys(self): return self._did(list(super().keys()))
+    def iterator(self): return self._did(list(self.items()))
+    def get(self, key=None): return dict.get(self, key)
+    def update(self, value): self._did(self.__setitem__(None, value))
+    def getValueState(self, *_): return Stored()
+    def getMapState(self, *_): return Stored()
+
+
+def fed(batches):
+    """What is told of one collector's pages, and the states that stay."""
+    from pyspark.sql import Row
+
+    made, out = walks.Walks(), []
+    made.init(Stored())
+    Stored.calls = 0
+    names = "collector generation branch cursor next opens shown at".split()
+    for rows in batches:
+        out += made.handleInputRows(("a",), iter([Row(**dict(zip(names, r))) for r in rows]), None)
+    return [(r.generation, r.state, r.pages) for r in out], made
+
+
+def test_a_batch_of_pages_asks_the_store_little():
+    chain = [page("a", 1, str(i), str(i + 1) if i < 999 else None) for i in range(1000)]
+    random.Random(5).shuffle(chain)
+    told, made = fed([chain[:500], chain[500:], chain[:50]])
+    assert told == [(1, "complete", 1000)] and not made.tally and not made.cursors
+    assert Stored.calls < 60  # one by one they were thousands
+
+
+@pytest.mark.parametrize("size", [1, 2, 300])
+def test_a_walk_is_the_same_in_any_batches_and_entries(size, monkeypatch):
+    monkeypatch.setattr(walks, "ENTRY", 2)
+    rnd = random.Random(size)
+    chain = [page("a", g, str(i), str(i + 1) if i < 59 else None, opens=["l"] if i == 7 else []) for g in (1, 2, 3) for i in range(60)] + [page("a", g, branch="l") for g in (1, 2)]
+    chain += [page("a", 4, "0", "1"), page("a", 4, "1", "0"), *chain[:40]]
+    rnd.shuffle(chain)
+    told, made = fed([chain[i : i + size] for i in range(0, len(chain), size)])
+    assert (2, "complete", 61) in told and {s for g, s, _ in told if g == 4} == {"cycle"} and not any(g == 3 for g, _, _ in told)
+    assert {g for g, in made.tally} == {3, 4} and {g for g, _ in made.cursors} == {3, 4} and made.tally[3,][7] >= 16
