@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from marginalia.functions import urls
 from marginalia.operators import curation, filters, sampling, search, snapshots
 from marginalia.plans import arriving, changing, keeping, listing, naming, reading, searching, state
-from marginalia.storage import table
+from marginalia.storage import parts, table
 
 QUERY = "the thing"
 _ONE_K = "CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT)"
@@ -92,9 +92,12 @@ def stronger_source(spark: SparkSession, d: str) -> DataFrame:
 
 def coauthors(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of suppliers that share at least two orders: a self-join on the order, whose lines are few."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    n = parts(lines.count())  # from the files' footers
+    lines = lines.repartition(n, "l_orderkey").distinct()
     a, b = lines.withColumnRenamed("l_suppkey", "a"), lines.withColumnRenamed("l_suppkey", "b")
-    return a.join(b, "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
+    pairs = a.join(b, "l_orderkey").where("a < b").select("a", "b").repartition(2 * n, "a", "b")  # some two pairs to a line
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
 
 
 def mention_credit(spark: SparkSession, d: str) -> DataFrame:

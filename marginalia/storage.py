@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a partition where a step holds or sorts them.
+ROWS_A_PART = 1 << 18
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``folder`` (any path that Spark can read)."""
@@ -24,6 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def parts(rows: int) -> int:
+    """How many partitions so many rows are dealt to where a step's memory goes by its rows: their number grows with the input, their size doesn't."""
+    return 1 + rows // ROWS_A_PART
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
