@@ -77,15 +77,22 @@ NAMING = {"quote": 1.0, "link": 0.75, "mention": 0.5}
 FURTHER = 0.25
 
 
-def credited(mentions: DataFrame, post: str, person: str, curator: str, kind: str, base: Column) -> DataFrame:
+def credited(mentions: DataFrame, post: str, person: str, curator: str, kind: str, base: Column, parts: int | None = None) -> DataFrame:
     """(person, posts, curators, score): a post's credit ``base`` is split among all it names, by its strongest naming of each.
 
     Each further curator who named a person raises their sum by a quarter. Sums are exact decimals, so they don't
-    depend on an order; scores have four places, halves to even.
+    depend on an order; scores have four places, halves to even. Mentions that are dealt by their post stay so;
+    persons' curators are told apart in ``parts`` partitions.
     """
     worth = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in NAMING.items() for x in pair)), F.col(kind)), F.lit(NAMING["mention"]))
-    once = mentions.where(F.col(person).isNotNull()).groupBy(post, person, curator).agg(F.max(worth).alias("_w"), F.max(base).alias("_b"))
-    named = once.groupBy(post).agg(F.countDistinct(person).alias("_people"))
-    share = (F.col("_b") * F.col("_w") / F.col("_people")).cast("decimal(26,12)")
-    by = once.join(named, post).groupBy(person).agg(F.countDistinct(post).alias("posts"), F.countDistinct(curator).alias("curators"), F.sum(share).cast("double").alias("_s"))
-    return by.select(person, "posts", "curators", F.bround(F.col("_s") * (1 + FURTHER * (F.col("curators") - 1)), 4).alias("score"))
+    named = mentions.where(F.col(person).isNotNull() & F.col(post).isNotNull())
+    once = named.groupBy(post, person, curator).agg(F.max(worth).alias("_w"), F.max(base).alias("_b"))
+    own = Window.partitionBy(post)
+    people = F.max("_place").over(own)  # of the last person: how many there are
+    share = (F.col("_b") * F.col("_w") / people).cast("decimal(26,12)")
+    shares = once.withColumn("_place", F.dense_rank().over(own.orderBy(person))).select(post, person, share.alias("_s"))
+    by = shares.groupBy(post, person).agg(F.sum("_s").alias("_s")).groupBy(person).agg(F.count("*").alias("posts"), F.sum("_s").cast("double").alias("_s"))
+    pairs = named.where(F.col(curator).isNotNull()).select(person, curator)
+    pairs = (pairs.repartition(parts, person, curator) if parts else pairs).distinct()
+    both = by.join(pairs.groupBy(person).agg(F.count("*").alias("curators")), person, "left").withColumn("curators", F.coalesce("curators", F.lit(0)))
+    return both.select(person, "posts", "curators", F.bround(F.col("_s") * (1 + FURTHER * (F.col("curators") - 1)), 4).alias("score"))

@@ -104,7 +104,9 @@ def mention_credit(spark: SparkSession, d: str) -> DataFrame:
     """Credit of suppliers whom orders name: an order is its customer's post and names as its lines' flags say."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.when(F.col("l_returnflag") == "A", "quote").when(F.col("l_returnflag") == "R", "link").otherwise("aside").alias("kind"))
     posts = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return curation.credited(lines.join(posts, "l_orderkey"), "l_orderkey", "l_suppkey", "o_custkey", "kind", 1 / (1 + F.pmod("l_orderkey", F.lit(5)).cast("double")))
+    n = parts(lines.count())  # from the files' footers
+    mentions = lines.repartition(n, "l_orderkey").join(posts.repartition(n, "l_orderkey"), "l_orderkey")
+    return curation.credited(mentions, "l_orderkey", "l_suppkey", "o_custkey", "kind", 1 / (1 + F.pmod("l_orderkey", F.lit(5)).cast("double")), n)
 
 
 def arrivals(spark: SparkSession, d: str) -> DataFrame:
