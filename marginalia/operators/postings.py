@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -12,30 +12,59 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from marginalia.functions.stemming import folded, stem
+from marginalia.functions.stemming import REMEMBERED, folded, stem
 from marginalia.functions.texts import LEAD, WIDTH
 from marginalia.operators.search import B, K1, query_words
 
 #: Folders that tokens are dealt to by hash; a query reads those of its tokens.
 BUCKETS = 64
+#: The folder of the rows without a token, one for each document.
+OWN = -1
+#: Texts whose postings are held at once, and postings that are handed on together.
+TEXTS, ROWS = 1024, 1 << 16
 _SCHEMA = pa.schema([("token", pa.string()), ("id", pa.int64()), ("dl", pa.int32()), ("tf", pa.int32()), ("positions", pa.list_(pa.int32()))])
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, id, dl, tf, positions) of each row's (id, words): one row for each distinct word."""
+def _postings(batches: Iterator[pa.RecordBatch], find: Callable[[str], list[str]] | None = None, each: Callable[[str], str] | None = None) -> Iterator[pa.RecordBatch]:
+    """(token, id, dl, tf, positions) of each row's (id, words): one row for each distinct word, and one without a token for the row itself.
+
+    ``find`` gives the words of a text, if texts come in their place, and ``each`` what a word is indexed as.
+    """
+    known: dict[str, str] = {}
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):  # postings of so many texts are held at once
-            tokens, ids, sizes, counts, places = [], [], [], [], []
-            for key, words in zip(batch.column("id").to_pylist()[at : at + 256], batch.column("words").slice(at, 256).to_pylist()):
-                found: dict[str, list[int]] = {}
-                for i, w in enumerate(words or ()):
-                    found.setdefault(w, []).append(i)
-                tokens += found
-                ids += [key] * len(found)
-                sizes += [len(words or ())] * len(found)
-                counts += map(len, found.values())
-                places += found.values()
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((tokens, ids, sizes, counts, places), _SCHEMA)], schema=_SCHEMA)
+        for at in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(at, TEXTS)
+            ids, lists = part.column("id"), part.column("words")
+            if find:
+                lists = pa.array([find(t) for t in lists.to_pylist()], pa.list_(pa.string()))
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            names, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+            if each:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                as_words = names.to_pylist()
+                for w in as_words:
+                    if w not in known:
+                        known[w] = each(w)
+                same = pa.array([known[w] for w in as_words], pa.string()).dictionary_encode()
+                names, codes = same.dictionary, same.indices.to_numpy(zero_copy_only=False)[codes] if len(codes) else codes
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(codes)) - np.repeat(sizes.cumsum() - sizes, sizes)
+            order = np.argsort(codes, kind="stable")  # by token, then by row and place, for so they lie
+            code, row = codes[order], row[order]
+            first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])]) if len(code) else np.zeros(0, np.int64)
+            ends = np.r_[first, len(code)].astype(np.int32)
+            own = row[first]
+            for low in range(0, len(first), ROWS):
+                cut = slice(low, low + ROWS)
+                edge = ends[low : low + ROWS + 1]
+                yield pa.RecordBatch.from_arrays([
+                    names.take(pa.array(code[first[cut]])), ids.take(pa.array(own[cut])), pa.array(sizes[own[cut]], pa.int32()), pa.array(np.diff(edge), pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(edge - edge[0], pa.int32()), pa.array(place[order[edge[0] : edge[-1]]], pa.int32())),
+                ], schema=_SCHEMA)
+            none = pa.nulls(len(sizes))
+            yield pa.RecordBatch.from_arrays([none.cast(pa.string()), ids, pa.array(sizes, pa.int32()), none.cast(pa.int32()), none.cast(pa.list_(pa.int32()))], schema=_SCHEMA)
 
 
 def _bucket(token: str, buckets: int) -> int:
@@ -57,18 +86,30 @@ class Index:
     def _generations(self) -> list[int]:
         return sorted(r.gen for r in self.spark.read.parquet(f"{self.path}/documents").select("gen").distinct().collect())  # a folder each
 
-    def write(self, docs: DataFrame, id_col: str, words: Column, gone: DataFrame | None = None, gen: int = 0) -> "Index":
-        """Add ``docs`` (id and an expression for its array of words) as a generation; ``gone`` are ids that go. Ids are unique and not null."""
+    def write(self, docs: DataFrame, id_col: str, words: Column, gone: DataFrame | None = None, gen: int = 0, find: Callable[[str], list[str]] | None = None, each: Callable[[str], str] | None = None) -> "Index":
+        """Add ``docs`` (id and an expression for its array of words) as a generation; ``gone`` are ids that go. Ids are unique and not null.
+
+        With ``find``, ``words`` is the text, of which it gives the words; ``each`` says what a word is indexed as. Every
+        task writes to the folders what it finds, without a shuffle or a sort, and texts are split into words once.
+        """
         rows = docs.select(F.col(id_col).cast("long").alias("id"), words.alias("words")).where("id is not null")
-        bucket = F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int")
-        found = rows.mapInArrow(_postings, "token string, id long, dl int, tf int, positions array<int>").withColumns({"gen": F.lit(gen), "bucket": bucket})
-        found.repartition("bucket", F.pmod("id", F.lit(8))).sortWithinPartitions("bucket", "token", "id").write.mode("append").partitionBy("gen", "bucket").parquet(f"{self.path}/postings")
-        held = rows.select("id", F.size("words").alias("dl"))
+        bucket = F.when(F.col("token").isNull(), OWN).otherwise(F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int"))
+        found = rows.mapInArrow(partial(_postings, find=find, each=each), "token string, id long, dl int, tf int, positions array<int>").withColumns({"gen": F.lit(gen), "bucket": bucket})
+        key, open_files = "spark.sql.maxConcurrentOutputFileWriters", self.spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+        self.spark.conf.set(key, str(self.buckets + 2))  # with as many open as it may have, Spark sorts the rest
+        try:
+            found.write.mode("append").option("compression", "zstd").partitionBy("gen", "bucket").parquet(f"{self.path}/postings")
+        finally:
+            self.spark.conf.set(key, open_files)
+        held = self._every().where((F.col("gen") == gen) & (F.col("bucket") == OWN)).select("id", "dl")
         if gone is not None:
             held = held.union(gone.select(F.col(id_col).cast("long"), F.lit(None).cast("int")))
         held.withColumn("gen", F.lit(gen)).write.mode("append").partitionBy("gen").parquet(f"{self.path}/documents")
         return self
 
+    def _every(self) -> DataFrame:
+        return self.spark.read.schema("token string, id long, dl int, tf int, positions array<int>, gen int, bucket int").parquet(f"{self.path}/postings")
+
     def upsert(self, docs: DataFrame, id_col: str, words: Column, gone: DataFrame | None = None) -> "Index":
         """A further generation: new and changed documents, and ids that go."""
         return self.write(docs, id_col, words, gone, self._generations()[-1] + 1)
@@ -87,8 +128,8 @@ class Index:
         return self._live(self.spark.read.parquet(f"{self.path}/documents"), gens).where("dl is not null").select("id", "dl")
 
     def lists(self, tokens: list[str]) -> DataFrame:
-        """Postings of some tokens: their folders and, since these are sorted, the pieces of files with their range."""
-        every = self.spark.read.parquet(f"{self.path}/postings")
+        """Postings of some tokens, from their folders."""
+        every = self._every()
         if not tokens:
             return every.limit(0)
         own = every.where(F.col("bucket").isin(sorted({_bucket(t, self.buckets) for t in tokens})) & F.col("token").isin(tokens))
@@ -97,7 +138,7 @@ class Index:
     def compacted(self, path: str) -> "Index":
         """The same documents as one generation of a new index."""
         gens = self._generations()
-        live = self._live(self.spark.read.parquet(f"{self.path}/postings"), gens).withColumn("gen", F.lit(0))
+        live = self._live(self._every(), gens).withColumn("gen", F.lit(0))
         live.repartition("bucket", F.pmod("id", F.lit(8))).sortWithinPartitions("bucket", "token", "id").write.partitionBy("gen", "bucket").parquet(f"{path}/postings")
         self.documents().withColumn("gen", F.lit(0)).write.partitionBy("gen").parquet(f"{path}/documents")
         return Index(self.spark, path, self.buckets)

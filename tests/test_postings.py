@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions.stemming import stem, stems
+from marginalia.functions.stemming import folded_words, stem, stems
 from marginalia.operators import postings, search
 from marginalia.storage import shared_folder
 
@@ -105,3 +105,26 @@ def test_links(spark):
     rows = [("a [b]", "https://x/y"), ("", "https://x/a b"), (None, " https://x/(1)> "), ("n", ""), ("n", None)]
     got = [r.l for r in spark.createDataFrame(rows, "t string, u string").select(postings.link(F.col("t"), F.col("u")).alias("l")).collect()]
     assert got == ["[a b](https://x/y)", "[source](<https://x/a b>)", "[source](<https://x/(1)>)", None, None]
+
+
+def shuffled(spark):
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_an_index_is_written_without_a_shuffle_or_a_sort(spark, folder):
+    before, docs = shuffled(spark), frame(spark, texts(3000, 6))
+    index = postings.Index(spark, folder, buckets=5).write(docs, "doc_id", search.tokens(F.col("text")))
+    assert not sum(v for k, v in shuffled(spark).items() if k not in before)
+    assert index.documents().count() == 3000 and index.lists(["thing"]).count() == docs.where("text rlike '\\\\bthing\\\\b'").count()
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_words_found_in_the_task_are_those_of_stems(spark, folder):
+    docs = frame(spark, texts(40, 7) + [(90, None), (91, ""), (92, "Été CAFÉ accountable_x things")])
+    one = postings.Index(spark, folder, buckets=3).write(docs, "doc_id", stems("text"))
+    two = postings.Index(spark, f"{folder}-b", buckets=3).write(docs, "doc_id", F.col("text"), find=folded_words, each=stem)
+    every = [stem(w.lower()) for w in WORDS] + [stem("ete"), stem("cafe"), "accountable_x"]
+    assert rows_of(one.lists(every)) == rows_of(two.lists(every)) and one.lists([stem("ete")]).count() == 1
+    assert rows_of(one.documents()) == rows_of(two.documents()) and two.documents().count() == 43
