@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.functions.stemming import stem, stems
+from marginalia.functions.stemming import folded_words, stem
 from marginalia.operators import postings, search
 from marginalia.storage import shared_folder, table
 
@@ -19,8 +19,9 @@ def index(spark: SparkSession, d: str, stemmed: bool = False) -> postings.Index:
     """The index of ``documents`` below ``d``, by words or by stems; it is written when first asked for."""
     key = (spark.sparkContext.applicationId, d.rstrip("/"), stemmed)
     if key not in _BUILT:
-        words = stems("text") if stemmed else search.tokens(F.col("text"))
-        _BUILT[key] = postings.Index(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}").write(table(spark, d, "documents"), "doc_id", words)
+        made = postings.Index(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+        words, how = (F.col("text"), {"find": folded_words, "each": stem}) if stemmed else (search.tokens(F.col("text")), {})
+        _BUILT[key] = made.write(table(spark, d, "documents"), "doc_id", words, **how)
     return _BUILT[key]
 
 
