@@ -20,7 +20,7 @@ SIDE = 2
 WIDTH = 12
 HIDDEN = 32
 #: Passes over the corpus, each of which learns the tokens at other places, one in EVERY; as many passes as EVERY learn all of them.
-ROUNDS, EVERY = 2, 4
+ROUNDS, EVERY = 4, 4
 BATCH = 8192
 RATE = 0.05
 #: Words whose tokens a task remembers at most.

@@ -470,3 +470,14 @@ def test_reading_splits_as_bytes_do():
         assert r.begin.tolist() == [sum(len((t or b"").split()) for t in data[:i]) for i in range(len(data))]
         lines = [len(line.split()) for t in data for line in (t or b"").split(b"\n") if line.split()]
         assert r.line.tolist() == [sum(lines[:i]) for i in range(len(lines))]
+
+
+def test_masked_lm_learns_every_place_by_default(spark):
+    docs = spark.createDataFrame([("p q r s",)] * 400, "text string").withColumn("ids", masked_lm._tokenise("text")).coalesce(1)
+    counts = masked_lm.token_counts(docs)
+    number = masked_lm.ranks(counts)
+    ids = number[masked_lm.tokens("p q r s")]
+    before = masked_lm.start(counts)
+    after = masked_lm.train(docs, number, before)
+    logs = lambda net: masked_lm.token_logs(net, masked_lm.windows(ids, np.arange(4)), ids)
+    assert (logs(after) > logs(before)).all()  # by half of the rounds, the third and fourth word were never asked for
