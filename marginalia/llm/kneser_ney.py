@@ -284,10 +284,11 @@ def smallest(ids: DataFrame, by: str, of: str, n: int) -> DataFrame:
     return few.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_n")
 
 
-def classify(docs: DataFrame, labels: DataFrame, per_language: int = ROWS_PER_LANGUAGE, quantile: float = QUANTILE, room: float = ROOM) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, per_language: int | None = ROWS_PER_LANGUAGE, quantile: float = QUANTILE, room: float = ROOM) -> DataFrame:
     """One row per document: doc_id, lang, n_words, perplexity, threshold (its language's) and kept.
 
-    Trusted texts are those that ``labels`` gives quality 1. Of these, one in five is held out of the counts; a
+    Trusted texts are those that ``labels`` gives quality 1; counts are taken from ``per_language`` of them at most,
+    from all for None. Of these, one in five is held out of the counts; a
     language's threshold is ``room`` times the ``quantile`` of perplexity over its held-out trusted texts.
     Perplexity credits every text with PRIOR_WORDS words of the language's usual surprise. A document of a
     language without trusted text (null too) has no threshold and is kept. Null and empty texts are an end mark
@@ -298,8 +299,10 @@ def classify(docs: DataFrame, labels: DataFrame, per_language: int = ROWS_PER_LA
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HELD_SHARE)) == 0
     named = own.select("doc_id", "lang").where("doc_id is not null and lang is not null").join(good.where(~held), "doc_id", "left_semi").distinct()
-    # at most per_language ids of each language: a broadcast of a known size
-    trusted = own.join(F.broadcast(smallest(named, "lang", "doc_id", per_language)), ["doc_id", "lang"]).select("lang", "text")
+    if per_language is None:
+        trusted = own.where("lang is not null").join(good.where(~held), "doc_id", "left_semi").select("lang", "text")
+    else:  # at most per_language ids of each language: a broadcast of a known size
+        trusted = own.join(F.broadcast(smallest(named, "lang", "doc_id", per_language)), ["doc_id", "lang"]).select("lang", "text")
     entries, unseen = model(trusted)
     rows = settled(scored(own.withColumn("n_words", F.size(words(F.col("text"))).cast("long")), entries, unseen))
     aside = rows.join(good.where(held), "doc_id", "left_semi").groupBy("lang").agg(F.sum("nll").alias("all"), F.sum("n").alias("of"))

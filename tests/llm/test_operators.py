@@ -181,6 +181,19 @@ def test_kneser_ney_counts_as_many_trusted_rows_as_its_bound(spark, monkeypatch)
     assert seen == [600]
 
 
+def test_the_kneser_ney_query_counts_all_trusted_rows(spark, monkeypatch, tmp_path):
+    from marginalia.llm import queries
+
+    docs = spark.createDataFrame([(i, f"one two three {i}", "en") for i in range(900)], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id", "1 quality").write.parquet(f"{tmp_path}/labels.parquet")
+    held = docs.where("pmod(xxhash64(doc_id, 1), 5) = 0").count()
+    seen, plain = [], kneser_ney.model
+    monkeypatch.setattr(kneser_ney, "model", lambda trusted: seen.append(trusted.count()) or plain(trusted))
+    assert queries.op10_kneser_ney(spark, str(tmp_path)).count() == 900
+    assert seen == [900 - held] and 900 - held > kneser_ney.ROWS_PER_LANGUAGE
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark):
     texts = ["a b a c", "a b b c a", "c a b a b"]
     entries, unseen = kneser_ney.model(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"))
