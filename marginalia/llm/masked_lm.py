@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -23,10 +25,15 @@ HIDDEN = 32
 ROUNDS, EVERY = 4, 4
 BATCH = 8192
 RATE = 0.05
+#: Rows that are worked on while they are in the processor's cache, and texts that are laid out together.
+CLOSE, TEXTS = 1 << 10, 256
+PLACES, ONES = np.arange(CLOSE), np.ones(max(IN_CLASS, TOKENS // IN_CLASS), np.float32)
 #: Words whose tokens a task remembers at most.
 REMEMBERED = 1 << 20
 #: Parameters are averaged in so many slices, of so many partitions at a time.
 SLICES, FAN_IN = 64, 32
+#: How a token is kept in a table.
+PACKED = np.dtype(np.min_scalar_type(TOKENS))
 
 
 class Network(NamedTuple):
@@ -51,23 +58,70 @@ class Vocabulary(dict):
         return token
 
 
-def tokens(text: str | None, vocabulary: Vocabulary | None = None) -> np.ndarray:
-    of = Vocabulary() if vocabulary is None else vocabulary
-    return np.array([of[w] for w in (text or "").encode().split()], dtype=np.int32)
+def _tokens(text: bytes | None, of: Vocabulary) -> np.ndarray:
+    found = (text or b"").split()
+    return np.fromiter(map(of.__getitem__, found), np.int32, len(found))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _tokenise(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def tokens(text: str | None) -> np.ndarray:
+    return _tokens((text or "").encode(), Vocabulary())
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _tokenise(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    vocabulary = Vocabulary()
+    for texts in batches:
+        found = [_tokens(t, vocabulary) for t in texts.cast(pa.binary()).to_pylist()]
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        yield pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *found]))
+
+
+@F.arrow_udf(T.BinaryType())
+def _packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same tokens as bytes, which Spark copies whole."""
     vocabulary = Vocabulary()
     for texts in batches:
-        yield pd.Series([tokens(t, vocabulary) for t in texts], dtype="object")
+        yield pa.array([_tokens(t, vocabulary).astype(PACKED).tobytes() for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def unpacked(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts of a column, as numbers or as bytes, one after the other; the size of each text."""
+    if not pa.types.is_binary(ids.type):
+        return ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    data = ids.buffers()[2]
+    found = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(PACKED) if data else np.zeros(0, PACKED)
+    return found, np.diff(ends) // PACKED.itemsize
+
+
+def laid(ids: pa.Array, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The renumbered tokens of all texts in one array, with SIDE tokens that stand beyond an end before, between and after them; where each text begins in it; its length."""
+    found, sizes = unpacked(ids)
+    begin = np.cumsum(sizes + SIDE) - sizes
+    line = np.full(len(found) + SIDE * (len(sizes) + 1), TOKENS, np.int32)
+    line[_runs(begin, sizes)] = number[found]
+    return line, begin, sizes
+
+
+def _runs(begin: np.ndarray, sizes: np.ndarray, step: int = 1) -> np.ndarray:
+    """begin, begin + step, ... of each run, ``sizes`` numbers each."""
+    return np.arange(int(sizes.sum())) * step + np.repeat(begin - (np.cumsum(sizes) - sizes) * step, sizes)
+
+
+def _lines(texts: pa.Array, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The texts of a column laid out, some at a time."""
+    for at in range(0, len(texts), TEXTS):
+        yield laid(texts.slice(at, TEXTS), number)
+
+
+def around(line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The SIDE tokens before and after each of the places ``at`` of a line; the token there is masked."""
+    return line[at[:, None] + np.r_[-SIDE:0, 1 : SIDE + 1]]
 
 
 def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The SIDE tokens before and after each of the places ``at``; the token there is masked."""
-    padded = np.full(len(ids) + 2 * SIDE, TOKENS, np.int32)
-    padded[SIDE : SIDE + len(ids)] = ids
-    return np.stack([padded[at + k] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
+    """The same for the places of one text."""
+    return around(np.pad(ids, SIDE, constant_values=TOKENS), at + SIDE)
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
@@ -89,105 +143,133 @@ def start(counts: np.ndarray, seed: int = 3) -> Network:
     )
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """Row by row, in place; scores stay far below where exp overflows."""
-    z *= (1 / _exp_sums(z))[:, None]
-    return z
-
-
 def _exp_sums(z: np.ndarray) -> np.ndarray:
-    """Sums of each row's exponentials, which take the place of the row; a product is the faster sum."""
+    """Sums of each row's exponentials, which take the place of the row; scores stay far below where exp overflows. A product is the faster sum."""
     np.exp(z, out=z)
-    return z @ np.ones(z.shape[1], z.dtype)
+    return z @ ONES[: z.shape[1]]
 
 
-def _hidden(net: Network, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = net.embed[context].reshape(len(context), -1)
+def _hidden(net: Network | Learner, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = net.embed.take(context.reshape(-1), axis=0).reshape(len(context), -1)
     h = x @ net.inner
     h += net.inner_bias
     return x, np.tanh(h, out=h)
 
 
-def _classes(target: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """The rows of each class of sorted targets."""
-    edges = np.searchsorted(target, np.arange(0, TOKENS + 1, IN_CLASS))
-    for c in np.flatnonzero(np.diff(edges)).tolist():
-        yield c, slice(edges[c], edges[c + 1])
+def _sorted(target: np.ndarray) -> np.ndarray:
+    return np.argsort(target.astype(np.min_scalar_type(TOKENS)), kind="stable")  # numbers of 16 bits are sorted by their digits
+
+
+def _classes(target: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Of each class that sorted targets have: its rows and its tokens."""
+    edges = np.searchsorted(target, np.arange(0, TOKENS + 1, IN_CLASS)).tolist()
+    for c, (lo, hi) in enumerate(itertools.pairwise(edges)):
+        if lo < hi:
+            yield slice(lo, hi), slice(c * IN_CLASS, (c + 1) * IN_CLASS)
+
+
+def _logs(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """ln of each row's probability of what was chosen, so many rows at a time that their scores stay close to the processor."""
+    out, space = np.empty(len(h)), np.empty((min(len(h), CLOSE), len(bias)), np.float32)
+    for at in range(0, len(h), CLOSE):
+        some, own = h[at : at + CLOSE], chosen[at : at + CLOSE]
+        z = np.matmul(some, weights, out=space[: len(some)])
+        z += bias
+        score = z.reshape(-1)[PLACES[: len(some)] * len(bias) + own]
+        out[at : at + CLOSE] = score - np.log(_exp_sums(z))
+    return out
 
 
 def token_logs(net: Network, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """ln p(target | context) of each row, over all tokens."""
-    order = np.argsort(target, kind="stable")
+    order = _sorted(target)
     now = target[order]
-    _, h = _hidden(net, context[order])
-    z = h @ net.outer
-    z += net.outer_bias
-    logs = z[np.arange(len(now)), now // IN_CLASS].astype(np.float64) - np.log(_exp_sums(z))
-    for c, rows in _classes(now):
-        own = slice(c * IN_CLASS, (c + 1) * IN_CLASS)
-        z = h[rows] @ net.word[own].T
-        z += net.word_bias[own]
-        logs[rows] += z[np.arange(len(z)), now[rows] - own.start] - np.log(_exp_sums(z))
+    group, place = now // IN_CLASS, now % IN_CLASS
+    h, logs = np.empty((len(now), HIDDEN), np.float32), np.empty(len(now))
+    for at in range(0, len(now), CLOSE):
+        own = slice(at, at + CLOSE)
+        h[own] = _hidden(net, context[order[own]])[1]
+        logs[own] = _logs(h[own], net.outer, net.outer_bias, group[own])
+    for rows, own in _classes(now):
+        logs[rows] += _logs(h[rows], net.word[own].T, net.word_bias[own], place[rows])
     out = np.empty_like(logs)
     out[order] = logs
     return out
 
 
 class Learner:
-    """A copy of a network that descends by Adagrad on the log loss of batches."""
+    """A copy of a network that descends by Adagrad on the log loss of batches. Weights and their bias are one array here, for the bias is the weight of a constant 1."""
 
     def __init__(self, net: Network):
-        self.net = Network(*(a.copy() for a in net))
-        self.squares = Network(*(np.full_like(a, 1e-8) for a in net))
-
-    def _step(self, name: str, rows: slice, grad: np.ndarray) -> None:
-        square = getattr(self.squares, name)[rows]
-        square += grad * grad
-        grad *= RATE
-        grad /= np.sqrt(square)
-        getattr(self.net, name)[rows] -= grad
+        self.embed, self.inner, self.inner_bias = net.embed.copy(), net.inner.copy(), net.inner_bias.copy()
+        self.outer = np.vstack([net.outer, net.outer_bias])
+        self.word = np.ascontiguousarray(np.column_stack([net.word, net.word_bias]).reshape(-1, IN_CLASS, HIDDEN + 1).transpose(0, 2, 1))  # by class
+        self.squares, self.grads = ({k: np.full_like(a, x) for k, a in vars(self).items() if isinstance(a, np.ndarray)} for x in (1e-8, 0))
+        self.space = np.empty(CLOSE * max(self.outer.shape[1], IN_CLASS), np.float32)  # for all products in turn: fresh room costs more than a product
+
+    def network(self) -> Network:
+        word = self.word.transpose(0, 2, 1).reshape(TOKENS, HIDDEN + 1)
+        return Network(self.embed, self.inner, self.inner_bias, self.outer[:-1], self.outer[-1], word[:, :-1], word[:, -1])
+
+    def _step(self, name: str) -> None:
+        """Descend by the gradient at hand, whose room is used up."""
+        every, at_once = [a.reshape(-1) for a in (getattr(self, name), self.grads[name], self.squares[name])], len(self.space) // 4
+        for at in range(0, len(every[0]), at_once):
+            own, grad, square = (a[at : at + at_once] for a in every)
+            spare = self.space[: len(grad)]
+            square += np.multiply(grad, grad, out=spare)
+            grad *= RATE
+            grad /= np.sqrt(square, out=spare)
+            own -= grad
+
+    def _pull(self, h: np.ndarray, dh: np.ndarray, weights: np.ndarray, grad: np.ndarray, chosen: np.ndarray) -> None:
+        """Add what the choices by ``weights`` give to the gradients at ``h`` and at the weights: each row's probabilities, less one at what was chosen."""
+        n = weights.shape[1]
+        for at in range(0, len(h), CLOSE):
+            some, own = h[at : at + CLOSE], chosen[at : at + CLOSE]
+            e = np.matmul(some, weights, out=self.space[: len(some) * n].reshape(len(some), n))
+            e *= (1 / _exp_sums(e))[:, None]
+            e.reshape(-1)[PLACES[: len(some)] * n + own] -= 1
+            dh[at : at + CLOSE] += e @ weights[:-1].T
+            grad += some.T @ e
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
-        net, n, every = self.net, len(target), slice(None)
-        order = np.argsort(target, kind="stable")
+        """One step by the loss of BATCH rows at most."""
+        grads, order = self.grads, _sorted(target)
         target, context = target[order], context[order]
-        x, h = _hidden(net, context)
-        z = h @ net.outer
-        z += net.outer_bias
-        d = _softmax(z)
-        d[np.arange(n), target // IN_CLASS] -= 1
-        dh = d @ net.outer.T
-        for c, rows in _classes(target):
-            own = slice(c * IN_CLASS, (c + 1) * IN_CLASS)
-            z = h[rows] @ net.word[own].T
-            z += net.word_bias[own]
-            e = _softmax(z)
-            e[np.arange(len(e)), target[rows] - own.start] -= 1
-            dh[rows] += e @ net.word[own]
-            self._step("word", own, e.T @ h[rows])
-            self._step("word_bias", own, e.sum(0))
-        dh *= 1 - h * h
-        dx = (dh @ net.inner.T).reshape(-1, WIDTH)
-        self._step("outer", every, h.T @ d)
-        self._step("outer_bias", every, d.sum(0))
-        self._step("inner", every, x.T @ dh)
-        self._step("inner_bias", every, dh.sum(0))
-        flat = context.reshape(-1)
-        self._step("embed", every, np.stack([np.bincount(flat, dx[:, k], TOKENS + 1) for k in range(WIDTH)], axis=1).astype(np.float32))
+        x, tanh = _hidden(self, context)
+        h, dh = np.ones((len(target), HIDDEN + 1), np.float32), np.zeros_like(tanh)
+        h[:, :-1] = tanh
+        group, place = target // IN_CLASS, target % IN_CLASS
+        grads["outer"][:] = 0
+        grads["word"][:] = 0
+        self._pull(h, dh, self.outer, grads["outer"], group)
+        for rows, own in _classes(target):
+            c = own.start // IN_CLASS
+            self._pull(h[rows], dh[rows], self.word[c], grads["word"][c], place[rows])
+        tanh *= tanh
+        dh *= np.subtract(1, tanh, out=tanh)
+        np.matmul(x.T, dh, out=grads["inner"])
+        np.matmul(np.ones(len(dh), dh.dtype), dh, out=grads["inner_bias"])
+        dx = np.ascontiguousarray((dh @ self.inner.T).reshape(-1, WIDTH).T)
+        flat = context.reshape(-1).astype(np.intp)
+        for k in range(WIDTH):
+            grads["embed"][:, k] = np.bincount(flat, dx[k], TOKENS + 1)
+        for name in grads:
+            self._step(name)
 
 
 def token_counts(rows: DataFrame) -> np.ndarray:
     """How often each token is in ``ids`` of all rows. Tasks count their own; the sums have one row for each token."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(TOKENS, np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                seen += np.bincount(ids, minlength=TOKENS)
+            seen += np.bincount(unpacked(batch.column(0))[0], minlength=TOKENS)
         at = np.flatnonzero(seen)
-        yield pd.DataFrame({"token": at.astype(np.int32), "n": seen[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["token", "n"])
 
-    found = rows.select("ids").mapInPandas(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    found = rows.select("ids").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     out = np.zeros(TOKENS, np.int64)
     out[found["token"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -215,34 +297,27 @@ def train(rows: DataFrame, number: np.ndarray, net: Network, rounds: int = ROUND
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(net)
 
-        def descend(batches: Iterator[pd.DataFrame], r: int = r, shared=shared) -> Iterator[pd.DataFrame]:
-            learner, seen, held, waiting = Learner(shared.value), 0, [], 0
-
-            def step() -> None:
-                context, target = (np.concatenate(x) for x in zip(*held))
-                for at in range(0, len(target), BATCH):
-                    learner.learn(context[at : at + BATCH], target[at : at + BATCH])
-                held.clear()
-
-            for batch in batches:
-                for ids in batch["ids"]:
-                    at = np.arange(r % every, len(ids), every)
-                    for k in range(0, len(at), 4 * BATCH):  # a long text is learned in parts
-                        now = at[k : k + 4 * BATCH]
-                        lo, hi = max(0, now[0] - SIDE), now[-1] + SIDE + 1
-                        near = numbers.value[ids[lo:hi]]
-                        held.append((windows(near, now - lo), near[now - lo]))
-                        seen, waiting = seen + len(now), waiting + len(now)
-                        if waiting >= 4 * BATCH:
-                            step()
-                            waiting = 0
-            if held:
-                step()
+        def descend(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
+            learner, seen = Learner(shared.value), 0
+            context, target = np.zeros((0, 2 * SIDE), np.int32), np.zeros(0, np.int32)
+            for line, begin, sizes in (x for batch in batches for x in _lines(batch.column(0), numbers.value)):
+                at = _runs(begin + r % every, np.maximum(0, -((r % every - sizes) // every)), every)
+                seen += len(at)
+                for k in range(0, len(at), 4 * BATCH):  # a long text is learned in parts
+                    now = at[k : k + 4 * BATCH]
+                    context, target = np.concatenate([context, around(line, now)]), np.concatenate([target, line[now]])
+                    while len(target) >= BATCH:
+                        learner.learn(context[:BATCH], target[:BATCH])
+                        context, target = context[BATCH:], target[BATCH:]
+            if len(target):
+                learner.learn(context, target)
             if seen:
-                slices = np.array_split(np.concatenate([a.reshape(-1) for a in learner.net]), SLICES)
-                yield pd.DataFrame({"slice": np.arange(SLICES, dtype=np.int32), "part": 0, "seen": float(seen), "values": slices})
+                slices = np.array_split(np.concatenate([a.reshape(-1) for a in learner.network()]), SLICES)
+                values = pa.ListArray.from_arrays(np.cumsum([0, *map(len, slices)], dtype=np.int32), np.concatenate(slices))
+                columns = [np.arange(SLICES, dtype=np.int32), np.zeros(SLICES, np.int32), np.full(SLICES, float(seen))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), values], ["slice", "part", "seen", "values"])
 
-        learned = rows.select("ids").mapInPandas(descend, schema).withColumn("part", F.spark_partition_id())
+        learned = rows.select("ids").mapInArrow(descend, schema).withColumn("part", F.spark_partition_id())
         parts = rows.rdd.getNumPartitions()
         while parts > FAN_IN:
             learned = learned.withColumn("group", F.floor(F.col("part") / FAN_IN)).groupBy("slice", "group").applyInPandas(_average, schema)
@@ -276,26 +351,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     table gives an empty result. Texts are tokenised once, into a table that all passes read. Runs over the same
     files agree but for rounding.
     """
-    own = materialise(docs.select(F.col(id_col).alias("doc_id"), _tokenise(text_col).alias("ids")))
+    own = materialise(docs.select(F.col(id_col).alias("doc_id"), _packed(text_col).alias("ids")))
     counts = token_counts(own)
     number = ranks(counts)
     shared = docs.sparkSession.sparkContext.broadcast((train(own, number, start(counts), rounds, every), number))
 
-    @F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("log", T.DoubleType())]))
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("log", T.DoubleType())]))
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net, numbers = shared.value
-        for rows in batches:
-            texts = [numbers[ids] for ids in rows]
-            out, short = [0.0] * len(texts), [i for i, t in enumerate(texts) if 0 < len(t) <= BATCH]
-            for k in range(0, len(short), 16):  # some texts at a time: more tokens for each product of matrices
-                some = [texts[i] for i in short[k : k + 16]]
-                logs = token_logs(net, np.concatenate([windows(t, np.arange(len(t))) for t in some]), np.concatenate(some))
-                for i, x in zip(short[k : k + 16], np.add.reduceat(logs, np.cumsum([0, *map(len, some[:-1])])).tolist()):
-                    out[i] = x
-            for i, t in enumerate(texts):
-                if len(t) > BATCH:
-                    out[i] = likelihood(net, t)
-            yield pd.DataFrame({"n": [len(t) for t in texts], "log": out})
+        for texts in batches:
+            n, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for line, begin, sizes in _lines(texts, numbers):
+                at, of, log = _runs(begin, sizes), np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(sizes))
+                for k in range(0, len(at), 16 * BATCH):
+                    now = at[k : k + 16 * BATCH]
+                    log += np.bincount(of[k : k + 16 * BATCH], token_logs(net, around(line, now), line[now]), len(sizes))
+                n.append(sizes.astype(np.int64))
+                sums.append(log)
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(np.concatenate(sums))], ["n", "log"])
 
     rows = own.select("doc_id", scored("ids").alias("s"))
     rows = rows.select("doc_id", F.col("s.n").alias("n_tokens"), F.col("s.log").alias("pseudo_log_likelihood"))

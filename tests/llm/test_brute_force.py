@@ -481,3 +481,49 @@ def test_masked_lm_learns_every_place_by_default(spark):
     after = masked_lm.train(docs, number, before)
     logs = lambda net: masked_lm.token_logs(net, masked_lm.windows(ids, np.arange(4)), ids)
     assert (logs(after) > logs(before)).all()  # by half of the rounds, the third and fourth word were never asked for
+
+
+def test_masked_lm_learns_in_full_batches_what_a_plain_descent_does(spark):
+    """Every step but the last takes BATCH places, whatever the lengths of texts, and descends by the plain gradient."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, n) % 900) for n in [0, 1, 2, 5, 9000, 30_000, *rng.integers(3, 400, 150)]]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").coalesce(1).withColumn("ids", masked_lm._tokenise("text"))
+    counts, side, size = masked_lm.token_counts(rows), masked_lm.SIDE, masked_lm.IN_CLASS
+    number = masked_lm.ranks(counts)
+    net = masked_lm.start(counts)
+    got = masked_lm.train(rows, number, net, rounds=1, every=2)
+    around, targets = [], []
+    for t in texts:
+        ids = number[masked_lm.tokens(t)].tolist()
+        padded = [masked_lm.TOKENS] * side + ids + [masked_lm.TOKENS] * side
+        around += [padded[i : i + side] + padded[i + side + 1 : i + 2 * side + 1] for i in range(0, len(ids), 2)]
+        targets += ids[::2]
+    want = {k: a.astype(np.float64) for k, a in net._asdict().items()}
+    squares = {k: np.full(a.shape, 1e-8) for k, a in want.items()}
+    assert len(targets) > 3 * masked_lm.BATCH
+    for at in range(0, len(targets), masked_lm.BATCH):
+        c, t = np.array(around[at : at + masked_lm.BATCH]), np.array(targets[at : at + masked_lm.BATCH])
+        x = want["embed"][c].reshape(len(t), -1)
+        h = np.tanh(x @ want["inner"] + want["inner_bias"])
+        e = np.exp(h @ want["outer"] + want["outer_bias"])
+        e /= e.sum(axis=1, keepdims=True)
+        e[np.arange(len(t)), t // size] -= 1
+        grads = {k: np.zeros_like(a) for k, a in want.items()} | {"outer": h.T @ e, "outer_bias": e.sum(axis=0)}
+        dh = e @ want["outer"].T
+        for group in set((t // size).tolist()):
+            own, of = slice(group * size, (group + 1) * size), np.flatnonzero(t // size == group)
+            e = np.exp(h[of] @ want["word"][own].T + want["word_bias"][own])
+            e /= e.sum(axis=1, keepdims=True)
+            e[np.arange(len(of)), t[of] % size] -= 1
+            dh[of] += e @ want["word"][own]
+            grads["word"][own], grads["word_bias"][own] = e.T @ h[of], e.sum(axis=0)
+        dh *= 1 - h * h
+        grads["inner"], grads["inner_bias"] = x.T @ dh, dh.sum(axis=0)
+        np.add.at(grads["embed"], c, (dh @ want["inner"].T).reshape(*c.shape, -1))
+        for k, g in grads.items():
+            squares[k] += g * g
+            want[k] -= masked_lm.RATE * g / np.sqrt(squares[k])
+    c, t = np.array(around), np.array(targets)
+    plain = masked_lm.Network(**{k: a.astype(np.float32) for k, a in want.items()})
+    assert np.abs(masked_lm.token_logs(got, c, t) - masked_lm.token_logs(plain, c, t)).max() < 0.02
+    assert masked_lm.token_logs(got, c, t).mean() > masked_lm.token_logs(net, c, t).mean() + 0.1
