@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -63,17 +64,28 @@ def word_hashes(text: str | None, lang: str | None) -> np.ndarray:
     return np.array([seed, seed, *found, seed + 1], dtype=np.uint64)
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
-def _grams(texts: pd.Series, langs: pd.Series) -> pd.Series:
-    """Of each text, for each of its trigrams: the keys of the SLOTS."""
-    out = []
-    for t, l in zip(texts, langs):
-        h = word_hashes(t, l)
-        with np.errstate(over="ignore"):
-            u, v, w = h[:-2], h[1:-1], h[2:]
-            uv, vw = _mix(u, v), _mix(v, w)
-            out.append(np.stack([_salted(x, i) for i, x in enumerate((_mix(uv, w), uv, vw, v, w))], axis=1).view(np.int64).tolist())
-    return pd.Series(out)
+def _keys(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.LongType()) for n in names])
+
+
+@F.arrow_udf(T.ArrayType(_keys("uv", "v", "w")))
+def _grams(texts: pa.Array, langs: pa.Array) -> pa.Array:
+    """Of each text, for each of its trigrams: the keys of the context and of the last two words, of which all other keys are made."""
+    all_of = [word_hashes(t, l) for t, l in zip(texts.to_pylist(), langs.to_pylist())]
+    ends = np.cumsum([0, *(len(h) - 2 for h in all_of)], dtype=np.int32)
+    with np.errstate(over="ignore"):
+        keys = [np.concatenate([np.zeros(0, np.uint64), *x]) for x in (([_mix(h[:-2], h[1:-1]) for h in all_of]), [h[1:-1] for h in all_of], [h[2:] for h in all_of])]
+    grams = pa.StructArray.from_arrays([pa.array(_salted(k, i).view(np.int64)) for k, i in zip(keys, (1, 3, 4))], ["uv", "v", "w"])
+    return pa.ListArray.from_arrays(ends, grams)
+
+
+@F.arrow_udf(_keys("uvw", "vw"))
+def _above(uv: pa.Array, v: pa.Array, w: pa.Array) -> pa.Array:
+    """The keys of trigrams and of their last two words."""
+    uv, v, w = (_salted(x.to_numpy().view(np.uint64), i) for x, i in ((uv, 1), (v, 3), (w, 4)))  # salt taken twice is gone
+    with np.errstate(over="ignore"):
+        found = _salted(_mix(uv, w), 0), _salted(_mix(v, w), 2)
+    return pa.StructArray.from_arrays([pa.array(x.view(np.int64)) for x in found], ["uvw", "vw"])
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -110,8 +122,9 @@ def model(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``trusted`` has lang and text. The probability of w after u v is that of the longest n-gram the table has,
     times gamma of every longer context that it has. Keys hold the language, so only discounts go by language.
     """
-    grams = trusted.select(F.xxhash64("lang").alias("lang"), F.explode(_grams("text", "lang")).alias("g")).select("lang", *(F.col("g")[i].alias(c) for i, c in enumerate(SLOTS)))
-    three = settled(grams.groupBy("uvw", "uv", "vw", "v", "w", "lang").agg(F.count("*").alias("n")))
+    grams = trusted.select(F.xxhash64("lang").alias("lang"), F.explode(_grams("text", "lang")).alias("g")).select("lang", "g.*")
+    three = settled(grams.groupBy("uv", "v", "w", "lang").agg(F.count("*").alias("n")))
+    three = three.select("*", _above("uv", "v", "w").alias("a")).select("uv", "v", "w", "lang", "n", "a.*")
     two = settled(three.groupBy("vw", "v", "w", "lang").agg(F.count("*").alias("n")))  # different words before: the lower orders' counts
     one = two.groupBy("w", "lang").agg(F.count("*").alias("n"))
     n = F.col("n")

@@ -527,3 +527,19 @@ def test_masked_lm_learns_in_full_batches_what_a_plain_descent_does(spark):
     plain = masked_lm.Network(**{k: a.astype(np.float32) for k, a in want.items()})
     assert np.abs(masked_lm.token_logs(got, c, t) - masked_lm.token_logs(plain, c, t)).max() < 0.02
     assert masked_lm.token_logs(got, c, t).mean() > masked_lm.token_logs(net, c, t).mean() + 0.1
+
+
+def test_kneser_ney_deals_three_keys_of_a_trigram_and_makes_the_others(spark):
+    rows = spark.createDataFrame([("a b a", "en"), ("", "en"), (None, "fr")], "text string, lang string")
+    grams = rows.select(F.explode(kneser_ney._grams("text", "lang")).alias("g")).select("g.*")
+    assert grams.columns == ["uv", "v", "w"]
+    got = sorted(map(tuple, grams.withColumn("a", kneser_ney._above("uv", "v", "w")).select("a.uvw", "uv", "a.vw", "v", "w").collect()))
+    want = []
+    for text, lang in (("a b a", "en"), ("", "en"), (None, "fr")):
+        h = kneser_ney.word_hashes(text, lang)
+        with np.errstate(over="ignore"):
+            uv, vw = kneser_ney._mix(h[:-2], h[1:-1]), kneser_ney._mix(h[1:-1], h[2:])
+            keys = [kneser_ney._salted(x, i).view(np.int64).tolist() for i, x in enumerate((kneser_ney._mix(uv, h[2:]), uv, vw, h[1:-1], h[2:]))]
+        want += zip(*keys)
+    assert got == sorted(want)
+    assert kneser_ney.model(rows.limit(0))[0].count() == 0
