@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import os
 import time
 
 import duckdb
@@ -543,3 +544,44 @@ def test_kneser_ney_deals_three_keys_of_a_trigram_and_makes_the_others(spark):
         want += zip(*keys)
     assert got == sorted(want)
     assert kneser_ney.model(rows.limit(0))[0].count() == 0
+
+
+def test_kneser_ney_scoring_leaves_sums_behind_and_not_places(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in draw.integers(0, 1500, 800)) for _ in range(120)]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    entries, unseen = kneser_ney.model(rows.where("doc_id < 40").select("lang", "text"))
+    left, plain = [], kneser_ney.settled
+
+    def weighed(df):
+        out = plain(df)
+        left.append(sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(kneser_ney, "settled", weighed)
+    got = kneser_ney.scored(rows, entries, unseen, 1600, 1 << 10)  # words are at hand, and nothing of what is longer
+    assert got.where("n = 801 and nll > 0").count() == 120
+    assert sum(left) < sum(map(len, texts))
+
+
+def test_kneser_ney_in_many_parts_passes_and_pieces(spark, monkeypatch):
+    texts = [r.text for r in documents(spark).where("lang = 'en'").orderBy("doc_id").limit(14).collect()] + ["a a a a b a a", "", "x" * 700 + " a b"]
+    texts += texts[:2]
+    for name, value in (("TOGETHER", 40), ("TEXT_AT_ONCE", 500), ("TRUSTED_A_PART", 600), ("TEXT_A_PART", 900), ("FREQUENT", 20), ("PASSES", 2)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    trusted = spark.createDataFrame([("en", t) for t in texts[:8] + texts[14:17]], "lang string, text string")
+    entries, unseen = kneser_ney.model(trusted)
+    assert entries.counts.heavy and not entries.words.value.whole
+    table = entries.collect()
+    assert len(table) == len({r.key for r in table}) and all(r.value is not None for r in table)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in kneser_ney.scored(docs, entries, unseen).collect()}
+    want = plain_model(texts[:8] + texts[14:17])
+    for i, t in enumerate(texts):
+        n, nll = want(t)
+        assert got[i].n == n and abs(got[i].nll - nll) < 1e-5 * nll, i
+    values = {r.key: r.value for r in table}
+    h = kneser_ney.word_hashes(texts[0], "en")
+    with np.errstate(over="ignore"):
+        keys = kneser_ney._salted(kneser_ney._mix(kneser_ney._mix(h[:-2], h[1:-1]), h[2:]), 0).view(np.int64).tolist()
+    assert abs(-sum(values[k] for k in keys) - want(texts[0])[1]) < 1e-6 * want(texts[0])[1]
